@@ -14,6 +14,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import chunks
+from .text import chunks, hash_spans, utf8
 
 # Code points of Unicode's White_Space property.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -32,8 +33,9 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232,
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Symbols: a letter, number or other character; an apostrophe before a one- or two-letter
 #: contraction; white space that is followed by white space or the end; a blank before a
-#: character; other white space before a character; the end of a text.
-A, D, O, ONE, TWO, RUN, BLANK, LONE, STOP = range(9)
+#: character; other white space before a character.
+A, D, O, ONE, TWO, RUN, BLANK, LONE = range(8)
+SYMBOLS = 8
 #: States: in letters, numbers, others, white space; after a leading blank; one or two letters of
 #: a contraction to come; the next character begins a piece anyhow.
 IN_A, IN_D, IN_O, IN_S, LED, LAST, LAST2, FREE = range(8)
@@ -42,8 +44,11 @@ NONE = 1 << 30
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
-    """Next state and whether a piece begins, for every symbol and state."""
-    to, begins = np.zeros((9, 8), np.uint8), np.ones((9, 8), bool)
+    """Next state and whether a piece begins, for every symbol and state.
+
+    The upper half of the symbols are those of a text's first character: they forget the state.
+    """
+    to, begins = np.zeros((2 * SYMBOLS, 8), np.uint8), np.ones((2 * SYMBOLS, 8), bool)
     for symbol, own in ((A, IN_A), (D, IN_D), (O, IN_O)):
         to[symbol] = own
         begins[symbol, [own, LED]] = False
@@ -53,55 +58,55 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
         to[symbol] = own
         to[symbol, [IN_O, LED]] = IN_O
         begins[symbol, [IN_O, LED]] = False
-    to[RUN], to[BLANK], to[LONE], to[STOP] = IN_S, LED, FREE, FREE
+    to[RUN], to[BLANK], to[LONE] = IN_S, LED, FREE
     begins[RUN, IN_S] = False
+    to[SYMBOLS:] = to[:SYMBOLS, FREE, None]
     return to, begins
 
 
 @lru_cache(1)
 def classes() -> np.ndarray:
     """Class of every code point."""
-    out = np.full(0x110000 + 1, OTHER, np.uint8)
+    out = np.full(0x110000, OTHER, np.uint8)
     for code in range(0x110000):
         kind = unicodedata.category(chr(code))[0]
         if kind in "LN":
             out[code] = LETTER if kind == "L" else NUMBER
     out[WHITE_SPACE] = SPACE
-    out[-1] = END
     return out
 
 
-def piece_starts(points: np.ndarray, block: int = 128) -> np.ndarray:
-    """Where pieces begin; ``points`` holds code points, 0x110000 ends each text."""
-    kind = classes()[points]
+def piece_starts(points: np.ndarray, firsts: np.ndarray, block: int = 128) -> np.ndarray:
+    """Where pieces begin; ``firsts`` are the positions of the texts' first characters."""
     n = len(points)
+    kind = classes()[points]
     following = np.append(kind[1:], END)
-    symbol = np.array([A, D, O, RUN, STOP], np.uint8)[kind]
+    following[firsts[firsts > 0] - 1] = END
+    symbol = np.array([A, D, O, RUN], np.uint8)[kind]
     last = (kind == SPACE) & (following != SPACE) & (following != END)
     symbol[last] = LONE
     symbol[last & (points == 32)] = BLANK
-    quote = np.flatnonzero(points == 39)
+    quote = np.flatnonzero((points == 39) & (following == LETTER))
     if len(quote):
-        one = np.append(points, [0, 0])[quote + 1]
-        two = np.append(points, [0, 0, 0])[quote + 2]
+        one = points[quote + 1]
+        two = np.where(following[quote + 1] == LETTER, np.append(points, 0)[np.minimum(quote + 2, n)], 0)
         symbol[quote[np.isin(one, [ord(x) for x in "stmd"])]] = ONE
         pair = np.zeros(len(quote), bool)
         for x in ("re", "ve", "ll"):
             pair |= (one == ord(x[0])) & (two == ord(x[1]))
         symbol[quote[pair]] = TWO
+    symbol[firsts] += SYMBOLS
     to, begins = _automaton()
     rows = -(-n // block)
-    table = np.full(rows * block, STOP, np.uint8)
+    table = np.full(rows * block, SYMBOLS + LONE, np.uint8)
     table[:n] = symbol
-    table = np.ascontiguousarray(table.reshape(rows, block).T)
+    offsets = np.ascontiguousarray(table.reshape(rows, block).T) * np.uint8(8)
     flat = to.ravel()
     ahead = np.broadcast_to(np.arange(8, dtype=np.uint8), (rows, 8)).copy()
-    offsets = table.astype(np.uint8) * 8
     for step in offsets:  # each block becomes a function from entry state to exit state
         ahead = flat[step[:, None] + ahead]
-    functions = ahead.tolist()
     state, entry = FREE, np.empty(rows, np.uint8)
-    for k, function in enumerate(functions):  # composition along the blocks
+    for k, function in enumerate(ahead.tolist()):  # composition along the blocks
         entry[k] = state
         state = function[state]
     starts = np.empty((block, rows), bool)
@@ -113,57 +118,82 @@ def piece_starts(points: np.ndarray, block: int = 128) -> np.ndarray:
     return starts.T.ravel()[:n]
 
 
+class Slots:
+    """A bounded open-addressing table from 64-bit keys to places, all operations vectorised."""
+
+    def __init__(self, bits: int):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.places = np.full(1 << bits, -1, np.int32)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for unknown ones."""
+        at = self._first(keys)
+        out = np.where(self.keys[at] == keys, self.places[at], -1)
+        waiting = np.flatnonzero((out < 0) & (self.places[at] >= 0))
+        at = at[waiting]
+        while len(waiting):
+            at = (at + 1) & self.mask
+            place = self.places[at]
+            hit = self.keys[at] == keys[waiting]
+            out[waiting[hit]] = place[hit]
+            on = ~hit & (place >= 0)
+            waiting, at = waiting[on], at[on]
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Insert distinct keys that the table doesn't hold."""
+        waiting, at = np.arange(len(keys)), self._first(keys)
+        while len(waiting):
+            free = self.places[at] < 0
+            self.places[at[free]] = places[waiting[free]]
+            won = free & (self.places[at] == places[waiting])
+            self.keys[at[won]] = keys[waiting[won]]
+            waiting, at = waiting[~won], (at[~won] + 1) & self.mask
+
+
 class Merger:
-    """Merges of one rank table, with a bounded cache of pieces in two generations."""
+    """Merges of one rank table, with a bounded cache of pieces.
+
+    The cache is keyed by a 64-bit hash of the piece; it starts anew when it is full.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], cached: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], cached: int = 400_000):
         self.ranks, self.cached = ranks, cached
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+            tokens[rank] = token
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.single = np.array([ranks.get(bytes([k]), -1) for k in range(256)], np.int32)
-        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
-        order = np.argsort(key := left << 32 | right)
-        self.keys, self.to = np.append(key[order], 1 << 62), np.append(rank[order], NONE).astype(np.int32)
-        self.slots, self.slot_bits = self._slots(self.keys[:-1])
-
-    @staticmethod
-    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, int]:
-        """An open-addressing table of positions in ``keys``, at most a quarter full."""
-        bits = max(4, int(4 * len(keys)).bit_length())
-        table, waiting, at = np.full(1 << bits, len(keys), np.int32), np.arange(len(keys)), self._slot(keys, bits)
-        while len(waiting):
-            free = table[at] == len(keys)
-            table[at[free]] = waiting[free]
-            lost = table[at] != waiting
-            waiting, at = waiting[lost], (at[lost] + 1) & ((1 << bits) - 1)
-        return table, bits
+        pairs = np.fromiter(chain.from_iterable((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks), np.int64).reshape(-1, 2)
+        self.pairs = Slots(max(4, int(3 * len(pairs)).bit_length()))
+        self.pair_rank = pairs[:, 1].astype(np.int32)
+        self.pairs.add(pairs[:, 0].astype(np.uint64), np.arange(len(pairs), dtype=np.int32))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = Slots(max(10, int(2 * self.cached).bit_length()))
+        self.known, self.used = 0, 0
+        self.at, self.count = np.zeros(self.cached, np.int32), np.zeros(self.cached, np.int16)
+        self.pool = np.zeros(4 * self.cached, np.int32)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two adjacent tokens make, else NONE."""
-        keys = left.astype(np.int64) << 32 | np.maximum(right, 0)
-        out = np.full(keys.shape, NONE, np.int32)
-        waiting = np.flatnonzero(right.ravel() >= 0)
-        keys, flat = keys.ravel(), out.ravel()
-        at, none = self._slot(keys[waiting], self.slot_bits), len(self.keys) - 1
-        while len(waiting):
-            found = self.slots[at]
-            hit = self.keys[found] == keys[waiting]
-            flat[waiting[hit]] = self.to[found[hit]]
-            on = ~hit & (found != none)
-            waiting, at = waiting[on], (at[on] + 1) & ((1 << self.slot_bits) - 1)
+        out = np.full(left.shape, NONE, np.int32)
+        real = right >= 0
+        place = self.pairs.find(left[real].astype(np.uint64) << np.uint64(32) | right[real].astype(np.uint64))
+        out[real] = np.where(place >= 0, self.pair_rank[np.maximum(place, 0)], NONE)
         return out
 
-    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def merge_many(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Merge short pieces side by side: in each round every piece makes its best merge."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        none = np.zeros(0, np.int32)
+        out: list[np.ndarray] = [none] * len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         for low, width in ((0, 8), (8, 16), (16, 64)):
             rows = np.flatnonzero((size > low) & (size <= width))
@@ -172,8 +202,7 @@ class Merger:
             raw = np.frombuffer(b"".join([pieces[k].ljust(width, b"\0") for k in rows.tolist()]), np.uint8).reshape(-1, width)
             ids = np.where(np.arange(width) < size[rows, None], self.single[raw], -1)
             ids = np.concatenate([ids, np.full((len(rows), 1), -1, np.int32)], 1)
-            active, columns = np.arange(len(rows)), np.arange(width)
-            own = ids
+            active, columns, own = np.arange(len(rows)), np.arange(width), ids.copy()
             while len(active):
                 ranks = self.pair_ranks(own[:, :-1], own[:, 1:])
                 at = ranks.argmin(1)
@@ -185,10 +214,10 @@ class Merger:
                 own[:, :-1] = np.take_along_axis(own, columns + (columns > at[:, None]), 1)
                 own[np.arange(len(at)), at] = best
             count = (ids >= 0).sum(1).tolist()
-            for k, row, n in zip(rows.tolist(), ids.tolist(), count, strict=True):
-                out[k] = tuple(row[:n])
+            for k, row, n in zip(rows.tolist(), ids, count, strict=True):
+                out[k] = row[:n]
         for k in np.flatnonzero(size > 64).tolist():
-            out[k] = self._merge_long(pieces[k])
+            out[k] = np.array(self._merge_long(pieces[k]), np.int32)
         return out
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
@@ -213,27 +242,49 @@ class Merger:
                 heapq.heappush(heap, (ranks[pair], left, stop))
         return tuple(ranks[piece[k : end[k]]] for k in range(n) if alive[k])
 
-    def pieces(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each piece; the empty piece has none."""
-        found = list(map(self.young.get, words))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        if not missing:
-            return found
-        wanted = list(dict.fromkeys([words[k] for k in missing]))
-        known = {w: ids for w in wanted if (ids := self.old.get(w)) is not None}
-        wanted = [w for w in wanted if w not in known]
-        raw = [w.encode() for w in wanted]
-        direct = list(map(self.ranks.get, raw))
-        hard = [k for k, rank in enumerate(direct) if rank is None and raw[k]]
-        made = {w: (rank,) if rank is not None else () for w, rank in zip(wanted, direct, strict=True)}
-        made.update(zip([wanted[k] for k in hard], self.merge_many([raw[k] for k in hard]), strict=True))
-        known.update(made)
-        for k in missing:
-            found[k] = known[words[k]]
-        if len(self.young) + len(known) > self.cached:
-            self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in known.items() if len(w) <= 32)
-        return found
+    def pieces(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, end to end, and their number in each piece."""
+        keys = hash_spans(raw, begins, ends)
+        place = self.slots.find(keys)
+        lost = np.flatnonzero(place < 0)
+        if len(lost):
+            fresh, first = np.unique(keys[lost], return_index=True)
+            if self.known + len(fresh) > self.cached:
+                self._forget()
+                lost = np.arange(len(keys))
+                fresh, first = np.unique(keys, return_index=True)
+            text, where = raw.tobytes(), lost[first]
+            words = [text[a:b] for a, b in zip(begins[where].tolist(), ends[where].tolist(), strict=True)]
+            ids = self.merge_many(words)
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            if len(fresh) > self.cached or count.max() > 32767:  # a batch of more pieces than the cache holds, or a very long one
+                return self._without_cache(raw, begins, ends)
+            total = int(count.sum())
+            if self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(self.used + total, np.int32)])
+            places = np.arange(self.known, self.known + len(fresh), dtype=np.int32)
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
+            self.at[places] = self.used + np.cumsum(count) - count
+            self.count[places] = count
+            self.slots.add(fresh, places)
+            self.known, self.used = self.known + len(fresh), self.used + total
+            place[lost] = places[np.searchsorted(fresh, keys[lost])]
+        count = self.count[place].astype(np.int64)
+        return self.pool[spread(self.at[place], count)], count
+
+    def _without_cache(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = raw.tobytes()
+        ids = self.merge_many([text[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[spread(self.starts[ids], self.sizes[ids])]
+
+
+def spread(begins: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that start at ``begins``."""
+    ends = np.cumsum(count)
+    return np.repeat(begins - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -247,35 +298,46 @@ def _merger(name: str) -> Merger:
     return Merger(read_ranks(SparkFiles.get(name)))
 
 
-def encode_texts(merger: Merger, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Ids of each text, and the byte offset at which each id begins."""
-    joined = "\0".join(texts) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
-    stops = np.cumsum([len(x) + 1 for x in texts]) - 1
-    points[stops] = 0x110000
-    starts = np.flatnonzero(piece_starts(points))
-    cut = starts.tolist()
-    words = [joined[a:b] for a, b in zip(cut, [*cut[1:], len(joined)], strict=True)]
-    last = np.searchsorted(starts, stops)  # the piece that is a text's end mark
-    for k in last.tolist():
-        words[k] = ""
-    found = merger.pieces(words)
-    count = np.zeros(len(found) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=count[1:])
-    ids = np.fromiter(chain.from_iterable(found), np.int32, int(count[-1]))
+@dataclass
+class Encoded:
+    """Ids of texts end to end, the byte offset of each in its text, and len + 1 cuts between texts."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    cuts: np.ndarray
+
+
+def encode_texts(merger: Merger, column: pa.Array) -> Encoded:
+    raw, at = utf8(column)
+    if not len(raw):
+        return Encoded(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(at), np.int64))
+    if raw.max() < 128:
+        points, char_at = raw, at
+        byte_at = None
+    else:
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        byte_at = np.flatnonzero((raw & 0xC0) != 0x80)
+        char_at = np.searchsorted(byte_at, at)
+    starts = np.flatnonzero(piece_starts(points, np.unique(char_at[:-1][np.diff(at) > 0])))
+    begins = starts if byte_at is None else byte_at[starts]
+    ids, count = merger.pieces(raw, begins, np.append(begins[1:], len(raw)))
+    before = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=before[1:])
+    cuts = before[np.searchsorted(begins, at)]
     size = merger.sizes[ids]
-    ends = np.cumsum(size)
-    cuts = count[last]
-    begins = ends - size
-    begins -= np.repeat(np.append(0, ends)[np.append(0, cuts[:-1])], np.diff(cuts, prepend=0))
-    return np.split(ids, cuts[:-1]), np.split(begins, cuts[:-1])
+    offsets = np.cumsum(size) - size - np.repeat(at[:-1], np.diff(cuts))
+    return Encoded(ids, offsets, cuts)
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(x) for x in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def _lists(cuts: np.ndarray, flat: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+
+
+def _binaries(merger: Merger, cuts: np.ndarray, ids: np.ndarray) -> pa.Array:
+    ends = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(merger.sizes[ids], out=ends[1:])
+    offsets = pa.py_buffer(ends[cuts].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(merger.decoded(ids))])
 
 
 def _ship(df: DataFrame, path: str) -> str:
@@ -284,37 +346,47 @@ def _ship(df: DataFrame, path: str) -> str:
     return path.replace("\\", "/").rsplit("/", 1)[-1]
 
 
-def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``(id, ids array<int>, offsets array<long>)`` for each row of ``df``.
 
     ``ranks`` is the path of a rank file on the driver.  Offsets are byte positions in the UTF-8
     text.  Null and empty text give empty arrays; rows with a null or repeated id are encoded like
-    any other; other columns of ``df`` are ignored.
+    any other; other columns of ``df`` are ignored.  ``decoded`` adds a binary column of that name
+    with the bytes that the ids decode to, in the same pass.
     """
     name = _ship(df, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(name)
         for batch in chunks(batches, "text", 1 << 20):
-            ids, offsets = encode_texts(merger, [x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(ids, pa.int32()), _lists(offsets, pa.int64())], ["id", "ids", "offsets"])
-
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType()))])
+            out = encode_texts(merger, batch.column("text"))
+            columns = {"id": batch.column("id"), "ids": _lists(out.cuts, out.ids, pa.int32()), "offsets": _lists(out.cuts, out.offsets, pa.int64())}
+            if decoded:
+                columns["decoded"] = _binaries(merger, out.cuts, out.ids)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.LongType()))]
+    schema = T.StructType(fields + [T.StructField("decoded", T.BinaryType())] * decoded)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id, ids, decoded binary)``: the bytes that each row's ids stand for.
+def decode(df: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``(id, decoded binary)``: the bytes that each row's ids stand for.
 
     Null or empty ids give empty bytes; an id outside the vocabulary is an error.
     """
     name = _ship(df, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _merger(name).tokens
-        for batch in batches:
-            decoded = [b"".join([tokens[k] for k in row or ()]) for row in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
-
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return df.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        merger = _merger(name)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                rows = batch.column("ids").to_pylist()
+                cuts = np.zeros(len(rows) + 1, np.int64)
+                np.cumsum([len(x or ()) for x in rows], out=cuts[1:])
+                ids = np.fromiter(chain.from_iterable(x or () for x in rows), np.int64, int(cuts[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _binaries(merger, cuts, ids)], ["id", "decoded"])
+
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("decoded", T.BinaryType())])
+    return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -22,8 +22,8 @@ def held_out(parts: int, which: int):
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS)
-    return bpe.decode(encoded, RANKS).select(
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
