@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, sharding
-from .storage import ship_package
+from . import bpe, kdtree, langid, minhash, mixing, outliers, sharding, warc
+from .storage import fresh_path, ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,13 @@ def held_out(parts: int, which: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == which
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = fresh_path(spark, "warc")
+    warc.write(warc.with_revisits(pages, F.col("html").cast("binary"), "page_id"), path, "page_id", "url")
+    return warc.resolved(warc.read(spark, path)).withColumnRenamed("id", "page_id")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, decoded=True)
     return encoded.select(
@@ -31,6 +38,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -46,9 +57,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.rules(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_minhash, op6_mixing, op7_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op10_sharding)}

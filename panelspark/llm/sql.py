@@ -1,5 +1,31 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP1 = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as body from pages
+), d as (
+  select page_id, octet_length(body)::bigint as payload_bytes, sha256(body) as payload_digest,
+    min(page_id) over (partition by sha256(body)) as first
+  from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from d
+"""
+
+OP4 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1, "op4_kdtree": OP4}
