@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, langid, minhash, mixing, outliers, sharding, warc
+from . import bpe, crf, kdtree, langid, minhash, mixing, ordinal, outliers, sharding, warc
 from .storage import fresh_path, ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +38,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _labelled(spark: SparkSession, sf_dir: str, labels: DataFrame, most: int) -> DataFrame:
+    """Texts of the labelled training documents, about ``most`` of them: a bounded broadcast."""
+    labels = labels.where(F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in labels.columns if c != "doc_id"])
+    share = min(1.0, most / max(1, labels.count()))
+    some = labels.where(F.pmod(F.xxhash64(F.lit("label"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+
+
+def op3_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings: 0 poor, 1 good but toxic, 2 good; texts of grade 1 or more are kept."""
+    labels = table(spark, sf_dir, "labels").where("quality in (0, 1)")
+    labels = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    model = ordinal.fit(_labelled(spark, sf_dir, labels, 5_000))
+    scored = ordinal.predict(table(spark, sf_dir, "documents"), model, at_least=1)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op4_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -61,9 +78,16 @@ def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where("toxic in (0, 1)").select("doc_id", "toxic")
+    model = crf.fit(_labelled(spark, sf_dir, labels, 12_000))
+    scored = crf.score(table(spark, sf_dir, "documents"), model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding)}
