@@ -1,11 +1,702 @@
-"""Registered queries of the library's own operators and their SQL."""
+"""Registered queries of the library's own operators, each beside its SQL.
+
+Doubles that depend on the order of a sum are rounded to six places in both.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.functions.expressions import level
+from panelspark.functions.hashing import unit_hash
+from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, roles, sampling, threshold
+from panelspark.plans.panel import KEYS, ORACLE_PANEL, TEST, TRAIN, VALID, scores, table, training
+from panelspark.plans.panel import panel as panel_of
+from panelspark.sources.scratch import scratch_path
+from panelspark.sources.tables import Registry, Source, capped_sample, limited_handoff, numeric_handoff
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` may use the relations panel, train and scores."""
+
+    def register(f: Query) -> Query:
+        own = name or f.__name__
+        QUERIES[own] = f
+        if sql:
+            relations = f"with panel as ({ORACLE_PANEL}), train as (select * from panel where year >= {TRAIN[0]} and year < {TRAIN[1]}), scores as ({SCORES_SQL})"
+            ORACLES[own] = f"{relations}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}"
+        return f
+
+    return register
+
+
+SCORES_SQL = "select o_orderkey as sid, round(o_totalprice / 5000) / 110.0 as score from orders where o_orderkey % 5 <> 0"
+
+
+def u(seed: int = 42, key: str = "sid") -> str:
+    return f"((('0x' || substr(md5({key}::varchar || '|{seed}'), 1, 8))::bigint) / 4294967296.0)"
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+# Sources and hand-offs
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01'")
+def scan_filter_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = Source("orders", "parquet", [f"{sf_dir}/orders.parquet"], where="o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01'")
+    return source.load(spark).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(f"select o_orderkey from orders where {u(42, 'o_orderkey')} < 0.1")
+def keyed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = Source("orders", "parquet", [f"{sf_dir}/orders.parquet"], fraction=0.1, keys=["o_orderkey"])
+    return source.load(spark).select("o_orderkey")
+
+
+@query(f"select sid, price from panel order by {u()}, sid limit 500")
+def exact_sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.exact_sample(panel_of(spark, sf_dir), 500, KEYS).select("sid", "price")
+
+
+@query("select sid, price::double as price, balance::double as balance, n_lines::double as n_lines, is_active::int::double as is_active, y::double as y from panel")
+def numeric_handoff_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric_handoff(panel_of(spark, sf_dir), ["price", "balance", "n_lines", "is_active"], "y", keys=KEYS)
+
+
+@query("select 'orders' as name, 'parquet' as kind, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' as columns, false as cached, count(*) as n_rows from orders")
+def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Source("orders", "parquet", [f"{sf_dir}/orders.parquet"]).describe(spark).drop("path")
+
+
+@query("select o_orderstatus, count(*) as n from orders group by o_orderstatus")
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("catalog_orders")
+    return Source("orders", "table", ["catalog_orders"]).load(spark).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("select r_name as name, 'region' as kind from region union all select n_name, 'nation' from nation")
+def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = Registry.from_dicts({t: {"kind": "parquet", "paths": [f"{sf_dir}/{t}.parquet"]} for t in ("region", "nation")})
+    a = registry.load(spark, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("kind"))
+    return a.unionByName(registry.load(spark, "nation").select(F.lit("nation").alias("kind"), F.col("n_name").alias("name")))
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    some = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    some.write.option("header", "true").csv(path)
+    return Source("orders", "csv", [path], schema=some.schema).load(spark)
+
+
+@query("select sid, price from panel order by sid limit 1000")
+def limited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limited_handoff(panel_of(spark, sf_dir).select("sid", "price"), ["sid"], 1000)
+
+
+@query(f"select sid from panel where (select count(*) from panel) <= 5000 or {u()} < 5000.0::double / (select count(*) from panel)")
+def capped_fit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capped_sample(panel_of(spark, sf_dir).select("sid"), 5000, KEYS)
+
+
+@query("select sid, price, cat_priority, y from panel where y = 1")
+def drop_and_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positives = clean.of_class(panel_of(spark, sf_dir), "y", 1)
+    return roles.drop_columns(positives, ["dirty", "constant", "absent"]).select("sid", "price", "cat_priority", "y")
+
+
+# Roles and cleaning
+
+_TYPES = {"sid": "bigint", "customer_id": "bigint", "year": "int", "y": "int", "y_rare": "int", "cat_priority": "string", "cat_segment": "string", "cat_nation": "string", "low_card_int": "int", "is_active": "boolean", "flag": "int", "price": "double", "balance": "double", "n_lines": "bigint", "qty": "double", "dirty": "double", "constant": "double", "p1": "double"}
+_FIXED = {"sid": "key", "y": "label", "y_rare": "drop", "year": "drop"}
+
+
+def _role_sql(c: str, kind: str) -> str:
+    if c in _FIXED:
+        role = f"'{_FIXED[c]}'"
+    elif kind in ("int", "bigint"):
+        role = f"(select case when count(distinct {c}) + max(case when {c} is null then 1 else 0 end) <= 20 then 'categorical' else 'numeric' end from panel)"
+    else:
+        role = "'categorical'" if kind == "string" else "'numeric'"
+    return f"select '{c}' as \"column\", '{kind}' as type, {role} as role"
+
+
+@query(" union all ".join(_role_sql(c, k) for c, k in _TYPES.items()))
+def role_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    return roles.resolve(df, "y", drop=["y_rare", "year"], keys=["sid"]).table(df)
+
+
+@query("""select sid, y::double as y, coalesce(flag, 0)::double as flag, price, balance,
+  case when isnan(dirty) or isinf(dirty) then null else dirty end as dirty, low_card_int::varchar as low_card_int, cat_segment from panel""")
+def clean_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    binary, continuous = roles.split_numeric(df, ["flag", "price", "balance", "dirty"])
+    return clean.clean(df, "y", ["low_card_int", "cat_segment"], binary, continuous, keep=KEYS)
+
+
+# Splits, deduplication, class counts
+
+_SPLIT_SQL = f"case when year >= {TRAIN[0]} and year < {TRAIN[1]} then 'train' when year >= {VALID[0]} and year < {VALID[1]} then 'valid' when year >= {TEST[0]} and year < {TEST[1]} then 'test' end"
+
+
+@query(f"select split, count(*) as n, round(avg(y_rare::double), 6) as pos_rate from (select {_SPLIT_SQL} as split, y_rare from panel) where split is not null group by split")
+def time_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = panel.tag_splits(panel_of(spark, sf_dir), TRAIN, TEST, VALID)
+    return panel.split_summary(tagged, "y_rare").withColumn("pos_rate", r6("pos_rate"))
+
+
+_LINE = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+def _dedup_sql(direction: str) -> str:
+    order = ", ".join(f"{c} {direction}" for c in _LINE)
+    return f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by {order}) = 1"
+
+
+def _dedup(spark: SparkSession, sf_dir: str, keep: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return panel.deduplicate(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"], keep).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+
+
+@query(_dedup_sql("asc nulls first"))
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedup(spark, sf_dir, "first")
+
+
+@query(_dedup_sql("desc nulls last"))
+def dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedup(spark, sf_dir, "last")
+
+
+@query("select distinct o_custkey, o_orderstatus, o_orderpriority from orders")
+def dedup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.deduplicate(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query("select y as label, count(*) as n, (select count(*) from panel) as total, round((select avg(y::double) from panel), 6) as pos_rate from panel group by y")
+def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.class_distribution(panel_of(spark, sf_dir), "y").withColumn("pos_rate", r6("pos_rate"))
+
+
+# Sampling and weights
+
+_NEG = "(select count(*) from train where y_rare = 0)"
+_POS = "(select count(*) from train where y_rare = 1)"
+_UNDER = f"(y_rare = 1 or {u()} < least(greatest(floor({_POS} / 0.5), 100)::double / {_NEG}, 1.0))"
+
+
+@query(f"select sid, y_rare from train where {_UNDER}")
+def undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.undersample(training(spark, sf_dir), "y_rare", KEYS, ratio=0.5).select("sid", "y_rare")
+
+
+@query(f"select sid, y_rare from train where {_UNDER} and {u(43)} < 0.1")
+def undersample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.undersample(training(spark, sf_dir), "y_rare", KEYS, ratio=0.5, fraction=0.1).select("sid", "y_rare")
+
+
+@query(f"select sid, y_rare from train where y_rare = 1 union all (select sid, y_rare from train where y_rare = 0 order by {u()}, sid limit (select least(greatest(floor({_POS} / 0.5), 100), {_NEG})::bigint))")
+def undersample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.undersample(training(spark, sf_dir), "y_rare", KEYS, ratio=0.5, exact=True).select("sid", "y_rare")
+
+
+@query(f"select y_rare as label, count(*) as n_before, count(*) filter ({_UNDER}) as n_after from train group by y_rare")
+def sampling_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = training(spark, sf_dir)
+    return sampling.effect(before, sampling.undersample(before, "y_rare", KEYS, ratio=0.5), "y_rare")
+
+
+@query(f"select sid, y from panel where {u()} < 0.25")
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.random_fraction(panel_of(spark, sf_dir), 0.25, KEYS).select("sid", "y")
+
+
+@query(f"select sid, y from panel where y in (0, 1) and {u(7)} < 0.3")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified(panel_of(spark, sf_dir), "y", 0.3, KEYS, seed=7).select("sid", "y")
+
+
+@query(f"""+ f as (select floor({_NEG} * 0.5) / {_POS} as f)
+select sid, y_rare from (select sid, y_rare, case when y_rare = 1 then floor(f.f) + (case when {u()} < f.f - floor(f.f) then 1 else 0 end) else 1 end as copies from train, f), unnest(range(copies::bigint))""")
+def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.oversample(training(spark, sf_dir), "y_rare", KEYS, ratio=0.5).select("sid", "y_rare")
+
+
+@query(f"select sid, y_rare from panel where y_rare = 1 or {u(1)} < 0.2")
+def neg_frac_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.negative_fraction(panel_of(spark, sf_dir), "y_rare", KEYS, 0.2, seed=1).select("sid", "y_rare")
+
+
+def _weights(strategy: str, cap: float | None) -> None:
+    ratio = {"balanced": "n_neg / n_pos", "sqrt": "sqrt(n_neg / n_pos)"}[strategy]
+    value = ratio if cap is None else f"least({ratio}, {cap}::double)"
+    name = f"class_weights_{'capped' if cap else strategy}"
+
+    @query(f"select n_pos, n_neg, round({value}, 6) as weight from (select count(*) filter (y_rare = 1) as n_pos, count(*) filter (y_rare = 0) as n_neg from train)", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sampling.class_weights(training(spark, sf_dir), "y_rare", strategy, cap).withColumn("weight", r6("weight"))
+
+
+for _strategy, _cap in (("balanced", None), ("sqrt", None), ("balanced", 5.0)):
+    _weights(_strategy, _cap)
+
+
+@query(f"select sid, y_rare, round(case when y_rare = 1 then least({_NEG}::double / {_POS}, 50.0) else 1.0 end, 6) as weight from train")
+def weighted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.add_weights(training(spark, sf_dir), "y_rare").select("sid", "y_rare", r6("weight").alias("weight"))
+
+
+@query(f"select 'tune' as mode, sid, y_rare from train where y_rare = 1 or {u(1)} < 0.2 union all select 'other', sid, y_rare from train")
+def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs = {"tune": {"strategy": "neg_frac", "fraction": 0.2, "seed": 1}}
+    parts = [sampling.for_mode(training(spark, sf_dir), "y_rare", KEYS, configs, m).select(F.lit(m).alias("mode"), "sid", "y_rare") for m in ("tune", "other")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"select sid, row_number() over (order by {u()}, sid) as rank from panel")
+def hash_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.hash_ranked(panel_of(spark, sf_dir).select("sid"), KEYS, 42)
+
+
+# Mining
+
+
+@query("select p.sid, coalesce(s.score, 0.0) as score from panel p left join scores s using (sid)")
+def scores_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.with_scores(panel_of(spark, sf_dir), scores(spark, sf_dir), KEYS).select("sid", "score")
+
+
+@query("select sid, round((score - (select min(score) from scores)) / ((select max(score) from scores) - (select min(score) from scores) + 1e-10), 6) as score from scores")
+def score_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.normalised(scores(spark, sf_dir)).select("sid", r6("score").alias("score"))
+
+
+_HARD = {
+    "top_prob": "-score",
+    "margin": "abs(score - 0.5)",
+    "entropy": "-(-score * ln(score + 1e-10) - (1 - score) * ln(1 - score + 1e-10))",
+}
+
+
+@query(" union all ".join(f"select sid, '{m}' as method, row_number() over (order by round({e}, 12), {u()}, sid) as rank from scores" for m, e in _HARD.items()))
+def mining_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [mining.mining_order(scores(spark, sf_dir), KEYS, m).select("sid", F.lit(m).alias("method"), "rank") for m in _HARD]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _hard(method: str) -> None:
+    sql = f"""+ neg as (select t.sid, coalesce(s.score, 0.0) as score from train t left join scores s using (sid) where t.y_rare = 0),
+    target as (select least(greatest(floor({_POS} / 0.5), 100), {_NEG}) as n),
+    ranked as (select sid, row_number() over (order by round({_HARD[method]}, 12), {u()}, sid) as rank from neg),
+    rest as (select sid, row_number() over (order by {u()}, sid) as k from ranked where rank > (select floor(n * 0.6) from target))
+    select sid, 'positive' as origin from train where y_rare = 1
+    union all select sid, 'hard' from ranked where rank <= (select floor(n * 0.6) from target)
+    union all select sid, 'random' from rest where k <= (select n - floor(n * 0.6) from target)"""
+
+    @query(sql, f"hard_neg_{method}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return mining.hard_negatives(training(spark, sf_dir), "y_rare", KEYS, scores(spark, sf_dir), ratio=0.5, method=method).select("sid", "origin")
+
+
+for _method in _HARD:
+    _hard(_method)
+
+
+@query("""+ joined as (select t.sid, t.y_rare, coalesce(s.score, 0.0) as score from train t left join scores s using (sid))
+select sid, y_rare from joined where y_rare = 1 or score >= (select quantile_disc(score, 0.8) from joined where y_rare = 0)""")
+def hard_neg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = mining.with_scores(training(spark, sf_dir), scores(spark, sf_dir), KEYS)
+    return mining.above_percentile(joined, "y_rare", 0.8, accuracy=1_000_000).select("sid", "y_rare")
+
+
+@query("""+ neg as (select coalesce(s.score, 0.0) as score from train t left join scores s using (sid) where t.y_rare = 0)
+select 'negatives' as origin, count(*) as n, round(avg(score), 6) as mean_score, min(score) as min_score, max(score) as max_score from neg""")
+def hard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    negatives = mining.with_scores(training(spark, sf_dir).where("y_rare = 0"), scores(spark, sf_dir), KEYS)
+    return mining.hard_summary(negatives.withColumn("origin", F.lit("negatives"))).withColumn("mean_score", r6("mean_score"))
+
+
+# Preprocessing
+
+_FINITE = "(select * replace (case when isnan(dirty) or isinf(dirty) then null else dirty end as dirty) from panel)"
+
+
+def _finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    return df.withColumn("dirty", F.when(~(F.isnan("dirty") | (F.abs("dirty") == float("inf"))), F.col("dirty")))
+
+
+def _impute(strategy: str) -> None:
+    fill = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "constant": "max(-1.0)"}
+
+    def sql_of(c: str) -> str:
+        if strategy == "mode":
+            return f"coalesce({c}, (select {c} from {_FINITE} where {c} is not null group by {c} order by count(*) desc, {c} limit 1))"
+        return f"coalesce({c}, (select {fill[strategy].format(c)} from {_FINITE}))"
+
+    @query(f"select sid, round(({sql_of('dirty')})::double, 6) as dirty, round(({sql_of('qty')})::double, 6) as qty from {_FINITE}", f"impute_{strategy}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _finite(spark, sf_dir)
+        stats = prep.stats_by_column(prep.numeric_stats(df, ["dirty", "qty"]))
+        return df.select("sid", *[r6(prep.imputed(F.col(c), strategy, stats[c], -1.0)).alias(c) for c in ("dirty", "qty")])
+
+
+for _strategy in ("mean", "median", "mode", "constant"):
+    _impute(_strategy)
+
+
+@query("select sid, coalesce(cat_segment, (select cat_segment from panel where cat_segment is not null group by 1 order by count(*) desc, 1 limit 1)) as cat_segment from panel")
+def impute_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    plan = prep.Preprocessor([], ["cat_segment"], categorical_imputation="most_frequent").fit(df)
+    return df.select("sid", plan._filled("cat_segment").alias("cat_segment"))
+
+
+@query("select sid, coalesce(cat_segment, '__missing__') as cat_segment from panel")
+def missing_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel_of(spark, sf_dir).select("sid", level(F.col("cat_segment")).alias("cat_segment"))
+
+
+def _index_sql(column: str, order: str, where: str = "true") -> str:
+    return f"(select {column} as v, (row_number() over (order by {order}) - 1)::int as i from (select {column}, count(*) as n from panel where {column} is not null and {where} group by 1))"
+
+
+@query(f"select sid, m.i as cat_nation_index from panel join {_index_sql('cat_nation', 'n desc, cat_nation')} m on m.v = cat_nation")
+def label_encode_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    return prep.encode_index(df, "cat_nation", prep.category_levels(df, ["cat_nation"])).select("sid", "cat_nation_index")
+
+
+@query(f"select sid, coalesce(m.i, -1) as cat_segment_index from panel left join {_index_sql('cat_segment', 'cat_segment')} m on m.v = cat_segment")
+def ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    return prep.encode_index(df, "cat_segment", prep.category_levels(df, ["cat_segment"]), "by_name", "minus").select("sid", "cat_segment_index")
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("select sid, " + ", ".join(f"(coalesce(cat_priority = '{v}', false))::int as \"cat_priority={v}\"" for v in _PRIORITIES) + " from panel")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.one_hot(panel_of(spark, sf_dir), "cat_priority", list(_PRIORITIES)).select("sid", *[F.col(f"`cat_priority={v}`") for v in _PRIORITIES])
+
+
+@query("""+ m as (select coalesce(cat_segment, '__missing__') as v, (sum(y)::double + 10.0 * (select avg(y::double) from panel)) / (count(*) + 10.0) as t from panel group by 1)
+select sid, round(m.t, 6) as target_mean from panel join m on m.v = coalesce(cat_segment, '__missing__')""")
+def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    means = prep.target_means(df, "cat_segment", "y")
+    return prep.lookup(df, level(F.col("cat_segment")), means, "target_mean", "target_mean", F.lit(None)).select("sid", r6("target_mean").alias("target_mean"))
+
+
+_KNOWN = "cat_nation >= 'F'"
+
+
+@query(f"""+ m as {_index_sql('cat_nation', 'n desc, cat_nation', _KNOWN)}
+select sid, 'keep' as policy, coalesce(m.i, (select count(*) from m))::int as code from panel left join m on m.v = cat_nation
+union all select sid, 'minus', coalesce(m.i, -1) from panel left join m on m.v = cat_nation
+union all select sid, 'skip', m.i from panel join m on m.v = cat_nation""")
+def unknown_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    levels = prep.category_levels(df.where(_KNOWN), ["cat_nation"])
+    parts = [prep.encode_index(df, "cat_nation", levels, unknown=p, name="code").select("sid", F.lit(p).alias("policy"), "code") for p in ("keep", "minus", "skip")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_SCALE = {
+    "standard": "({0} - (select avg({0}) from panel)) / (select stddev_samp({0}) from panel)",
+    "minmax": "({0} - (select min({0}) from panel)) / ((select max({0}) from panel) - (select min({0}) from panel))",
+    "robust": "({0} - (select quantile_cont({0}, 0.5) from panel)) / (select quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) from panel)",
+}
+
+
+def _scale(strategy: str) -> None:
+    flat = "0.5" if strategy == "minmax" else "0.0"
+    cells = ", ".join(f"round({_SCALE[strategy].format(c)}, 6) as {c}" for c in ("price", "balance"))
+
+    @query(f"select sid, {cells}, {flat}::double as constant from panel", f"scale_{strategy}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = panel_of(spark, sf_dir)
+        stats = prep.stats_by_column(prep.numeric_stats(df, ["price", "balance", "constant"]))
+        return df.select("sid", *[r6(prep.scaled(F.col(c), strategy, stats[c])).alias(c) for c in ("price", "balance", "constant")])
+
+
+for _strategy in _SCALE:
+    _scale(_strategy)
+
+
+@query(f"""select sid, round({_SCALE['minmax'].format('price')}, 6) as price, coalesce(qty, -1.0)::double as qty, is_active::int::double as is_active,
+  m.i as cat_priority_index from panel join {_index_sql('cat_priority', 'cat_priority')} m on m.v = cat_priority""")
+def column_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = {"price": prep.ColumnPlan(scaling="minmax"), "qty": prep.ColumnPlan(imputation="constant", value=-1.0, scaling="none"), "cat_priority": prep.ColumnPlan(encoding="ordinal")}
+    df = panel_of(spark, sf_dir)
+    out = prep.Preprocessor(["price", "qty"], ["cat_priority"], boolean=["is_active"], plans=plans).fit(df).transform(df, keep=KEYS)
+    return out.withColumn("price", r6("price"))
+
+
+@query("select sid, is_active::int::double as is_active from panel")
+def bool_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    return prep.Preprocessor([], [], boolean=["is_active"]).fit(df).transform(df, keep=KEYS)
+
+
+@query("""+ m as (select v, (row_number() over (order by n desc, v) - 1)::int as i from (select coalesce(cat_segment, '__missing__') as v, count(*) as n from panel group by 1))
+select sid, m.i as cat_segment_index from panel join m on m.v = coalesce(cat_segment, '__missing__')""")
+def native_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    return prep.Preprocessor([], ["cat_segment"], encoding="native").fit(df).transform(df, keep=KEYS)
+
+
+def _standard_prep(df: DataFrame) -> prep.Preprocessor:
+    return prep.Preprocessor(["price", "qty", "flag"], ["cat_priority"], "y", ["is_active"], imputation="mean", scaling="none").fit(df)
+
+
+_HOT_SQL = " ".join(f"union all select 'cat_priority={v}', sum((cat_priority = '{v}')::int)::double from test" for v in _PRIORITIES)
+
+
+@query(f"""+ test as (select * from panel where year >= {TEST[0]} and year < {TEST[1]})
+select 'price' as feature, round(sum(price), 2) as total from test
+union all select 'qty', round(sum(coalesce(qty, (select avg(qty) from train))), 2) from test
+union all select 'flag', round(sum(coalesce(flag, (select avg(flag) from train))), 2) from test
+union all select 'is_active', sum(is_active::int)::double from test {_HOT_SQL}""")
+def prep_fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir)
+    train, _, test = panel.time_split(df, TRAIN, TEST)
+    plan = _standard_prep(train)
+    out = plan.transform(test)
+    row = out.agg(*[F.round(F.sum(F.col(f"`{c}`")).cast("double"), 2).alias(c) for c in plan.names()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("total")) for c in plan.names()])))
+
+
+@query("+ n as (select unnest(['price', 'qty', 'flag', 'is_active'] || (select list('cat_priority=' || p order by p) from (select distinct cat_priority as p from train))) as feature) select (row_number() over () - 1)::int as place, feature from n")
+def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _standard_prep(training(spark, sf_dir)).names()
+    return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+
+
+@query(f"select count(*) as n, count(*) filter (dirty is null) as missing, count(*) filter (qty is null) as missing_qty from {_FINITE}")
+def trees_keep_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _finite(spark, sf_dir)
+    out = prep.Preprocessor(["dirty", "qty"], [], imputation="none", scaling="none").fit(df).transform(df)
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("dirty").isNull()).alias("missing"), F.count_if(F.col("qty").isNull()).alias("missing_qty"))
+
+
+# Metrics, curves, thresholds
+
+_CONF = """+ c as (select count(*) as n, avg(y) as pos_rate, avg(p1) as mean_pred_p1, count(*) filter (p1 >= 0.5) as pred_pos, count(*) filter (y = 1) as pos,
+  count(*) filter (p1 >= 0.5 and y = 1) as tp, avg((p1 - y) ** 2) as brier from panel)"""
+_CONF_COLUMNS = """n, round(pos_rate, 6) as pos_rate, round(mean_pred_p1, 6) as mean_pred_p1, pred_pos, pos, tp,
+  round(case when pred_pos > 0 then tp / pred_pos else 0 end, 6) as precision, round(case when pos > 0 then tp / pos else 0 end, 6) as recall,
+  round(case when pos + pred_pos > 0 then 2 * tp / (pos + pred_pos) else 0 end, 6) as f1, round(brier, 6) as brier"""
+_GROUPS = """g as (select p1 as threshold, count(*) as n, sum(y)::bigint as pos from panel group by p1),
+  k as (select *, (sum(n) over (order by threshold desc))::bigint as pp, (sum(pos) over (order by threshold desc))::bigint as tp, (select sum(y) from panel)::double as p_all, (select count(*) - sum(y) from panel)::double as n_all from g)"""
+_AUC = "round((select sum((n - pos) * (tp - pos / 2)) / max(p_all * n_all) from k), 6) as auc_roc, round((select sum(pos * (tp / pp)) / max(p_all) from k), 6) as average_precision"
+_ROUNDED = ("pos_rate", "mean_pred_p1", "precision", "recall", "f1", "brier", "auc_roc", "average_precision")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    chosen = names or _ROUNDED
+    return df.select(*[r6(c).alias(c) if c in chosen else F.col(c) for c in df.columns])
+
+
+@query(f"{_CONF} select {_CONF_COLUMNS} from c")
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.confusion_metrics(panel_of(spark, sf_dir), "y", "p1"))
+
+
+@query(f"{_CONF}, {_GROUPS} select {_CONF_COLUMNS}, {_AUC} from c")
+def metric_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.metric_row(panel_of(spark, sf_dir), "y", "p1"))
+
+
+_LL = "-(y * ln(least(greatest(p1, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p1, 1e-15), 1 - 1e-15)))"
+
+
+@query(f"""select round(avg((p1 - y) ** 2), 6) as brier, round(avg({_LL}), 6) as log_loss, round(sum((p1 - y) ** 2 * price) / sum(price), 6) as weighted_brier,
+  round(sum(({_LL}) * price) / sum(price), 6) as weighted_log_loss from panel""")
+def brier_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.losses(panel_of(spark, sf_dir), "y", "p1", "price"), "brier", "log_loss", "weighted_brier", "weighted_log_loss")
+
+
+@query(f"+ {_GROUPS} select {_AUC}")
+def auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(curves.auc(panel_of(spark, sf_dir), "y", "p1"))
+
+
+@query(f"+ {_GROUPS} select 'Infinity'::double as threshold, 0.0::double as fpr, 0.0::double as tpr union all select threshold, round((pp - tp) / n_all, 6), round(tp / p_all, 6) from k")
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(curves.roc_curve(panel_of(spark, sf_dir), "y", "p1"), "fpr", "tpr")
+
+
+@query(f"+ {_GROUPS} select threshold, round(tp / pp, 6) as precision, round(tp / p_all, 6) as recall from k")
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(curves.pr_curve(panel_of(spark, sf_dir), "y", "p1"))
+
+
+@query(f"""+ {_GROUPS}, s as (select tp / p_all as r, tp / pp as p, coalesce(lag(tp / p_all) over (order by threshold desc), 0) as r0, coalesce(lag(tp / pp) over (order by threshold desc), tp / pp) as p0 from k)
+select round(sum((r - r0) * (p + p0) / 2), 6) as pr_area from s""")
+def pr_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(curves.pr_trapezoid(panel_of(spark, sf_dir), "y", "p1"), "pr_area")
+
+
+_SWEEP = """w as (select i::int as i, i / 99.0::double as threshold, count(*) filter (p1 >= i / 99.0::double and y = 1) as tp, count(*) filter (p1 >= i / 99.0::double and y = 0) as fp,
+  count(*) filter (p1 < i / 99.0::double and y = 1) as fn, count(*) filter (p1 < i / 99.0::double and y = 0) as tn from range(100) t(i), panel group by i)"""
+
+
+@query(f"+ {_SWEEP} select * from w")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.sweep(panel_of(spark, sf_dir), "y", "p1")
+
+
+def _tuned(name: str, value: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    @query(f"+ {_SWEEP} select threshold, round({value}, 6) as value from w order by {value} desc, threshold limit 1", name)
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(run(panel_of(spark, sf_dir)), "value")
+
+
+_tuned("tune_f1", "(2 * tp / (2 * tp + fp + fn))", lambda df: threshold.tune_f(df, "y", "p1"))
+_tuned("tune_f2", "(5 * tp / (5 * tp + 4 * fn + fp))", lambda df: threshold.tune_f(df, "y", "p1", beta=2.0))
+_tuned("tune_custom", "((tp + tn) / (tp + fp + fn + tn))", lambda df: threshold.tune_custom(df, "y", "p1", lambda tp, fp, fn, tn: (tp + tn) / (tp + fp + fn + tn)))
+
+
+@query(f"+ {_GROUPS} select least(threshold, 1.0::double) as threshold, value from (select threshold, round(tp / p_all - (pp - tp) / n_all, 12) as value from k union all select 1.0, 0.0) order by value desc, threshold desc limit 1")
+def tune_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.tune_youden(panel_of(spark, sf_dir), "y", "p1")
+
+
+@query(f"""+ {_GROUPS}, f as (select threshold, 2 * tp / (pp + p_all) as value from k where tp / pp >= 0.3 and tp / p_all >= 0.2)
+select coalesce((select threshold from f order by round(value, 12) desc, threshold desc limit 1), 0.5::double) as threshold, round(coalesce((select max(value) from f), 0.0), 6) as value, (select count(*) > 0 from f) as feasible""")
+def tune_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(threshold.tune_constrained(panel_of(spark, sf_dir), "y", "p1", 0.3, 0.2), "value")
+
+
+@query("""+ r as (select customer_id, 2.0 ** coalesce(n_lines, 0) - 1 as gain, row_number() over (partition by customer_id order by p1 desc, sid) as pos_at,
+  row_number() over (partition by customer_id order by n_lines desc nulls last, sid) as best from panel)
+select customer_id, round(case when sum(gain / log2(1 + best)) > 0 then sum(gain / log2(1 + pos_at)) / sum(gain / log2(1 + best)) else 1.0 end, 6) as ndcg from r group by customer_id""")
+def ndcg_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.ndcg(panel_of(spark, sf_dir), "customer_id", "n_lines", "p1", KEYS), "ndcg")
+
+
+# Models; no SQL
+
+
+@query(f"""+ part as (select * from panel where {u(3)} < 0.5)
+select a.customer_id, a.sid as sid_more, b.sid as sid_less, round(a.price - b.price, 6) as price from part a join part b on a.customer_id = b.customer_id and a.n_lines > b.n_lines""")
+def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(models.pairs(panel_of(spark, sf_dir), "customer_id", "n_lines", KEYS, ["price"], 0.5, seed=3), "price")
+
+
+_NUMERIC, _CATEGORICAL = ["price", "balance", "n_lines", "qty"], ["cat_priority", "cat_segment"]
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with a label that the price decides."""
+    return panel_of(spark, sf_dir).withColumn("label", (F.col("price") > 300_000).cast("int"))
+
+
+def _scored(kind: str, params: dict, early: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, valid, test = panel.time_split(_planted(spark, sf_dir), TRAIN, TEST, VALID)
+        pipeline = experiments.Pipeline(prep.Preprocessor(_NUMERIC, _CATEGORICAL, "label"), models.Classifier(kind, "label", params=params), KEYS)
+        pipeline.fit(train, valid if early else None)
+        return pipeline.predict(test).select("sid", "label", "p1", "predicted")
+
+    return run
+
+
+QUERIES["lr_scores"] = _scored("lr", {})
+QUERIES["rf_scores"] = _scored("rf", {"numTrees": 20, "maxDepth": 6})
+QUERIES["gbt_scores"] = _scored("gbt", {"maxIter": 10, "maxDepth": 3})
+QUERIES["boosted_early_stop"] = _scored("gbt", {"maxIter": 20, "maxDepth": 3, "validationTol": 0.01}, early=True)
+QUERIES["mlp_scores"] = _scored("mlp", {"hidden": [8], "maxIter": 30})
+
+
+@query()
+def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    df = panel_of(spark, sf_dir)
+    vectors = prep.Preprocessor(_NUMERIC, _CATEGORICAL, "y").fit(df).assemble(df, keep=KEYS)
+    return prep.pca(vectors, 3, keep=KEYS).select("sid", vector_to_array("components").alias("components"))
+
+
+@query()
+def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = panel_of(spark, sf_dir).withColumn("qty", F.coalesce("qty", F.lit(0.0))).withColumn("price", F.col("price") / 100_000)
+    return models.LinearRanker("customer_id", "n_lines", KEYS, ["qty", "price"]).fit(df, fraction=0.5).predict(df).select("sid", "score")
+
+
+@query()
+def mined_by_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = {"final": {"strategy": "hard_negative", "features": ["price", "balance"], "ratio": 0.5}}
+    return sampling.for_mode(training(spark, sf_dir), "y_rare", KEYS, config, "final").select("sid", "y_rare")
+
+
+@query()
+def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _planted(spark, sf_dir)
+    return experiments.quick_train(df, _NUMERIC, _CATEGORICAL, "label", "rf", KEYS, numTrees=20, maxDepth=6).classifier.importances(spark)
+
+
+@query()
+def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.quick_train(_planted(spark, sf_dir), _NUMERIC, _CATEGORICAL, "label", "lr", KEYS).classifier.training_history(spark)
+
+
+@query()
+def pipeline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, valid, test = panel.time_split(_planted(spark, sf_dir), TRAIN, TEST, VALID)
+    pipeline = experiments.Pipeline(prep.Preprocessor(_NUMERIC, _CATEGORICAL, "label"), models.Classifier("lr", "label"), KEYS).fit(train, valid, "f1")
+    path = scratch_path(spark, "pipeline")
+    pipeline.save(spark, path)
+    return experiments.Pipeline.load(spark, path).predict(test).select("sid", "p1", "predicted")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = {"train": TRAIN, "valid": VALID, "test": TEST}
+    sampled = {"tune": {"strategy": "undersample", "ratio": 0.5}}
+    lists = {"numeric": _NUMERIC, "categorical": _CATEGORICAL}
+    runs = [{"name": n, "data": data, "sampling": s, "prep": lists, "weight_cap": w} for n, s, w in (("plain", {}, None), ("balanced", sampled, 50.0))]
+    return experiments.run_experiments(_planted(spark, sf_dir), "label", KEYS, runs, [{"regParam": 0.01}, {"regParam": 0.1}])
+
+
+@query()
+def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir)
+
+
+@query()
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "runs")
+    experiments.log_runs(_grid(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query()
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.leaderboard(_grid(spark, sf_dir))
+
+
+@query()
+def prepared_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = [{"name": "tune", "data": {"train": TRAIN, "test": TEST}, "sampling": {"tune": {"strategy": "undersample", "ratio": 0.5}}}]
+    return experiments.run_experiments(panel_of(spark, sf_dir), "y_rare", KEYS, runs, fit=False).select("run_name", "sid", "y_rare")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
