@@ -104,12 +104,12 @@ def mix(
     )
 
     def finish(copy: int | Column) -> Column:
-        return (F.col("through") + F.col("source_size") * copy) / F.col("target")
+        return F.try_divide(F.col("through") + F.col("source_size") * copy, F.col("target"))
 
     # The merged sequence by ranges of finish time; one range holds the cut.
     ranges = 1 << min(20, bits + 6)
     sequence = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("id", "size", "key", F.explode(F.array(*[finish(k) for k in range(repeats)])).alias("finish")).withColumn("range", F.floor(F.col("finish") * ranges))
-    total = shares.agg(F.sum("target")).first()[0] or 0.0
+    total = min(budget, repeats) * (shares.agg(F.sum("source_size")).first()[0] or 0)
     up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sequence.groupBy("range").agg(F.sum("size").alias("own")).withColumn("reached", F.sum("own").over(up_to))
     cut = sums.where(F.col("reached") > total).orderBy("range").limit(1).collect()

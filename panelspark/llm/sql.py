@@ -26,6 +26,57 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify rank <= 5
 """
 
+OP5 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as materialized (
+  select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as shingle from w
+), n as (select doc_id, count(*) as n from s group by doc_id
+), met as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), link as materialized (
+  select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)
+), way as (select a, b from link union select b, a from link
+), reach as (select doc_id, doc_id as to_id from w union select reach.doc_id, way.b from reach join way on way.a = reach.to_id
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(reach.to_id) as component_id, w.doc_id = min(reach.to_id) as kept
+from w left join n using (doc_id) join reach using (doc_id) group by w.doc_id, n.n
+"""
+
+OP6 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5(doc_id::varchar || '|17'), 1, 15))::bigint as key from documents
+), t as (select source, sum(size)::bigint as s from d group by source
+), w as (select *, [3, 1, 2][(row_number() over (order by source asc nulls last) - 1) % 3 + 1] as weight, row_number() over (order by source asc nulls last) as place from t
+), c as (
+  select *, 1.5::double * (select sum(s) from t)::double as budget,
+    coalesce(sum(2 * s) over (order by 2 * s / weight, place rows between unbounded preceding and 1 preceding), 0)::double as caps_before,
+    sum(weight) over (order by 2 * s / weight, place rows between current row and unbounded following)::double as weights_on from w
+), f as (select *, 2 * s / weight <= (budget - caps_before) / weights_on as filled from c
+), g as (
+  select source, s, case when filled then (2 * s)::double
+    else weight * (budget - coalesce((select sum(2 * s) from f where filled), 0)::double) / (select sum(weight) from f where not filled)::double end as target from f
+), q as (
+  select d.*, g.s as source_size, g.target, sum(size) over (partition by d.source order by key, doc_id rows unbounded preceding)::double as through
+  from d join g on d.source is not distinct from g.source
+), seq as (select doc_id, size, key, (through + source_size::double * copy) / target as finish from q, range(2) r(copy) where size > 0 and target > 0
+), cut as (select doc_id, size, sum(size) over (order by finish, key, doc_id rows unbounded preceding) <= least(1.5::double, 2) * (select sum(s) from t)::double as inside from seq
+), taken as (select doc_id, sum(size)::bigint as taken from cut where inside group by doc_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from q left join taken using (doc_id)
+"""
+
+OP10 = """
+with d as (
+  select doc_id, ('0x' || substr(md5(doc_id::varchar || '|0'), 1, 15))::bigint as key, octet_length(encode(coalesce(text, '')))::bigint as bytes from documents
+), node as (select level, key >> (60 - level) as prefix, sum(bytes)::bigint as shard_bytes, count(*) as shard_rows from d, range(61) r(level) group by 1, 2
+), leaf as (
+  select d.doc_id, d.bytes, d.key, min(level)::int as depth from d, range(61) r(level) join node using (level)
+  where node.prefix = d.key >> (60 - level) and (shard_bytes <= 33554432 or level = 60) group by all
+)
+select doc_id, bytes, case when depth = 0 then '' else left(lpad(bin(key), 60, '0'), depth) end as shard, depth, shard_bytes, shard_rows, shard_bytes > 33554432 as oversized
+from leaf join node on node.level = depth and node.prefix = key >> (60 - depth)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_kdtree": OP4}
+    return {"op1_warc": OP1, "op4_kdtree": OP4, "op5_minhash": OP5, "op6_mixing": OP6, "op10_sharding": OP10}
