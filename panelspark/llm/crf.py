@@ -4,7 +4,7 @@ Token labels come from document labels: a word of a toxic document is labelled t
 hashed features stands in toxic documents far more often than in others.  The chain has two states,
 emissions from hashed features of the word (whole, prefixes, suffix) and learned transitions, and
 runs over blocks of ``BLOCK`` words.  Forward-backward marginals give the offending spans; their
-sum and maximum, calibrated on the labelled documents, give the score of a document.
+sum of squares and maximum, calibrated on the labelled documents, give the score of a document.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .minhash import shingle_sets
 from .storage import stored
-from .text import LOWER, chunks, hash_spans, utf8, word_spans
+from .text import LOWER, chunks, hash_spans, mix, utf8, word_spans
 
-BITS, BLOCK = 18, 64
+BITS, BLOCK = 20, 64
 #: Features of a word: the seed of its hash, and how many first or last bytes count (0: all).
 FEATURES = ((1, 0), (2, 4), (3, 6), (4, -5))
 EDGE = np.zeros(256, bool)
@@ -117,17 +118,28 @@ def marginals(model: Model, features: np.ndarray, first: np.ndarray) -> np.ndarr
 
 
 def summaries(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each text: constant, log of 1 + the sum of marginals, their maximum."""
+    """For each text: constant, log of 1 + the sum of squared marginals, their maximum."""
     n = np.diff(first)
     out = np.zeros((len(n), 3))
     out[:, 0] = 1
     full = n > 0
     if full.any():
-        out[full, 1] = np.log1p(np.add.reduceat(p, first[:-1][full]))
+        out[full, 1] = np.log1p(np.add.reduceat(p * p, first[:-1][full]))
         out[full, 2] = np.maximum.reduceat(p, first[:-1][full])
     return out
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a minhash of five-word shingles, which near-copies mostly share."""
+    for batch in chunks(batches, "text"):
+        values, offsets = shingle_sets(batch.column("text"), 5)
+        key = np.zeros(batch.num_rows, np.uint64)
+        full = np.flatnonzero(np.diff(offsets))
+        if len(full):
+            key[full] = np.minimum.reduceat(mix(values), offsets[:-1][full])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], [*batch.schema.names, "key"])
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in chunks(batches, "text"):
@@ -140,7 +152,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def fit_chain(features: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Maximum likelihood by AdaGrad over all blocks."""
-    model = Model(np.zeros(1 << BITS), -2.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))
+    model = Model(np.zeros(1 << BITS, np.float32), -2.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))
     begin, length = blocks_of(first)
     if not len(begin):
         return model
@@ -162,6 +174,7 @@ def fit_chain(features: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds:
         for k, (name, slope) in enumerate((("emission", emission), ("bias", rest.sum()), ("transition", (observed - pairs) / n), ("start", begins))):
             seen[k] = seen[k] + slope**2
             setattr(model, name, getattr(model, name) + rate * slope / np.sqrt(seen[k]))
+    model.emission = model.emission.astype(np.float32)
     return model
 
 
@@ -187,11 +200,15 @@ def fit(labelled: DataFrame, max_docs: int = 12_000, max_blocks: int = 6_000, le
     total = rows.count()
     share = min(1.0, max_docs / max(1, total))
     sample = stored(rows.where(F.pmod(F.xxhash64(F.lit("toxic"), "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1)), "toxic-sample")
-    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    # Copies of a text would make each of its rare words look frequent: one of a group counts.
+    sets = sample.select("id", "text", "label").mapInArrow(_keyed, T.StructType([*sample.schema, T.StructField("key", T.LongType())]))
+    single = stored(sets.groupBy("key").agg(F.min_by(F.struct("text", "label"), "id").alias("one")).select("one.*"), "toxic-single")
+    n = {r["label"]: r["count"] for r in single.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     schema = T.StructType([T.StructField("feature", T.IntegerType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = sample.select("text", "label").mapInArrow(_document_frequencies, schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= least_docs) & (odds >= lift))
+    odds = odds - F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # less its standard error
+    found = single.select("text", "label").mapInArrow(_document_frequencies, schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= least_docs) & (odds >= lift))
     offending = np.zeros(1 << BITS, bool)
     offending[[r["feature"] for r in found.select("feature").collect()]] = True
 
@@ -199,19 +216,20 @@ def fit(labelled: DataFrame, max_docs: int = 12_000, max_blocks: int = 6_000, le
         for batch in chunks(batches, "text"):
             features, _, _, first = word_features(batch.column("text"))
             label = np.repeat(np.array(batch.column("label").to_pylist(), bool), np.diff(first))
-            tags = offending[features].any(1) & label
+            suspect = offending[features].any(1)
+            tags = suspect & label
             begin, length = blocks_of(first)
-            hits = np.add.reduceat(tags, begin) if len(begin) else np.zeros(0)
-            out = [(features[a : a + m].astype(np.int32).tobytes(), tags[a : a + m].astype(np.int8).tobytes(), int(h)) for a, m, h in zip(begin.tolist(), length.tolist(), hits.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["features", "tags", "hits"])
+            kind = np.where(np.maximum.reduceat(tags, begin), 2, np.maximum.reduceat(suspect, begin)) if len(begin) else np.zeros(0, int)
+            out = [(features[a : a + m].astype(np.int32).tobytes(), tags[a : a + m].astype(np.int8).tobytes(), int(h)) for a, m, h in zip(begin.tolist(), length.tolist(), kind.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["features", "tags", "kind"])
 
-    pieces = stored(sample.select("text", "label").mapInArrow(tagged, "features binary, tags binary, hits int"), "toxic-blocks")
+    pieces = stored(sample.select("text", "label").mapInArrow(tagged, "features binary, tags binary, kind int"), "toxic-blocks")
     taken = []
-    for kind in ("hits > 0", "hits = 0"):
-        some = pieces.where(kind)
-        part = min(1.0, max_blocks / 2 / max(1, some.count()))
+    for kind in (2, 1, 0):  # with toxic words; with such features in a clean text; other blocks
+        some = pieces.where(F.col("kind") == kind)
+        part = min(1.0, max_blocks / 3 / max(1, some.count()))
         taken.append(some.where(F.pmod(F.xxhash64("features"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1)))
-    got = taken[0].unionByName(taken[1]).select("features", "tags").toArrow()
+    got = taken[0].unionByName(taken[1]).unionByName(taken[2]).select("features", "tags").toArrow()
     feature_rows = [np.frombuffer(x, np.int32).reshape(-1, len(FEATURES)) for x in got["features"].to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(x) for x in feature_rows])]).astype(np.int64)
     features = np.concatenate(feature_rows) if feature_rows else np.zeros((0, len(FEATURES)), np.int32)
