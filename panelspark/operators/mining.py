@@ -51,13 +51,16 @@ def hard_negatives(
     seed: int = 42,
     floor: int = 100,
     n_hard: int | None = None,
+    hard_per_pos: float | None = None,
 ) -> DataFrame:
     """All positives, the hardest negatives, and a random rest; ``origin`` says which.
 
-    As many negatives as undersampling takes, at most all; ``hard_fraction`` of them (or ``n_hard``)
-    by hardness, the others by key hash among what is left.
+    As many negatives as undersampling takes, at most all; ``hard_fraction`` of them (or ``n_hard``,
+    or ``hard_per_pos`` for each positive) by hardness, the others by key hash among what is left.
     """
     row = class_counts(df, label).first()
+    if n_hard is None and hard_per_pos is not None:
+        n_hard = int(hard_per_pos * row["n_pos"])
     target = min(negatives_wanted(row["n_pos"], ratio, floor), row["n_neg"])
     hard = min(int(target * hard_fraction) if n_hard is None else n_hard, row["n_neg"])
     ranked = mining_order(with_scores(df.where(F.col(label) == 0), scores, keys, score), keys, method, score, seed)

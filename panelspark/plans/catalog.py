@@ -667,7 +667,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = {"train": TRAIN, "valid": VALID, "test": TEST}
     sampled = {"tune": {"strategy": "undersample", "ratio": 0.5}}
     lists = {"numeric": _NUMERIC, "categorical": _CATEGORICAL}
-    runs = [{"name": n, "data": data, "sampling": s, "prep": lists, "weight_cap": w} for n, s, w in (("plain", {}, None), ("balanced", sampled, 50.0))]
+    runs = [{"name": n, "data": data, "sampling": s, "prep": lists, "weight_cap": w, "model": {"kind": "lr", "params": {"maxIter": 30}}} for n, s, w in (("plain", {}, None), ("balanced", sampled, 50.0))]
     return experiments.run_experiments(_planted(spark, sf_dir), "label", KEYS, runs, [{"regParam": 0.01}, {"regParam": 0.1}])
 
 

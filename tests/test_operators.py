@@ -78,6 +78,7 @@ def test_hard_negatives_counts(spark):
     few = mining.hard_negatives(df.where("id < 230"), "y", ["id"], points).where("y = 0")
     assert few.count() == 30
     assert mining.hard_negatives(df, "y", ["id"], points, n_hard=10).where("origin = 'hard'").count() == 10
+    assert mining.hard_negatives(df, "y", ["id"], points, hard_per_pos=2).where("origin = 'hard'").count() == 400
 
 
 def test_splits(spark):
