@@ -193,7 +193,7 @@ def near_duplicates(
     rest = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(confirmed(rest, texts, shingle, percent), "minhash-links")
     if not more.isEmpty():
-        label = connected(links.unionByName(more))
+        label = connected(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     whole = classes.select(*[F.col(c).alias(f"c_{c}") for c in sets], "rep").join(label, F.col("rep") == F.col("node"), "left").select(*[f"c_{c}" for c in sets], F.coalesce("component", "rep").alias("component"))
     same = [F.col(c) == F.col(f"c_{c}") for c in sets]
