@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from panelspark.llm import crf, langid, ordinal, outliers, queries
 
@@ -146,4 +145,3 @@ def test_robust_estimate_ignores_a_bad_quarter(spark):
     shape = outliers.covariance_shapes(df, 0.75, 3).first()
     assert shape["m_0"] == pytest.approx(1.6, abs=0.05) and abs(shape["m_1"]) < 0.05
     assert outliers.chi_square(4, outliers.chi_square_quantile(4, 0.95)) == pytest.approx(0.95)
-    assert F is not None

@@ -35,7 +35,6 @@ def test_round_trip_with_revisits(spark):
 def test_predicates_reach_the_reader_and_payloads_can_be_skipped(spark):
     path = _written(spark, ROWS)
     revisits = warc.read(spark, path).where((F.col("record_type") == "revisit") & F.col("target_uri").startswith("http://a"))
-    assert "record_type" not in revisits._jdf.queryExecution().executedPlan().toString().split("Filter", 1)[-1].split("\n")[0] or True
     assert revisits.count() == 1
     assert warc.read(spark, path, payload=False).where("payload is not null").count() == 0
     assert warc.read(spark, path).where("record_type in ('response', 'none')").count() == len(ROWS) - 2
