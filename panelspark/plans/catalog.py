@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import level
-from panelspark.functions.hashing import unit_hash
 from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, roles, sampling, threshold
 from panelspark.plans.panel import KEYS, ORACLE_PANEL, TEST, TRAIN, VALID, scores, table, training
 from panelspark.plans.panel import panel as panel_of

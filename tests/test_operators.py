@@ -38,8 +38,7 @@ def test_ranks_and_running_sums_over_partitions_and_ties(spark):
 def test_ranking_has_no_single_partition_sort_of_rows(spark):
     plan = global_rank(spark.range(1000), [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan
-    for line in plan.split("\n"):
-        assert "SinglePartition" not in line or "__part" in plan
+    assert plan.count("SinglePartition") <= 1  # the offsets, a row for each partition
 
 
 def test_sampling_does_not_depend_on_partitions(spark):
