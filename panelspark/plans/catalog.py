@@ -662,17 +662,17 @@ def pipeline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.Pipeline.load(spark, path).predict(test).select("sid", "p1", "predicted")
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grid(spark: SparkSession, sf_dir: str, overrides: list[dict] | None = None) -> DataFrame:
     data = {"train": TRAIN, "valid": VALID, "test": TEST}
     sampled = {"tune": {"strategy": "undersample", "ratio": 0.5}}
     lists = {"numeric": _NUMERIC, "categorical": _CATEGORICAL}
     runs = [{"name": n, "data": data, "sampling": s, "prep": lists, "weight_cap": w, "model": {"kind": "lr", "params": {"maxIter": 30}}} for n, s, w in (("plain", {}, None), ("balanced", sampled, 50.0))]
-    return experiments.run_experiments(_planted(spark, sf_dir), "label", KEYS, runs, [{"regParam": 0.01}, {"regParam": 0.1}])
+    return experiments.run_experiments(_planted(spark, sf_dir), "label", KEYS, runs, overrides)
 
 
 @query()
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, sf_dir)
+    return _grid(spark, sf_dir, [{"regParam": 0.01}, {"regParam": 0.1}])
 
 
 @query()
