@@ -18,9 +18,8 @@ from .mixing import small
 from .storage import stored
 
 GAP = r"[\x20\x09-\x0D]+"
-#: Per statistic: the deviation below which texts don't differ in practice.  Added to the scatter,
-#: so that a statistic that is constant in most texts doesn't turn any other value into an outlier.
-FLOORS = {"word_length": 0.06, "symbols": 0.08, "dup_lines": 0.15, "repeats": 0.15}
+#: Per statistic: a deviation added to every group's scatter, against singular matrices only.
+FLOORS = {"word_length": 0.01, "symbols": 0.02, "dup_lines": 0.02, "repeats": 0.02}
 DIMS = list(FLOORS)
 
 
@@ -72,17 +71,38 @@ def chi_square_quantile(dims: int, p: float) -> float:
     return low
 
 
-def _shape(moments: DataFrame, ridge: dict[str, float]) -> DataFrame:
-    """``(g, m_<i>, k_<i>_<j>, log_det)``: centre, inverse Cholesky factor and log determinant of
-    ``moments(g, m_<i>, c_<i>_<j>)``, a row for each group."""
-    p = len(DIMS)
-    out = moments
-    for i in range(p):
+def _chance() -> dict[str, Column]:
+    """Per statistic: what chance alone moves it in a text of this length.
+
+    A mean word length is a mean over the words; a number of symbols counts rare events, whose root
+    has the deviation 0.5; a duplicate line is half a line of chance, and repeats one line's words.
+    """
+    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    return {
+        "word_length": 0.25 / F.sqrt(words),
+        "symbols": 0.5 / F.sqrt(words),
+        "dup_lines": F.least(0.5 / lines, F.lit(0.15)),
+        "repeats": F.greatest(3 / words, F.least(1 / lines, F.lit(0.15))),
+    }
+
+
+def _factor(df: DataFrame, of) -> DataFrame:
+    """``df`` with ``l_<i>_<j>``, the Cholesky factor of the matrix ``of(i, j)``."""
+    for i in range(len(DIMS)):
         for j in range(i + 1):
-            value = F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + (ridge[DIMS[i]] ** 2 if i == j else 0.0)
+            value = of(i, j)
             for t in range(j):
                 value = value - F.col(f"l_{i}_{t}") * F.col(f"l_{j}_{t}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
+            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
+    return df
+
+
+def _shape(moments: DataFrame, ridge: dict[str, float]) -> DataFrame:
+    """``(g, m_<i>, c_<i>_<j>, k_<i>_<j>, log_det)``: centre, scatter with the ridge, its inverse
+    Cholesky factor and log determinant of ``moments(g, m_<i>, c_<i>_<j>)``, a row for each group."""
+    p = len(DIMS)
+    scatter = [(F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + (ridge[DIMS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    out = _factor(moments.select("g", *[f"m_{i}" for i in range(p)], *scatter), lambda i, j: F.col(f"c_{i}_{j}"))
     for i in range(p):
         for j in range(i + 1):
             value = F.lit(1.0) if i == j else F.lit(0.0)
@@ -90,7 +110,7 @@ def _shape(moments: DataFrame, ridge: dict[str, float]) -> DataFrame:
                 value = value - F.col(f"l_{i}_{t}") * F.col(f"k_{t}_{j}")
             out = out.withColumn(f"k_{i}_{j}", value / F.col(f"l_{i}_{i}"))
     log_det = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(p)), F.lit(0.0)).alias("log_det")
-    return out.select("g", *[f"m_{i}" for i in range(p)], *[f"k_{i}_{j}" for i in range(p) for j in range(i + 1)], log_det)
+    return out.select("g", *[f"m_{i}" for i in range(p)], *[f"{x}_{i}_{j}" for x in "ck" for i in range(p) for j in range(i + 1)], log_det)
 
 
 def _distance(of=lambda i: F.col(DIMS[i]) - F.col(f"m_{i}")) -> Column:
@@ -113,7 +133,7 @@ def _with(df: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def covariance_shapes(vectors: DataFrame, share: float, steps: int) -> DataFrame:
-    """Centre and factor of the minimum covariance determinant for each group of ``vectors``."""
+    """Centre, scatter and factor of the minimum covariance determinant for each group of ``vectors``."""
     p = len(DIMS)
     middle = vectors.groupBy("g").agg(*[F.percentile_approx(DIMS[i], 0.5, 1000).alias(f"a_{i}") for i in range(p)])
     middle = stored(middle, "mcd-medians")
@@ -160,7 +180,9 @@ def rules(
 
     A text fails the base rules with fewer than ``min_words`` words, or if more than
     ``repeat_percent`` of its words are repeated; null text has none.  Of the others those stay
-    whose distance is within the chi-square quantile of 1 - ``tail``.  A null language or source is
+    whose distance is within the chi-square quantile of 1 - ``tail``.  The distance is measured by
+    the group's own scatter, plus what chance moves in a text of this length: one symbol or
+    duplicate line in a short text is none, many in a group without any are an outlier.  A null language or source is
     a group of its own; groups of fewer than ``min_group`` texts are estimated with their whole
     language, and those of rare languages with all texts.  Every row of ``df`` gives one row,
     repeated or null ids included; other columns are ignored.
@@ -177,6 +199,7 @@ def rules(
             "n_words",
             "word_chars",
             "n_symbols",
+            "n_lines",
             "n_dup_lines",
             "n_repeat_words",
             failed.alias("base_failed"),
@@ -209,7 +232,14 @@ def rules(
     # Consistency: the scatter of the nearest share, stretched to that of all for normal vectors.
     factor = share / chi_square(p + 2, chi_square_quantile(p, share))
     limit = chi_square_quantile(p, 1 - tail)
-    distance = F.when(~F.col("base_failed"), _distance() / factor)
+    chance = _chance()
+    judged = _factor(judged, lambda i, j: factor * F.col(f"c_{i}_{j}") + (chance[DIMS[i]] * chance[DIMS[i]] if i == j else 0.0))
+    for i in range(p):
+        off = F.col(DIMS[i]) - F.col(f"m_{i}")
+        for j in range(i):
+            off = off - F.col(f"l_{i}_{j}") * F.col(f"y_{j}")
+        judged = judged.withColumn(f"y_{i}", off / F.col(f"l_{i}_{i}"))
+    distance = F.when(~F.col("base_failed"), sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= limit)
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), kept.alias("kept"))
 

@@ -131,6 +131,21 @@ def test_rules_count_and_reject(spark):
     assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_rules_reject_moderate_outliers_of_clean_groups(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    lines = lambda n, words=10: [" ".join(word() for _ in range(words)) for _ in range(n)]
+    symbols = lambda n: "\n".join(lines(20)).replace(" ", " #", n)
+    copied = lambda copies, n, words: "\n".join(["aa bb cc"] * copies + lines(n, words))
+    rows = [(i, "\n".join(lines(rng.randint(8, 30)))) for i in range(150)]
+    rows += [(1000, symbols(10)), (1001, symbols(20)), (1002, symbols(40)), (1003, copied(8, 12, 10)), (1004, copied(11, 13, 10)), (1005, copied(19, 11, 7))]
+    rows += [(2000, symbols(1)), (2001, symbols(2)), (2002, "\n".join([*(x := lines(10)), x[0]])), (2003, "\n".join(lines(6)).replace(" ", " #", 1))]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = outliers.rules(df).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(1000, 1006))
+
+
 def test_rules_on_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert outliers.rules(df).count() == 0 and outliers.passing(df).count() == 0
