@@ -83,28 +83,31 @@ def _counter(bits: int, orders: tuple[int, ...]):
     return run
 
 
-def fit(labelled: DataFrame, max_rows: int = 40_000, bits: int = 14, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, max_rows: int | None = None, bits: int = 14, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``labelled`` that have a text and a language.
 
-    ``max_rows`` is the documented bound: of more rows, about so many are taken by a hash of the
-    id.  Only n-gram counts, at most languages times 2**bits rows, reach the driver.  Without a row
-    to learn from, the model knows no language.
+    All of them are counted; ``max_rows`` takes about so many by a hash of the id, and all rows of
+    languages that have no more than their equal part of it.  Only n-gram counts, at most languages
+    times 2**bits rows, reach the driver.  The model knows the languages that have counts.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = min(1.0, max_rows / max(1, sum(per.values())))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if max_rows is not None and sum(per.values()) > max_rows:
+        most = max_rows / len(per)
+        cut = F.lit(1 << 20)
+        for name in (x for x in per if per[x] > most):
+            cut = F.when(F.col("lang") == name, int(most / per[name] * (1 << 20))).otherwise(cut)
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 20)) < cut)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
     counted = rows.select("text", "lang").mapInArrow(_counter(bits, orders), schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(per)
+    names = sorted(set(counted["lang"].to_pylist()))
     place = {x: k for k, x in enumerate(names)}
     counts = np.zeros((1 << bits, len(names)))
     if counted.num_rows:
         at = np.array([place[x] for x in counted["lang"].to_pylist()])
         counts[counted["bucket"].to_numpy(), at] = counted["n"].to_numpy()
     weights = np.log((counts + smoothing) / (counts.sum(0) + smoothing * (1 << bits)))
-    prior = np.log(np.array([per[x] for x in names], float) / max(1, sum(per.values()))) if names else np.zeros(0)
+    prior = np.log(np.array([per[x] for x in names], float) / sum(per[x] for x in names)) if names else np.zeros(0)
     return Model(names, weights.astype(np.float32), prior, bits, orders)
 
 

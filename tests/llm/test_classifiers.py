@@ -32,6 +32,17 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_rare_beside_a_large_one(spark):
+    last = [r["id"] for r in spark.range(50_000, 60_000).where("pmod(xxhash64('lang', id), 1048576) > 1045000").limit(2).collect()]
+    train = [(i, "the cat and the dog are here", "en") for i in range(41_000)] + [(last[0], "это русский текст", "ru"), (last[1], "zażółć gęślą jaźń", "pl")]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == ["en", "pl", "ru"] and all(np.ptp(model.weights[:, k]) > 1 for k in range(3))
+    odd = spark.createDataFrame([(1, "русский текст"), (2, "gęślą jaźń"), (3, "the dog")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(odd, model).collect()] == ["ru", "pl", "en"]
+    assert langid.fit(df, max_rows=1000).languages == ["en", "pl", "ru"]
+
+
 def test_toxicity_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     got = queries.op9_toxicity(spark, SF).join(labels, "doc_id", "left").collect()
