@@ -633,7 +633,7 @@ def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = panel_of(spark, sf_dir).withColumn("qty", F.coalesce("qty", F.lit(0.0))).withColumn("price", F.col("price") / 100_000)
-    return models.LinearRanker("customer_id", "n_lines", KEYS, ["qty", "price"]).fit(df, fraction=0.5).predict(df).select("sid", "score")
+    return models.LinearRanker("customer_id", "n_lines", KEYS, ["qty", "price"]).fit(df).predict(df).select("sid", "score")
 
 
 @query()

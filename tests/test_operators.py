@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.hashing import unit_hash
 from panelspark.functions.ranking import global_rank, running_sums
 from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, roles, sampling, threshold
+from panelspark.plans import catalog
 from panelspark.sources.scratch import scratch_path
 from panelspark.sources.tables import Registry, Source, limited_handoff
 
@@ -171,6 +172,15 @@ def people(spark, n=300):
     return spark.createDataFrame(rows, "id long, c string, x double, z double, b boolean, y int").withColumn("flat", F.lit(7.0)).withColumn("void", F.lit(None).cast("double"))
 
 
+def test_rank_scores_learn_from_all_pairs(spark, monkeypatch):
+    met, plain = [], models.pairs
+    monkeypatch.setattr(models, "pairs", lambda df, *args: met.append((df, plain(df, *args))) or met[-1][1])
+    assert catalog.queries()["rank_scores"](spark, "/root/testdata/sf0.001").count()
+    df, got = met[0]
+    a, b = df.alias("a"), df.alias("b")
+    assert got.count() == a.join(b, F.expr("a.customer_id = b.customer_id and a.n_lines > b.n_lines")).count() > 0
+
+
 @pytest.mark.parametrize("encoding", ["one_hot", "label", "ordinal", "target", "native"])
 def test_preprocessor_round_trip_and_unseen_levels(spark, encoding):
     df = people(spark)
