@@ -137,7 +137,11 @@ class ColumnPlan:
 
 @dataclass
 class Preprocessor:
-    """Numeric block first, then the categorical block; every column by its own plan."""
+    """Numeric block first, then the categorical block; every column by its own plan.
+
+    One-hot encoding has a column for every learned level; ``fit`` raises an error where a column has
+    more than ``max_one_hot`` of them.
+    """
 
     numeric: list[str]
     categorical: list[str]
@@ -180,7 +184,11 @@ class Preprocessor:
                 self.fills[c] = {"level": MISSING, "most_frequent": most.get(c, MISSING), "constant": str(plan.value or "missing")}[plan.imputation]
             self.levels = category_levels(df.select(*[self._filled(c).alias(c) for c in self.categorical]), self.categorical)
             wide = [c for c in self.categorical if self._plan(c).encoding == "one_hot"]
-            for r in self.levels.where(F.col("column").isin(wide)).where(F.col("by_frequency") < self.max_one_hot).orderBy("column", "by_name").collect():
+            hot = self.levels.where(F.col("column").isin(wide))
+            beyond = {r["column"]: r["count"] for r in hot.groupBy("column").count().collect() if r["count"] > self.max_one_hot}
+            if beyond:
+                raise ValueError(f"more than max_one_hot = {self.max_one_hot} levels: {beyond}; raise it or choose another encoding")
+            for r in hot.orderBy("column", "by_name").collect():
                 self.hot.setdefault(r["column"], []).append(r["value"])
             for c in self.categorical:
                 if self._plan(c).encoding == "target":

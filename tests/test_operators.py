@@ -172,6 +172,13 @@ def people(spark, n=300):
     return spark.createDataFrame(rows, "id long, c string, x double, z double, b boolean, y int").withColumn("flat", F.lit(7.0)).withColumn("void", F.lit(None).cast("double"))
 
 
+def test_one_hot_keeps_every_level_or_raises(spark):
+    df = spark.range(6).select(F.col("id").cast("string").alias("c"))
+    assert prep.Preprocessor([], ["c"], max_one_hot=6).fit(df).names() == [f"c={k}" for k in range(6)]
+    with pytest.raises(ValueError, match="max_one_hot"):
+        prep.Preprocessor([], ["c"], max_one_hot=5).fit(df)
+
+
 def test_rank_scores_learn_from_all_pairs(spark, monkeypatch):
     met, plain = [], models.pairs
     monkeypatch.setattr(models, "pairs", lambda df, *args: met.append((df, plain(df, *args))) or met[-1][1])
