@@ -25,11 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import chunks, hash_spans, utf8
+from .text import chunks, hash_spans, same_spans, utf8
 
 # Code points of Unicode's White_Space property.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
+# Code points that became letters and numbers in Unicode 16.0.  The pattern's library
+# follows that version, while Python 3.13 knows Unicode 15.1.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Symbols: a letter, number or other character; an apostrophe before a one- or two-letter
 #: contraction; white space that is followed by white space or the end; a blank before a
@@ -66,12 +76,17 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point, as of Unicode 16.0; a worker's Python must know 15.1 at least."""
+    if tuple(map(int, unicodedata.unidata_version.split("."))) < (15, 1):
+        raise RuntimeError(f"Unicode {unicodedata.unidata_version} is too old: code point classes need 15.1")
     out = np.full(0x110000, OTHER, np.uint8)
     for code in range(0x110000):
         kind = unicodedata.category(chr(code))[0]
         if kind in "LN":
             out[code] = LETTER if kind == "L" else NUMBER
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for low, high in ranges:
+            out[low : high + 1] = kind
     out[WHITE_SPACE] = SPACE
     return out
 
@@ -158,7 +173,9 @@ class Slots:
 class Merger:
     """Merges of one rank table, with a bounded cache of pieces.
 
-    The cache is keyed by a 64-bit hash of the piece; it starts anew when it is full.
+    The cache is found by a 64-bit hash of the piece and keeps the piece's bytes: every hit is compared
+    with them, and a batch in which two pieces share a hash is merged without the cache.  It starts
+    anew when it is full.
     """
 
     def __init__(self, ranks: dict[bytes, int], cached: int = 400_000):
@@ -181,6 +198,8 @@ class Merger:
         self.known, self.used = 0, 0
         self.at, self.count = np.zeros(self.cached, np.int32), np.zeros(self.cached, np.int16)
         self.pool = np.zeros(4 * self.cached, np.int32)
+        self.held, self.held_bytes = np.zeros(8 * self.cached + 8, np.uint8), 0
+        self.held_at, self.held_size = np.zeros(self.cached, np.int64), np.zeros(self.cached, np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two adjacent tokens make, else NONE."""
@@ -267,11 +286,23 @@ class Merger:
             self.at[places] = self.used + np.cumsum(count) - count
             self.count[places] = count
             self.slots.add(fresh, places)
+            self._hold(places, b"".join(words), np.fromiter(map(len, words), np.int64, len(words)))
             self.known, self.used = self.known + len(fresh), self.used + total
             place[lost] = places[np.searchsorted(fresh, keys[lost])]
+        if not same_spans(raw, begins, ends - begins, self.held, self.held_at[place], self.held_size[place]):
+            return self._without_cache(raw, begins, ends)
         count = self.count[place].astype(np.int64)
         return self.pool[spread(self.at[place], count)], count
 
+    def _hold(self, places: np.ndarray, words: bytes, size: np.ndarray) -> None:
+        """Keep the bytes of new pieces."""
+        end = self.held_bytes + len(words)
+        if end + 8 > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(end + 8, np.uint8)])
+        self.held[self.held_bytes : end] = np.frombuffer(words, np.uint8)
+        self.held_at[places], self.held_size[places] = self.held_bytes + np.cumsum(size) - size, size
+        self.held_bytes = end
+
     def _without_cache(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = raw.tobytes()
         ids = self.merge_many([text[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])

@@ -39,15 +39,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of one piece have about ``limit`` bytes (one row at least)."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that one piece has at most ``rows`` rows, and texts of about ``limit`` bytes
+    (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = utf8(batch.column(column))
         begin = 0
         while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1)
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1))
             yield batch.slice(begin, end - begin)
             begin = end
 
@@ -65,17 +66,43 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begins, np.flatnonzero(end) + 1, np.searchsorted(begins, at)
 
 
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, zeros behind the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1), writeable=False)
+
+
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(lanes[at]).view(np.uint64).ravel() & _MASK[left]
+
+
+def same_spans(raw: np.ndarray, begins: np.ndarray, size: np.ndarray, other: np.ndarray, other_begins: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether every span of ``raw`` has the bytes of its span of ``other``.
+
+    ``other`` has eight spare bytes behind its last span.
+    """
+    if not np.array_equal(size, other_size):
+        return False
+    a, b = _lanes(raw), np.lib.stride_tricks.as_strided(other, (len(other) - 7, 8), (1, 1), writeable=False)
+    active, done = np.flatnonzero(size > 0), 0
+    while len(active):
+        left = np.minimum(size[active] - done, 8)
+        if not np.array_equal(_lane(a, begins[active] + done, left), _lane(b, other_begins[active] + done, left)):
+            return False
+        done += 8
+        active = active[size[active] > done]
+    return True
+
+
 def hash_spans(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span, eight bytes at a time."""
     size = ends - begins
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    lanes = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1), writeable=False)
+    lanes = _lanes(raw)
     out = mix(size.astype(np.uint64) + np.uint64(seed * 0x51ED27 + 1))
     active, done = np.flatnonzero(size > 0), 0
     while len(active):
         left = np.minimum(size[active] - done, 8)
-        lane = np.ascontiguousarray(lanes[begins[active] + done]).view(np.uint64).ravel() & _MASK[left]
-        out[active] = mix(out[active] * _A ^ lane)
+        out[active] = mix(out[active] * _A ^ _lane(lanes, begins[active] + done, left))
         done += 8
         active = active[size[active] > done]
     return out

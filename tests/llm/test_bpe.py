@@ -48,6 +48,26 @@ def test_any_code_point(ranks, reference):
     _check(bpe.Merger(ranks), reference, texts)
 
 
+def test_every_code_point_in_context(ranks, reference):
+    """All below U+33000, then every 61st, and the special-purpose plane."""
+    merger = bpe.Merger(ranks)
+    codes = [c for c in (*range(0x33000), *range(0x33000, 0x110000, 61), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)}2!{chr(c)}?" for c in codes[k : k + 64]) for k in range(0, len(codes), 64)]
+    for k in range(0, len(texts), 500):
+        out = bpe.encode_texts(merger, pa.array(texts[k : k + 500], pa.string()))
+        for j, text in enumerate(texts[k : k + 500]):
+            assert out.ids[out.cuts[j] : out.cuts[j + 1]].tolist() == reference.encode_ordinary(text), (hex(ord(text[1])), j)
+
+
+def test_pieces_that_share_a_hash(ranks, reference, monkeypatch):
+    weak = lambda raw, begins, ends, seed=0: (ends - begins).astype("uint64") % 5 + raw[begins] % 3
+    monkeypatch.setattr(bpe, "hash_spans", weak)
+    rng = random.Random(7)
+    merger = bpe.Merger(ranks)
+    for _ in range(4):
+        _check(merger, reference, ["".join(rng.choice(PARTS) for _ in range(20)) for _ in range(20)] + ["same same", "mesa same"])
+
+
 def test_a_full_cache_starts_anew(ranks, reference):
     rng = random.Random(3)
     merger = bpe.Merger(ranks, cached=50)
