@@ -31,22 +31,29 @@ def grams(texts: list[str], bits: int, orders: tuple[int, ...]) -> tuple[list[np
     """Buckets of the n-grams of each order by their last position, which text each position is of,
     and whether each text has a letter.
 
-    Texts are lower-cased; anything that is not a letter counts as one blank, which stands before
-    and after every run of letters.
+    Texts are lower-cased; a run of anything but letters counts as one blank.  A text begins behind
+    blanks and ends with one, and no n-gram reaches into the text before it.
     """
     lowered = [x.lower() for x in texts]
-    points = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le"), np.uint32)
-    ends = np.cumsum([len(x) + 1 for x in lowered])
+    points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(x) + 1 for x in lowered], np.int64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    starts = np.cumsum(size) - size
     letter = LETTERS()[np.minimum(points, 0x10FFFF)]
-    keep = letter | np.append(True, letter[:-1])
-    owner = np.minimum(np.searchsorted(ends, np.arange(len(points)), "left"), len(texts) - 1)[keep]
-    seen = np.bincount(owner[letter[keep]], minlength=len(texts)) > 0
+    before = np.append(False, letter[:-1])
+    before[starts] = False
+    keep = letter | before
+    owner = owner[keep]
+    seen = np.bincount(owner, minlength=len(texts)) > 0
     points = np.where(letter, points, np.uint32(32))[keep].astype(np.uint64)
+    place = np.arange(len(points)) - np.searchsorted(owner, owner)
     out = []
     for n in orders:
         state = np.full(len(points), n, np.uint64)
         for back in range(n):
-            shifted = np.concatenate([np.full(back, 32, np.uint64), points[: len(points) - back]])
+            shifted = np.full(len(points), 32, np.uint64)
+            shifted[back:] = points[: max(0, len(points) - back)]
+            shifted[place < back] = 32
             state = state * np.uint64(0x100000001B3) ^ shifted
         out.append((mix(state) >> np.uint64(64 - bits)).astype(np.int64))
     return out, owner, seen
@@ -83,15 +90,20 @@ def _counter(bits: int, orders: tuple[int, ...]):
     return run
 
 
-def fit(labelled: DataFrame, max_rows: int | None = None, bits: int = 14, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, max_rows: int | None = None, max_languages: int = 500, bits: int = 14, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``labelled`` that have a text and a language.
 
     All of them are counted; ``max_rows`` takes about so many by a hash of the id, and all rows of
-    languages that have no more than their equal part of it.  Only n-gram counts, at most languages
-    times 2**bits rows, reach the driver.  The model knows the languages that have counts.
+    languages that have no more than their equal part of it.  Of a label column with more than
+    ``max_languages`` values the most frequent are learned, ties by name; that bounds the model.
+    Only n-gram counts, at most ``max_languages`` times 2**bits rows, reach the driver.  The model
+    knows the languages that have counts.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()}
+    if len(per) > max_languages:
+        per = dict(list(per.items())[:max_languages])
+        rows = rows.where(F.col("lang").isin(list(per)))
     if max_rows is not None and sum(per.values()) > max_rows:
         most = max_rows / len(per)
         cut = F.lit(1 << 20)
@@ -112,10 +124,11 @@ def fit(labelled: DataFrame, max_rows: int | None = None, bits: int = 14, orders
 
 
 def classify(model: Model, texts: list[str | None], evidence: int = 120) -> tuple[list[str], np.ndarray]:
-    """Predicted language and its probability.
+    """The most probable language, and a probability that is comparable over lengths.
 
-    N-grams of a text depend on each other, so that the likelihood of a long text counts as that of
-    ``evidence`` n-grams: probabilities stay comparable over lengths.
+    The language is that of the plain sum of log prior and log likelihoods.  N-grams of a text
+    depend on each other, so that this sum is far too certain of long texts: for the probability
+    only, it is scaled down to that of ``evidence`` n-grams, which never changes the order.
     """
     n = len(texts)
     found, owner, seen = grams([x or "" for x in texts], model.bits, model.orders)
@@ -123,18 +136,15 @@ def classify(model: Model, texts: list[str | None], evidence: int = 120) -> tupl
         return [UNKNOWN] * n, np.zeros(n)
     total = np.zeros((n, len(model.languages)))
     first = np.searchsorted(owner, np.arange(n))
-    filled = np.bincount(owner, minlength=n) > 0
     for buckets in found:
         for k in range(len(model.languages)):
-            total[filled, k] += np.add.reduceat(model.weights[:, k].astype(np.float64)[buckets], first[filled])
+            total[seen, k] += np.add.reduceat(model.weights[:, k].astype(np.float64)[buckets], first[seen])
+    logits = model.prior + total
+    best = logits.argmax(1)
     size = np.maximum(1, np.bincount(owner, minlength=n) * len(found))
-    logits = model.prior + total * np.minimum(1, evidence / size)[:, None]
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
-    best = p.argmax(1)
+    p = np.exp((logits - logits.max(1, keepdims=True)) * np.minimum(1, evidence / size)[:, None])
     named = [model.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), seen.tolist(), strict=True)]
-    return named, np.where(seen, p[np.arange(n), best], 0.0)
+    return named, np.where(seen, 1 / p.sum(1), 0.0)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "lang_", keep: list[str] | Column | None = None) -> DataFrame:
@@ -146,12 +156,13 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "
     """
     names = (f"{prefix}pred", f"{prefix}score")
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    text, more = (text_col, []) if text_col in kept else ("__text", [df[text_col].alias("__text")])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
-            pred, score = classify(shared.value, batch.column("__text").to_pylist())
+        for batch in chunks(batches, text):
+            pred, score = classify(shared.value, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, *names])
 
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return df.select(*[df[c] for c in kept], df[text_col].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in kept], *more).mapInArrow(run, schema)

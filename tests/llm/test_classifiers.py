@@ -19,6 +19,59 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def bayes_counts(text, bits, orders):
+    """Buckets of a text's n-grams, one by one."""
+    mask = (1 << 64) - 1
+
+    def finish(x):
+        x ^= x >> 31
+        x = x * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        return (x ^ x >> 32) >> (64 - bits)
+
+    letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()) + " ").lstrip(" ")
+    out = []
+    for n in orders:
+        padded = " " * (n - 1) + letters
+        for k in range(len(letters)):
+            state = n
+            for back in range(n):
+                state = state * 0x100000001B3 & mask ^ ord(padded[k + n - 1 - back])
+            out.append(finish(state))
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(10_000, "Straße ÀÉ x", "de"), (10_001, "the", None), (10_002, "12", "en"), (10_003, "der Hund " * 3000, None), (10_004, None, "en")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).cache()
+    rows = docs.orderBy("doc_id").collect()
+    model = langid.fit(docs, bits=12)
+    counts, size = {x: np.zeros(1 << 12) for x in model.languages}, {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None:
+            np.add.at(counts[r["lang"]], bayes_counts(r["text"], 12, (1, 2, 3)), 1)
+            size[r["lang"]] = size.get(r["lang"], 0) + 1
+    assert sorted(counts) == sorted(size)
+    for k, x in enumerate(model.languages):
+        want = np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * (1 << 12)))
+        assert model.weights[:, k] == pytest.approx(want, abs=1e-5)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model, keep=["doc_id"]).collect()}
+    for r in rows:
+        at = bayes_counts(r["text"] or "", 12, (1, 2, 3))
+        logits = model.prior + model.weights[at].astype(float).sum(0)
+        want = model.languages[int(logits.argmax())] if at else "und"
+        assert got[r["doc_id"]]["lang_pred"] == want, r["doc_id"]
+        if at:
+            p = np.exp((logits - logits.max()) * min(1, 120 / len(at)))
+            assert got[r["doc_id"]]["lang_score"] == pytest.approx(1 / p.sum(), rel=1e-6)
+    again = {r["doc_id"]: r for r in langid.predict(docs.repartition(7), langid.fit(docs.repartition(5), bits=12), keep=["doc_id"]).collect()}
+    assert again == got
+    assert langid.fit(docs, max_languages=2).languages == sorted(sorted(size, key=lambda x: (-size[x], x))[:2])
+    docs.unpersist()
+
+
 def test_language_edge_cases(spark):
     train = [("the cat and the dog are here", "en"), ("der Hund und die Katze sind da", "de"), (None, "en"), ("text", None)] * 5
     model = langid.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, text string, lang string"))
