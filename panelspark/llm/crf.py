@@ -1,10 +1,16 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Token labels come from document labels: a word of a toxic document is labelled toxic if one of its
-hashed features stands in toxic documents far more often than in others.  The chain has two states,
-emissions from hashed features of the word (whole, prefixes, suffix) and learned transitions, and
-runs over blocks of ``BLOCK`` words.  Forward-backward marginals give the offending spans; their
-sum of squares and maximum, calibrated on the labelled documents, give the score of a document.
+Token labels come from document labels: a word of a toxic document is first labelled toxic if one of
+its hashed features stands in toxic documents far more often than in others; then rounds of retagging
+replace these labels by what the chain itself finds in the toxic documents.  The chain has two
+states, emissions from hashed features of the word (whole, prefixes, suffix) and learned
+transitions, and runs over the whole text, however long.  Forward-backward marginals give the
+offending spans; their sum of squares and maximum, calibrated on the labelled documents, give the
+score of a document.
+
+Blocks of ``BLOCK`` words serve speed only: each block becomes the 2 by 2 matrix that carries a message
+through it, messages pass from block to block along a text, and all blocks then run side by side
+from the messages that enter them.
 """
 
 from __future__ import annotations
@@ -64,38 +70,77 @@ def blocks_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(BLOCK, np.repeat(first[1:], many) - begin)
 
 
-def forward_backward(score: np.ndarray, length: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state (steps, blocks), and expected transition counts (2, 2).
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(0)
 
-    ``score`` (steps, blocks) is the log odds of the toxic state by a word alone.
+
+def _messages(through: np.ndarray, first_block: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters every block from the left, and from the right; texts run side by side."""
+    many = np.diff(first_block)
+    order = np.argsort(-many, kind="stable")
+    begin, many = first_block[:-1][order], many[order]
+    enter, leave = np.empty((2, through.shape[2])), np.ones((2, through.shape[2]))
+    enter[:, begin[many > 0]] = _scaled(np.exp(start))[:, None]
+    for j in range(1, int(many.max(initial=0))):
+        at = begin[: np.searchsorted(-many, -j, "left")] + j
+        enter[:, at] = _scaled((enter[:, None, at - 1] * through[:, :, at - 1]).sum(0))
+    for j in range(int(many.max(initial=0)) - 1, 0, -1):
+        at = begin[: np.searchsorted(-many, -j, "left")] + j
+        leave[:, at - 1] = _scaled((through[:, :, at] * leave[None, :, at]).sum(1))
+    return enter, leave
+
+
+def forward_backward(score: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic state of every word, and expected transition counts (2, 2).
+
+    ``score`` is the log odds of the toxic state by a word alone; text k has the words from
+    ``first[k]`` to ``first[k + 1]``.
     """
-    steps, many = score.shape
-    e1 = np.exp(np.clip(score, -30, 30))
+    out, pairs = np.zeros(len(score)), np.zeros((2, 2))
+    begin, length = blocks_of(first)
+    if not len(begin):
+        return out, pairs
+    place = padded(begin, length)
+    steps, blocks = place.shape
+    inside = place >= 0
+    e1 = np.append(np.exp(np.clip(score, -30, 30)), 1.0)[place]
     t = np.exp(transition)
-    alpha = np.empty((steps, 2, many))
-    now = np.exp(start)[:, None] * np.ones((2, many))
+    first_block = np.concatenate([[0], np.cumsum(-(-np.diff(first) // BLOCK))])
+    opens = np.zeros(blocks, bool)
+    opens[first_block[:-1][np.diff(first_block) > 0]] = True
+
+    through = np.zeros((2, 2, blocks))
+    through[0, 0] = through[1, 1] = 1
     for k in range(steps):
-        if k:
-            before = alpha[k - 1]
-            now = np.stack([before[0] * t[0, 0] + before[1] * t[1, 0], before[0] * t[0, 1] + before[1] * t[1, 1]])
-        now[1] = now[1] * e1[k]
-        alpha[k] = now / (now[0] + now[1])
-    beta = np.ones((2, many))
-    marginal = np.empty((steps, many))
-    pairs = np.zeros((2, 2))
+        left, right = through[:, 0], through[:, 1]
+        one, two = left * t[0, 0] + right * t[1, 0], left * t[0, 1] + right * t[1, 1]
+        if k == 0:
+            one, two = np.where(opens, left, one), np.where(opens, right, two)
+        two = two * e1[k]
+        total = (one + two).sum(0)
+        through = np.where(inside[k], np.stack([one, two], 1) / total, through)
+    enter, leave = _messages(through, first_block, start)
+
+    alpha = np.empty((steps, 2, blocks))
+    now = enter
+    for k in range(steps):
+        moved = np.stack([now[0] * t[0, 0] + now[1] * t[1, 0], now[0] * t[0, 1] + now[1] * t[1, 1]])
+        if k == 0:
+            moved = np.where(opens, now, moved)
+        moved[1] *= e1[k]
+        alpha[k] = now = np.where(inside[k], moved / (moved[0] + moved[1]), now)
+    beta = leave
     for k in range(steps - 1, -1, -1):
+        own = inside[k]
         both = alpha[k] * beta
-        total = both[0] + both[1]
-        marginal[k] = both[1] / total
-        if k:
-            inside = k < length
-            ahead = np.stack([beta[0], beta[1] * e1[k]])
-            joint = alpha[k - 1][:, None] * t[:, :, None] * ahead[None]
-            joint /= joint.sum((0, 1))
-            pairs += joint[:, :, inside].sum(2)
-            back = np.stack([t[0, 0] * ahead[0] + t[0, 1] * ahead[1], t[1, 0] * ahead[0] + t[1, 1] * ahead[1]])
-            beta = np.where(inside, back / back.sum(0), 1.0)
-    return marginal, pairs
+        out[place[k, own]] = (both[1] / (both[0] + both[1]))[own]
+        ahead = np.stack([beta[0], beta[1] * e1[k]])
+        joint = (alpha[k - 1] if k else enter)[:, None] * t[:, :, None] * ahead[None]
+        linked = own if k else own & ~opens
+        pairs += (joint[:, :, linked] / joint[:, :, linked].sum((0, 1))).sum(2)
+        back = np.stack([t[0, 0] * ahead[0] + t[0, 1] * ahead[1], t[1, 0] * ahead[0] + t[1, 1] * ahead[1]])
+        beta = np.where(own, back / back.sum(0), beta)
+    return out, pairs
 
 
 def padded(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -106,15 +151,7 @@ def padded(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def marginals(model: Model, features: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The toxic marginal of every word."""
-    out = np.zeros(len(features))
-    begin, length = blocks_of(first)
-    if len(begin):
-        score = np.append(model.emission[features].sum(1) + model.bias, 0.0)
-        place = padded(begin, length)
-        found, _ = forward_backward(score[place], length, model.transition, model.start)
-        real = place >= 0
-        out[place[real]] = found[real]
-    return out
+    return forward_backward(model.emission[features].sum(1) + model.bias, first, model.transition, model.start)[0]
 
 
 def summaries(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -150,27 +187,23 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[1][at], pa.int64()), pa.array(counts[0][at], pa.int64())], ["feature", "toxic", "clean"])
 
 
-def fit_chain(features: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Maximum likelihood by AdaGrad over all blocks."""
-    model = Model(np.zeros(1 << BITS, np.float32), -2.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))
-    begin, length = blocks_of(first)
-    if not len(begin):
+def fit_chain(features: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-4, model: Model | None = None) -> Model:
+    """Maximum likelihood by AdaGrad over all texts, from ``model`` on if there is one."""
+    model = model or Model(np.zeros(1 << BITS, np.float32), -2.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))
+    if not len(tags):
         return model
-    place = padded(begin, length)
-    real = place >= 0
-    inner = real[1:]
-    tag = np.append(tags, 0)[place].astype(np.int64)
-    observed = np.bincount((tag[:-1] * 2 + tag[1:])[inner], minlength=4).reshape(2, 2).astype(float)
+    opening = first[:-1][np.diff(first) > 0]
+    linked = np.ones(len(tags), bool)
+    linked[opening] = False
+    tag = tags.astype(np.int64)
+    observed = np.bincount((np.append(0, tag[:-1]) * 2 + tag)[linked], minlength=4).reshape(2, 2).astype(float)
     seen = [np.full(1 << BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8), np.full(2, 1e-8)]
     n = max(1, int(tags.sum()))
     for _ in range(rounds):
-        score = np.append(model.emission[features].sum(1) + model.bias, 0.0)
-        found, pairs = forward_backward(score[place], length, model.transition, model.start)
-        p = np.zeros(len(tags))
-        p[place[real]] = found[real]
+        p, pairs = forward_backward(model.emission[features].sum(1) + model.bias, first, model.transition, model.start)
         rest = (tags - p) / n
         emission = np.bincount(features.ravel(), np.repeat(rest, features.shape[1]), 1 << BITS) - decay * model.emission
-        begins = np.array([(found[0] - tag[0]).sum(), (tag[0] - found[0]).sum()]) / n
+        begins = np.array([-rest[opening].sum(), rest[opening].sum()])
         for k, (name, slope) in enumerate((("emission", emission), ("bias", rest.sum()), ("transition", (observed - pairs) / n), ("start", begins))):
             seen[k] = seen[k] + slope**2
             setattr(model, name, getattr(model, name) + rate * slope / np.sqrt(seen[k]))
@@ -178,6 +211,19 @@ def fit_chain(features: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds:
     return model
 
 
+def retagged(model: Model, features: np.ndarray, first: np.ndarray, toxic: np.ndarray, at_least: float = 0.5, doubtful: float = 0.2) -> np.ndarray:
+    """New labels: words that the chain finds in toxic documents, none in others.
+
+    A toxic document without one keeps its most suspect word if that reaches ``doubtful``.
+    """
+    p = marginals(model, features, first)
+    n = np.diff(first)
+    most = np.zeros(len(n))
+    most[n > 0] = np.maximum.reduceat(p, first[:-1][n > 0]) if len(p) else 0
+    limit = np.where(most >= at_least, at_least, np.maximum(most, doubtful))
+    return ((p >= np.repeat(limit, n)) & np.repeat(toxic, n)).astype(float)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -189,12 +235,13 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 5
     return w
 
 
-def fit(labelled: DataFrame, max_docs: int = 12_000, max_blocks: int = 6_000, least_docs: int = 5, lift: float = 3.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(labelled: DataFrame, max_docs: int = 12_000, max_words: int = 400_000, longest: int = 20_000, retags: int = 2, least_docs: int = 5, lift: float = 3.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from ``labelled`` rows with a text and a label of 0 or 1.
 
-    Documented bounds: about ``max_docs`` documents, by a hash of the id, and ``max_blocks`` blocks
-    of ``BLOCK`` words for the chain.  The driver gets the features with a lift of exp(``lift``) in
-    at least ``least_docs`` toxic documents, the blocks, and three numbers for each document.
+    Documented bounds: about ``max_docs`` documents, by a hash of the id; the chain learns from whole
+    documents of them with about ``max_words`` words in all, none of more than ``longest`` words.
+    The driver gets the features with a lift of exp(``lift``) in at least ``least_docs`` toxic
+    documents, the words of those whole documents, and three numbers for each document.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
     total = rows.count()
@@ -215,26 +262,29 @@ def fit(labelled: DataFrame, max_docs: int = 12_000, max_blocks: int = 6_000, le
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             features, _, _, first = word_features(batch.column("text"))
-            label = np.repeat(np.array(batch.column("label").to_pylist(), bool), np.diff(first))
-            suspect = offending[features].any(1)
-            tags = suspect & label
-            begin, length = blocks_of(first)
-            kind = np.where(np.maximum.reduceat(tags, begin), 2, np.maximum.reduceat(suspect, begin)) if len(begin) else np.zeros(0, int)
-            out = [(features[a : a + m].astype(np.int32).tobytes(), tags[a : a + m].astype(np.int8).tobytes(), int(h)) for a, m, h in zip(begin.tolist(), length.tolist(), kind.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["features", "tags", "kind"])
-
-    pieces = stored(sample.select("text", "label").mapInArrow(tagged, "features binary, tags binary, kind int"), "toxic-blocks")
-    taken = []
-    for kind in (2, 1, 0):  # with toxic words; with such features in a clean text; other blocks
-        some = pieces.where(F.col("kind") == kind)
-        part = min(1.0, max_blocks / 3 / max(1, some.count()))
-        taken.append(some.where(F.pmod(F.xxhash64("features"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1)))
-    got = taken[0].unionByName(taken[1]).unionByName(taken[2]).select("features", "tags").toArrow()
-    feature_rows = [np.frombuffer(x, np.int32).reshape(-1, len(FEATURES)) for x in got["features"].to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in feature_rows])]).astype(np.int64)
-    features = np.concatenate(feature_rows) if feature_rows else np.zeros((0, len(FEATURES)), np.int32)
-    tags = np.concatenate([np.frombuffer(x, np.int8) for x in got["tags"].to_pylist()]).astype(float) if feature_rows else np.zeros(0)
+            out = []
+            for label, a, b in zip(batch.column("label").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if 0 < b - a <= longest:
+                    suspect = offending[features[a:b]].any(1)
+                    kind = 2 if label and suspect.any() else int(suspect.any() or label)
+                    out.append((features[a:b].tobytes(), (suspect & bool(label)).astype(np.int8).tobytes(), label, kind, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()))], ["features", "tags", "label", "kind", "words"])
+
+    pieces = stored(single.select("text", "label").mapInArrow(tagged, "features binary, tags binary, label int, kind int, words long"), "toxic-words")
+    words, taken = {r["kind"]: r["words"] for r in pieces.groupBy("kind").agg(F.sum("words").alias("words")).collect()}, None
+    for kind in (2, 1, 0):  # with toxic words; clean with such words, or toxic without; other documents
+        part = min(1.0, max_words / 3 / max(1, words.get(kind, 0)))
+        some = pieces.where((F.col("kind") == kind) & (F.pmod(F.xxhash64("features"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1)))
+        taken = some if taken is None else taken.unionByName(some)
+    got = taken.select("features", "tags", "label").toArrow()
+    rows = [np.frombuffer(x, np.int32).reshape(-1, len(FEATURES)) for x in got["features"].to_pylist()]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+    features = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)), np.int32)
+    tags = np.concatenate([np.frombuffer(x, np.int8) for x in got["tags"].to_pylist()]).astype(float) if rows else np.zeros(0)
     model = fit_chain(features, tags, first)
+    for _ in range(retags):
+        tags = retagged(model, features, first, np.array(got["label"].to_pylist(), bool))
+        model = fit_chain(features, tags, first, rounds=20, rate=0.2, model=model)
 
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
