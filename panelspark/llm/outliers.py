@@ -1,10 +1,11 @@
 """Quality rules: plain limits, then robust multivariate outliers, in DataFrame operations only.
 
 Texts that pass the plain limits become vectors of transformed statistics.  For every language and
-source the minimum covariance determinant is estimated by concentration steps from two
-deterministic starts: take the share of vectors with the smallest Mahalanobis distances, estimate
-centre and scatter on them, repeat; the start that ends with the smaller determinant wins.  All
-sums are partially aggregated, so that a group of any size costs a row for each task.
+source the minimum covariance determinant is sought by concentration steps: take the share of
+vectors with the smallest Mahalanobis distances, estimate centre and scatter on them, repeat until
+no group's determinant falls any more.  Steps begin at three deterministic robust starts, and the
+one that ends with the smallest determinant wins.  All sums are partially aggregated, so that a
+group of any size costs a row for each task.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ from .mixing import small
 from .storage import stored
 
 GAP = r"[\x20\x09-\x0D]+"
-#: Per statistic: a deviation added to every group's scatter, against singular matrices only.
-FLOORS = {"word_length": 0.01, "symbols": 0.02, "dup_lines": 0.02, "repeats": 0.02}
-DIMS = list(FLOORS)
+DIMS = ["word_length", "symbols", "dup_lines", "repeats"]
+#: The part of a statistic's deviation in all texts that is added to every group's, so that a
+#: matrix of a group in which the statistic never varies can be inverted.
+RIDGE = 0.05
+#: Rank error of medians and cuts: one in so many rows of a group; smaller groups are exact.
+ACCURACY = 10_000
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def base_statistics(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -86,169 +91,205 @@ def _chance() -> dict[str, Column]:
     }
 
 
-def _factor(df: DataFrame, of) -> DataFrame:
-    """``df`` with ``l_<i>_<j>``, the Cholesky factor of the matrix ``of(i, j)``."""
+def _names(*kinds: str) -> list[str]:
+    return [f"{x}_{i}_{j}" for x in kinds for i in range(len(DIMS)) for j in range(i + 1)]
+
+
+def _factor(of) -> list[Column]:
+    """Columns ``l_<i>_<j>``, the Cholesky factor of the matrix ``of(i, j)``; each uses those before."""
+    out = []
     for i in range(len(DIMS)):
         for j in range(i + 1):
             value = of(i, j)
             for t in range(j):
                 value = value - F.col(f"l_{i}_{t}") * F.col(f"l_{j}_{t}")
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return df
+            out.append((F.sqrt(F.greatest(value, F.lit(1e-24))) if i == j else value / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
+    return out
 
 
-def _shape(moments: DataFrame, ridge: dict[str, float]) -> DataFrame:
-    """``(g, m_<i>, c_<i>_<j>, k_<i>_<j>, log_det)``: centre, scatter with the ridge, its inverse
-    Cholesky factor and log determinant of ``moments(g, m_<i>, c_<i>_<j>)``, a row for each group."""
-    p = len(DIMS)
-    scatter = [(F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + (ridge[DIMS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = _factor(moments.select("g", *[f"m_{i}" for i in range(p)], *scatter), lambda i, j: F.col(f"c_{i}_{j}"))
-    for i in range(p):
+def _inverse() -> list[Column]:
+    """Columns ``k_<i>_<j>``, the inverse of the factor, and ``log_det`` of the matrix."""
+    out = []
+    for i in range(len(DIMS)):
         for j in range(i + 1):
             value = F.lit(1.0) if i == j else F.lit(0.0)
             for t in range(j, i):
                 value = value - F.col(f"l_{i}_{t}") * F.col(f"k_{t}_{j}")
-            out = out.withColumn(f"k_{i}_{j}", value / F.col(f"l_{i}_{i}"))
-    log_det = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(p)), F.lit(0.0)).alias("log_det")
-    return out.select("g", *[f"m_{i}" for i in range(p)], *[f"{x}_{i}_{j}" for x in "ck" for i in range(p) for j in range(i + 1)], log_det)
+            out.append((value / F.col(f"l_{i}_{i}")).alias(f"k_{i}_{j}"))
+    return [*out, sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(DIMS))), F.lit(0.0)).alias("log_det")]
 
 
-def _distance(of=lambda i: F.col(DIMS[i]) - F.col(f"m_{i}")) -> Column:
-    """Squared Mahalanobis distance to the joined centre and factor."""
-    total = F.lit(0.0)
-    for i in range(len(DIMS)):
-        row = sum((F.col(f"k_{i}_{j}") * of(j) for j in range(i + 1)), F.lit(0.0))
-        total = total + row * row
-    return total
+def _shapes(rows: DataFrame, ridge: list[float], of=F.col) -> DataFrame:
+    """Centre ``m_<i>``, scatter ``c_<i>_<j>`` with the ridge, inverse factor and log determinant of
+    the vectors ``of(x_<i>)``, a row for each group and start."""
+    p = range(len(DIMS))
+    x = [of(f"x_{i}") for i in p]
+    moments = rows.groupBy("g", "start").agg(*[F.avg(x[i]).alias(f"m_{i}") for i in p], *[F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)])
+    scatter = [(F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + (ridge[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)]
+    ready = moments.select("g", "start", *[f"m_{i}" for i in p], *scatter)
+    whole = ready.select("*", *_factor(lambda i, j: F.col(f"c_{i}_{j}"))).select("*", *_inverse())
+    return whole.select("g", "start", *[f"m_{i}" for i in p], *_names("c", "k"), "log_det")
+
+
+def _distance(of=None) -> Column:
+    """Squared Mahalanobis distance to the joined centre and factor, or of ``of(x_<i>)`` to zero."""
+    off = [of(f"x_{i}") if of else F.col(f"x_{i}") - F.col(f"m_{i}") for i in range(len(DIMS))]
+    rows = [sum((F.col(f"k_{i}_{j}") * off[j] for j in range(i + 1)), F.lit(0.0)) for i in range(len(DIMS))]
+    return sum((r * r for r in rows), F.lit(0.0))
 
 
-def _moments(df: DataFrame, of=lambda i: F.col(DIMS[i])) -> DataFrame:
-    p = len(DIMS)
-    return df.groupBy("g").agg(*[F.avg(of(i)).alias(f"m_{i}") for i in range(p)], *[F.covar_pop(of(i), of(j)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+def _with(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    right = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    met = same[0] if len(same) == 1 else same[0] & same[1]
+    return df.join(small(right), met).drop(*[f"__{k}" for k in keys])
 
 
-def _with(df: DataFrame, table: DataFrame) -> DataFrame:
-    right = table.withColumnRenamed("g", "__g")
-    return df.join(small(right), F.col("g") == F.col("__g")).drop("__g")
+def _nearest(scored: DataFrame, share: float) -> DataFrame:
+    """The share of each group and start with the smallest ``d``."""
+    cut = scored.groupBy("g", "start").agg(F.percentile_approx("d", share, ACCURACY).alias("cut"))
+    return _with(scored, stored(cut, "mcd-cuts"), "g", "start").where(F.col("d") <= F.col("cut"))
 
 
-def covariance_shapes(vectors: DataFrame, share: float, steps: int) -> DataFrame:
-    """Centre, scatter and factor of the minimum covariance determinant for each group of ``vectors``."""
-    p = len(DIMS)
-    middle = vectors.groupBy("g").agg(*[F.percentile_approx(DIMS[i], 0.5, 1000).alias(f"a_{i}") for i in range(p)])
+def covariance_shapes(vectors: DataFrame, share: float, ridge: list[float], trials: int = 2, least_gain: float = 1e-6) -> DataFrame:
+    """The minimum covariance determinant of each group of ``vectors(g, x_0, x_1, ...)``.
+
+    Vectors are centred and scaled by median and median deviation.  The starts are half of them: the
+    shortest, and the shortest by the own covariance of two bounded transforms, hyperbolic tangent
+    and spatial sign.  After ``trials`` steps the best start of each group goes on alone, until no
+    determinant falls by more than ``least_gain`` of itself; a step that doesn't lower it is undone.
+    """
+    p = range(len(DIMS))
+    middle = vectors.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, ACCURACY).alias(f"a_{i}") for i in p])
     middle = stored(middle, "mcd-medians")
-    spread = _with(vectors, middle).groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(DIMS[i]) - F.col(f"a_{i}")), 0.5, 1000).alias(f"b_{i}") for i in range(p)])
-    robust = stored(_with(middle, spread).select("g", *[f"a_{i}" for i in range(p)], *[(F.lit(1.4826) * F.col(f"b_{i}") + FLOORS[DIMS[i]]).alias(f"b_{i}") for i in range(p)]), "mcd-spreads")
-    scaled = stored(_with(vectors, robust), "mcd-scaled")
-
-    def z(i: int) -> Column:
-        return (F.col(DIMS[i]) - F.col(f"a_{i}")) / F.col(f"b_{i}")
-
-    squared = sum((z(i) * z(i) for i in range(p)), F.lit(0.0))
-    bent = stored(_shape(_moments(scaled, lambda i: F.tanh(z(i))), dict.fromkeys(DIMS, 0.1)), "mcd-shape")
-    curved = _with(scaled, bent).withColumn("d", _distance(lambda i: F.tanh(z(i)) - F.col(f"m_{i}")))
-    starts = [scaled.withColumn("d", squared), curved]
-    shapes = []
-    for k, start in enumerate(starts):
-        scored, part = start.select("g", *DIMS, "d"), 0.5
-        for _ in range(steps):
-            cut = stored(scored.groupBy("g").agg(F.percentile_approx("d", part, 2000).alias("cut")), "mcd-cut")
-            nearest = _with(scored, cut).where(F.col("d") <= F.col("cut"))
-            shape = stored(_shape(_moments(nearest), FLOORS), "mcd-shape")
-            scored, part = _with(vectors.select("g", *DIMS), shape).withColumn("d", _distance()).select("g", *DIMS, "d"), share
-        shapes.append(shape.withColumn("start", F.lit(k)))
-    both = shapes[0].unionByName(shapes[1])
-    names = [c for c in both.columns if c not in ("g", "start")]
-    best = both.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("s"))
-    return stored(best.select("g", "s.*"), "mcd-shape")
-
-
-def rules(
+    spread = _with(vectors, middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"a_{i}")), 0.5, ACCURACY).alias(f"b_{i}") for i in p])
+    robust = stored(_with(middle, spread, "g").select("g", *[f"a_{i}" for i in p], *[(F.lit(1.4826) * F.col(f"b_{i}") + ridge[i]).alias(f"b_{i}") for i in p]), "mcd-spreads")
+
+    z = [(F.col(f"x_{i}") - F.col(f"a_{i}")) / F.col(f"b_{i}") for i in p]
+    far = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+    turns = [z, [F.tanh(v) for v in z], [F.coalesce(F.try_divide(v, far), F.lit(0.0)) for v in z]]
+    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), *[v.alias(f"u_{i}") for i, v in enumerate(turn)]) for k, turn in enumerate(turns)]))
+    bent = _with(vectors, robust, "g").select("g", *[f"x_{i}" for i in p], starts.alias("s")).select("g", *[f"x_{i}" for i in p], "s.*")
+
+    def turned(name: str) -> Column:
+        return F.col(name.replace("x", "u"))
+
+    first = stored(_shapes(bent, [0.1] * len(DIMS), turned), "mcd-starts")
+    length = sum((F.col(f"u_{i}") * F.col(f"u_{i}") for i in p), F.lit(0.0))
+    apart = F.when(F.col("start") == 0, length).otherwise(_distance(turned)).alias("d")
+    half = _nearest(_with(bent, first, "g", "start").select("g", "start", *[f"x_{i}" for i in p], apart), 0.5)
+    shapes, step = stored(_shapes(half, ridge), "mcd-shapes"), 0
+    while True:
+        if step == trials:
+            names = [c for c in shapes.columns if c != "g"]
+            best = shapes.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("s"))
+            shapes = stored(best.select("g", "s.*"), "mcd-shapes")
+        scored = _with(vectors, shapes, "g").select("g", "start", *[f"x_{i}" for i in p], _distance().alias("d"))
+        fresh = _shapes(_nearest(scored, share), ridge)
+        names = [c for c in shapes.columns if c not in ("g", "start")]
+        old = shapes.select(F.col("g").alias("__g"), F.col("start").alias("__start"), F.struct(*names).alias("old"))
+        both = fresh.select("g", "start", F.struct(*names).alias("new")).join(old, (F.col("g") == F.col("__g")) & (F.col("start") == F.col("__start")))
+        # The first step goes from half of the vectors to the share: its determinant may rise.
+        better = F.lit(step == 0) | (F.col("new.log_det") < F.col("old.log_det") - least_gain)
+        taken = stored(both.select("g", "start", better.alias("moved"), F.when(better, F.col("new")).otherwise(F.col("old")).alias("s")).select("g", "start", "moved", "s.*"), "mcd-shapes")
+        settled = step >= trials and taken.where("moved").isEmpty()
+        shapes, step = taken.drop("moved"), step + 1
+        if settled:
+            return shapes.drop("start")
+
+
+def _verdicts(
     df: DataFrame,
+    row: Column,
     share: float = 0.75,
-    steps: int = 3,
     tail: float = 1e-4,
     min_group: int = 40,
     min_words: int = 50,
     repeat_percent: int = 50,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)``.
-
-    A text fails the base rules with fewer than ``min_words`` words, or if more than
-    ``repeat_percent`` of its words are repeated; null text has none.  Of the others those stay
-    whose distance is within the chi-square quantile of 1 - ``tail``.  The distance is measured by
-    the group's own scatter, plus what chance moves in a text of this length: one symbol or
-    duplicate line in a short text is none, many in a group without any are an outlier.  A null language or source is
-    a group of its own; groups of fewer than ``min_group`` texts are estimated with their whole
-    language, and those of rare languages with all texts.  Every row of ``df`` gives one row,
-    repeated or null ids included; other columns are ignored.
-    """
-    p = len(DIMS)
-    named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    counted = base_statistics(named, ["id", "lang", "source"])
+    """``row``, the counts, base_failed, level, distance and kept, for every row of ``df``."""
+    p = range(len(DIMS))
+    named = df.select(row.alias("row"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    counted = base_statistics(named, ["row", "lang", "source"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     n = F.greatest("n_words", F.lit(1))
+    statistics = {
+        "word_length": F.log(F.greatest("word_chars", F.lit(1)) / n),
+        "symbols": F.sqrt(F.col("n_symbols") / n),
+        "dup_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
+        "repeats": F.col("n_repeat_words") / n,
+    }
     facts = stored(
         counted.select(
-            "id",
-            "n_words",
-            "word_chars",
-            "n_symbols",
+            "row",
+            *COUNTS,
             "n_lines",
-            "n_dup_lines",
-            "n_repeat_words",
             failed.alias("base_failed"),
             key(F.col("lang")).alias("of_lang"),
             F.concat(key(F.col("lang")), F.lit("\n"), key(F.col("source"))).alias("of_both"),
-            F.log(F.greatest("word_chars", F.lit(1)) / n).alias("word_length"),
-            F.sqrt(F.col("n_symbols") / n).alias("symbols"),
-            (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_lines"),
-            (F.col("n_repeat_words") / n).alias("repeats"),
+            *[statistics[DIMS[i]].alias(f"x_{i}") for i in p],
         ),
         "quality-facts",
     )
-    passing = facts.where(~F.col("base_failed"))
+    passing = facts.where(~F.col("base_failed")).select("of_lang", "of_both", *[f"x_{i}" for i in p])
+    spread = passing.agg(*[F.stddev_pop(f"x_{i}") for i in p]).first()
+    ridge = [max(1e-6, RIDGE * (s or 0.0)) for s in spread]
     pairs = stored(passing.groupBy("of_lang", "of_both").count(), "quality-groups")
     langs = pairs.groupBy(F.col("of_lang").alias("l")).agg(F.sum("count").alias("in_lang"))
-    level = F.when(F.col("count") >= min_group, F.col("of_both")).when(F.col("in_lang") >= min_group, F.col("of_lang")).otherwise(F.lit(""))
-    groups = stored(pairs.join(langs, F.col("of_lang") == F.col("l")).select(F.col("of_both").alias("b"), level.alias("g"), "of_lang", (F.col("count") < min_group).alias("poor"), (F.col("in_lang") < min_group).alias("rare")), "quality-groups")
+    level = F.when(F.col("count") >= min_group, "group").when(F.col("in_lang") >= min_group, "language").otherwise("all")
+    levels = pairs.join(langs, F.col("of_lang") == F.col("l")).select(F.col("of_both").alias("b"), "of_lang", level.alias("level"))
+    levels = stored(levels.withColumn("g", F.when(F.col("level") == "group", F.col("b")).when(F.col("level") == "language", F.col("of_lang")).otherwise("")), "quality-levels")
     # A pooled group is estimated on all texts of its language, or on all texts.
-    uses = groups.where(~F.col("poor")).select("b", "g")
-    poor_langs = groups.where(F.col("poor") & ~F.col("rare")).select(F.col("g").alias("l")).distinct()
-    uses = uses.unionByName(groups.join(poor_langs, F.col("of_lang") == F.col("l")).select("b", F.col("l").alias("g")))
-    if not groups.where("poor and rare").isEmpty():
-        uses = uses.unionByName(groups.select("b", F.lit("").alias("g")))
+    uses = levels.where("level = 'group'").select("b", "g")
+    pooled = levels.where("level = 'language'").select(F.col("g").alias("pool")).distinct()
+    uses = uses.unionByName(levels.join(pooled, F.col("of_lang") == F.col("pool")).select("b", F.col("pool").alias("g")))
+    if not levels.where("level = 'all'").isEmpty():
+        uses = uses.unionByName(levels.select("b", F.lit("").alias("g")))
     uses = stored(uses, "quality-uses")
-    vectors = passing.select("of_both", *DIMS).join(small(uses), F.col("of_both") == F.col("b")).select("g", *DIMS)
-    shapes = covariance_shapes(stored(vectors, "quality-vectors"), share, steps)
+    vectors = passing.select("of_both", *[f"x_{i}" for i in p]).join(small(uses), F.col("of_both") == F.col("b")).select("g", *[f"x_{i}" for i in p])
+    shapes = covariance_shapes(stored(vectors, "quality-vectors"), share, ridge)
 
-    grouped = facts.join(small(groups.select("b", "g")), F.col("of_both") == F.col("b"), "left")
-    judged = grouped.join(small(shapes.withColumnRenamed("g", "__g")), F.col("g") == F.col("__g"), "left")
+    shaped = levels.join(shapes.withColumnRenamed("g", "__g"), F.col("g") == F.col("__g")).drop("__g", "g", "of_lang", *_names("k"), "log_det")
+    judged = facts.join(small(stored(shaped, "quality-shapes")), F.col("of_both") == F.col("b"), "left")
     # Consistency: the scatter of the nearest share, stretched to that of all for normal vectors.
-    factor = share / chi_square(p + 2, chi_square_quantile(p, share))
-    limit = chi_square_quantile(p, 1 - tail)
+    factor = share / chi_square(len(DIMS) + 2, chi_square_quantile(len(DIMS), share))
+    limit = chi_square_quantile(len(DIMS), 1 - tail)
     chance = _chance()
-    judged = _factor(judged, lambda i, j: factor * F.col(f"c_{i}_{j}") + (chance[DIMS[i]] * chance[DIMS[i]] if i == j else 0.0))
-    for i in range(p):
-        off = F.col(DIMS[i]) - F.col(f"m_{i}")
+    scatter = _factor(lambda i, j: factor * F.col(f"c_{i}_{j}") + (chance[DIMS[i]] * chance[DIMS[i]] if i == j else 0.0))
+    solved = []
+    for i in p:
+        off = F.col(f"x_{i}") - F.col(f"m_{i}")
         for j in range(i):
             off = off - F.col(f"l_{i}_{j}") * F.col(f"y_{j}")
-        judged = judged.withColumn(f"y_{i}", off / F.col(f"l_{i}_{i}"))
-    distance = F.when(~F.col("base_failed"), sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0)))
+        solved.append((off / F.col(f"l_{i}_{i}")).alias(f"y_{i}"))
+    judged = judged.select("row", *COUNTS, "base_failed", "level", *[f"{x}_{i}" for x in "xm" for i in p], *scatter).select("*", *solved)
+    distance = F.when(~F.col("base_failed"), sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in p), F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= limit)
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), kept.alias("kept"))
+    return judged.select("row", *COUNTS, "base_failed", F.when(~F.col("base_failed"), F.col("level")).alias("level"), distance.alias("distance"), kept.alias("kept"))
 
 
-def passing(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that the rules keep.
+def rules(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, level, distance, kept)``.
 
-    Rows are matched by id; of rows that repeat an id all stay if one is kept, and a null id matches
-    a null id.
+    A text fails the base rules with fewer than ``min_words`` words, or if more than
+    ``repeat_percent`` of its words are repeated; null text has none.  Of the others those stay
+    whose distance is within the chi-square quantile of 1 - ``tail``.  The distance is measured by
+    the group's own scatter, plus what chance moves in a text of this length: one symbol or
+    duplicate line in a short text is none, many in a group without any are an outlier.  A null
+    language or source is a group of its own.  An estimate needs ``min_group`` texts: smaller groups
+    are estimated with their whole language, and those of languages that small with all texts;
+    ``level`` says by which a text that passed the base rules was judged: group, language or all.
+    Every row of ``df`` gives one row, repeated or null ids included; other columns are ignored.
     """
-    kept = rules(df, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    out = _verdicts(df, F.struct(F.col(id_col).alias("id")), **options)
+    return out.select(F.col("row.id").alias(id_col), *[c for c in out.columns if c != "row"])
+
+
+def passing(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that the rules keep, each by its own verdict: whole rows are carried
+    through, so that null and repeated ids, repeated rows and any column names are no matter."""
+    return _verdicts(df, F.struct(*df.columns), **options).where("kept").select("row.*")
