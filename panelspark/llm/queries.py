@@ -25,7 +25,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = fresh_path(spark, "warc")
     warc.write(warc.with_revisits(pages, F.col("html").cast("binary"), "page_id"), path, "page_id", "url")
-    return warc.resolved(warc.read(spark, path)).withColumnRenamed("id", "page_id")
+    responses = warc.read(spark, path).where("record_type = 'response'")
+    revisits = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
+    return warc.resolved(responses).unionByName(warc.resolved(revisits)).withColumnRenamed("id", "page_id")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def op3_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
     model = ordinal.fit(_labelled(spark, sf_dir, labels, 5_000))
     scored = ordinal.predict(table(spark, sf_dir, "documents"), model, at_least=1)
-    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "expected_grade", "tail_probability", F.coalesce(F.col("tail_probability") >= 0.5, F.lit(False)).alias("kept"))
 
 
 def op4_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ the member's compressed length, so that a reader can step over a record it doesn
 write files under fresh names; a commit publishes them in a manifest, so that files of failed or
 repeated attempts are never read.
 
-Reading: files are planned into partitions by size.  Only the head of a member is inflated at first;
-predicates on the record type and on other headers are tested on it, and the payload of a record
-that fails them, or that nobody asked for (option ``payload`` = false), is neither inflated nor
-decoded.  Plain and gzip files of other writers can be read as well.
+Reading: files are planned into partitions by size.  A gzip file larger than a partition is cut into
+byte ranges: own files at member starts that the manifest lists, files of other writers where a
+task finds the first member of its range (see ``member_start``).  Only the head of a member is
+inflated at first; predicates on the record type and on other headers are tested on it, and the
+payload of a record that fails them, or that nobody asked for (option ``payload`` = false), is
+neither inflated nor decoded.  Plain files and gzip files of other writers, with a member for each
+record or several records in one, can be read as well; plain files are not cut.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from .mixing import BROADCAST_ROWS
+from .storage import stored
+
 # Names of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,51 +70,57 @@ def member(data: bytes, level: int = 3) -> bytes:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, int]]
+    """Name and size of each file, and where some of its members start."""
+
+    files: list[tuple[str, int, list[int]]]
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, cut_bytes: int = 16 << 20):
+        self.path, self.file_bytes, self.cut_bytes = path, file_bytes, cut_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, folder = _open(self.path)
         where.create_dir(folder, recursive=True)
-        out, name, size, files = None, "", 0, []
+        out, name, size, cuts, files = None, "", 0, [], []
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is None:
-                        name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                        name, size, cuts = f"{uuid.uuid4().hex}.warc.gz", 0, []
                         out = where.open_output_stream(f"{folder}/{name}", compression=None)
                     data = member(record(row))
+                    if size - (cuts[-1] if cuts else 0) >= self.cut_bytes:
+                        cuts.append(size)
                     out.write(data)
                     size += len(data)
                     if size >= self.file_bytes:
                         out.close()
-                        files.append((name, size))
+                        files.append((name, size, cuts))
                         out = None
         finally:
             if out is not None:
                 out.close()
-        return Written(files + [(name, size)] * (out is not None))
+        return Written(files + [(name, size, cuts)] * (out is not None))
 
     def commit(self, messages: list) -> None:
         where, folder = _open(self.path)
         where.create_dir(folder, recursive=True)
-        lines = [f"{name}\t{size}\n" for m in messages if m for name, size in m.files]
+        lines = [f"{name}\t{size}\t{','.join(map(str, cuts))}\n" for m in messages if m for name, size, cuts in m.files]
         with where.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}") as out:
             out.write("".join(lines).encode())
 
     def abort(self, messages: list) -> None:
         where, folder = _open(self.path)
-        for name in [name for m in messages if m for name, _ in m.files]:
+        for name in [name for m in messages if m for name, *_ in m.files]:
             where.delete_file(f"{folder}/{name}")
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """``(path, begin, end)``: the members that start in this range of the file are read."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class Reader(DataSourceReader):
@@ -127,21 +139,32 @@ class Reader(DataSourceReader):
         where, folder = _open(self.path)
         found = where.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
         manifests = [x for x in found if x.base_name.startswith(MANIFEST)]
-        if manifests:
-            files = []
-            for x in manifests:
-                with where.open_input_stream(x.path) as lines:
-                    files += [(f"{folder}/{a}", int(b)) for a, b in (y.split("\t") for y in lines.read().decode().splitlines())]
-        else:
-            files = [(x.path, x.size) for x in found if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
-        groups: list[list[str]] = []
+        files: list[tuple[str, int, list[int]]] = []  # name, size, where it can be cut
+        for x in manifests:
+            with where.open_input_stream(x.path) as lines:
+                for name, size, cuts in (y.split("\t") for y in lines.read().decode().splitlines()):
+                    files.append((f"{folder}/{name}", int(size), [int(c) for c in cuts.split(",") if c]))
+        if not manifests:
+            for x in found:
+                if x.is_file and x.base_name.endswith((".warc", ".warc.gz")):
+                    cuts = range(self.partition_bytes, x.size, self.partition_bytes) if x.base_name.endswith(".gz") else ()
+                    files.append((x.path, x.size, list(cuts)))
+        ranges = []
+        for path, size, cuts in files:
+            begin = 0
+            for cut, ahead in zip(cuts, [*cuts[1:], size] if cuts else [], strict=True):
+                if ahead - begin > self.partition_bytes:
+                    ranges.append((path, begin, cut))
+                    begin = cut
+            ranges.append((path, begin, size))
+        groups: list[list[tuple[str, int, int]]] = []
         room = 0
-        for path, size in sorted(files, key=lambda x: (-x[1], x[0])):
-            if not groups or room < size:
+        for path, begin, end in sorted(ranges, key=lambda x: (x[1] - x[2], x)):
+            if not groups or room < end - begin:
                 groups.append([])
                 room = self.partition_bytes
-            groups[-1].append(path)
-            room -= size
+            groups[-1].append((path, begin, end))
+            room -= end - begin
         return [Files(g) for g in groups] or [Files([])]
 
     def wanted(self, head: dict[str, str]) -> bool:
@@ -157,9 +180,9 @@ class Reader(DataSourceReader):
         where, _ = _open(self.path)
         schema = pa.schema([(c, pa.string()) for c in HEADERS] + [("http_length", pa.int64()), ("content_length", pa.int64()), ("payload", pa.binary())])
         rows, size = [], 0
-        for path in partition.paths:
+        for path, begin, end in partition.ranges:
             with where.open_input_file(path) as file:
-                for head, block in members(file, self.wanted, self.payload):
+                for head, block in records(file, self.wanted, self.payload, begin, end):
                     row = {c: head.get(name.lower()) for c, name in HEADERS.items()}
                     http, payload = split_http(block)
                     row |= {"http_length": http, "content_length": int(head["content-length"]), "payload": payload if self.payload else None}
@@ -168,7 +191,7 @@ class Reader(DataSourceReader):
                     if size >= 1 << 21 or len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
-        if rows or not partition.paths:
+        if rows or not partition.ranges:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -191,23 +214,76 @@ def split_http(block: bytes) -> tuple[int | None, bytes]:
     return None, payload
 
 
-def members(file: pa.NativeFile, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of every wanted record; without ``payload`` the block's HTTP header only."""
-    total, at = file.size(), 0
+def records(file: pa.NativeFile, wanted, payload: bool, begin: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header and block of every wanted record; without ``payload`` the block's HTTP header only.
+
+    Of a gzip file, the records of members that start at ``begin`` or later but before ``end``.
+    """
+    total = file.size()
+    end, at = total if end is None else end, begin
     gzipped = bytes(file.read_at(2, 0)) == b"\x1f\x8b" if total else False
-    while at < total:
-        if gzipped:
-            source: Inflated | Plain = Inflated(file, at, total)
-        else:
-            source = Plain(file, at, total)
-        head = parse_head(source.until(b"\r\n\r\n"))
-        length = int(head["content-length"])
-        if wanted(head):
-            yield head, source.take(length) if payload else source.peek(min(length, 4096))
-        at = source.end(length + 4)
+    if gzipped and begin:
+        at = member_start(file, begin, end, total)
+    while at < end:
+        source: Inflated | Plain = Inflated(file, at, total) if gzipped else Plain(file, at, total)
+        while True:
+            head = parse_head(source.until(b"\r\n\r\n"))
+            length = int(head["content-length"])
+            asked = wanted(head)
+            block = b"" if not asked else source.peek(length) if payload else http_head(source, length)
+            if asked:
+                yield head, block
+            if not source.more(length + 4):
+                break
+        at = source.end()
+
+
+def http_head(source: Inflated | Plain, length: int) -> bytes:
+    """The block's HTTP header with its blank line, however long; nothing of other blocks."""
+    if source.peek(min(5, length)) != b"HTTP/":
+        return b""
+    size = 1024
+    while True:
+        data = source.peek(min(size, length))
+        if (k := data.find(b"\r\n\r\n")) >= 0:
+            return data[: k + 4]
+        if size >= length:
+            return data
+        size *= 4
+
+
+def member_start(file: pa.NativeFile, begin: int, end: int, total: int) -> int:
+    """The first member that starts in the range, or ``end``.
+
+    A start is a gzip header whose content begins with a WARC version, and whose member is followed
+    by another such one or the end of the file.  Only an archive of archives that is stored without
+    compression could hold the like within a payload.
+    """
+    window = 1 << 16
+    for base in range(begin, end, window):
+        data = bytes(file.read_at(min(window + 2, total - base), base))
+        k = data.find(b"\x1f\x8b\x08")
+        while 0 <= k < window and base + k < end:
+            if (after := _member_end(file, base + k, total)) and (after >= total or _member_end(file, after, total)):
+                return base + k
+            k = data.find(b"\x1f\x8b\x08", k + 1)
+    return end
+
+
+def _member_end(file: pa.NativeFile, at: int, total: int) -> int:
+    """Where the member at ``at`` ends; 0 if there is none with a WARC record."""
+    try:
+        source = Inflated(file, at, total)
+        if not source.peek(5) == b"WARC/":
+            return 0
+        return source.end()
+    except (zlib.error, ValueError):
+        return 0
 
 
 class Plain:
+    """A record of a file that isn't compressed; ``end`` is known after ``more``."""
+
     def __init__(self, file: pa.NativeFile, at: int, total: int):
         self.file, self.at, self.total = file, at, total
 
@@ -225,28 +301,32 @@ class Plain:
     def peek(self, n: int) -> bytes:
         return bytes(self.file.read_at(n, self.at))
 
-    take = peek
+    def more(self, n: int) -> bool:
+        self.at += n
+        return False
 
-    def end(self, n: int) -> int:
-        return self.at + n
+    def end(self) -> int:
+        return self.at
 
 
 class Inflated:
-    """A gzip member, inflated as far as asked for."""
+    """A gzip member, inflated as far as asked for; what is passed is forgotten."""
 
     def __init__(self, file: pa.NativeFile, at: int, total: int):
         self.file, self.total, self.begin = file, total, at
         head = bytes(file.read_at(24, at))
         self.length = struct.unpack("<I", head[16:20])[0] if len(head) == 24 and head[3] == 4 and head[12:14] == b"sl" else 0
-        self.read_to, self.data, self.used = at, b"", 0
+        self.read_to, self.data, self.used = at, bytearray(), 0
         self.inflate = zlib.decompressobj(zlib.MAX_WBITS | 16)
 
     def _more(self, need: int) -> None:
+        """At least ``need`` bytes behind the used ones, if the member has as many."""
+        need += self.used
         while len(self.data) < need and not self.inflate.eof:
             raw = self.inflate.unconsumed_tail
             if not raw:
                 stop = self.begin + self.length if self.length else self.total
-                raw = bytes(self.file.read_at(min(1 << 15, stop - self.read_to), self.read_to))
+                raw = bytes(self.file.read_at(min(1 << 18, stop - self.read_to), self.read_to))
                 self.read_to += len(raw)
                 if not raw:
                     raise ValueError("the file ends within a record")
@@ -254,30 +334,50 @@ class Inflated:
 
     def until(self, mark: bytes) -> bytes:
         need = 1024
-        while (k := self.data.find(mark)) < 0:
+        self._more(need)
+        while (k := self.data.find(mark, self.used)) < 0:
             if self.inflate.eof:
                 raise ValueError("the file ends within a record")
-            self._more(need := max(need * 2, len(self.data) + 1))
+            need *= 2
+            self._more(need)
+        found = bytes(self.data[self.used : k])
         self.used = k + len(mark)
-        return self.data[:k]
+        return found
 
     def peek(self, n: int) -> bytes:
-        self._more(self.used + n)
-        return self.data[self.used : self.used + n]
-
-    take = peek
-
-    def end(self, n: int) -> int:
+        self._more(n)
+        return bytes(self.data[self.used : self.used + n])
+
+    def _skip(self, n: int) -> None:
+        """Pass ``n`` bytes without keeping them."""
+        while n > 0:
+            self._more(min(n, 1 << 20))
+            step = min(n, len(self.data) - self.used)
+            if not step:
+                return
+            self.used, n = self.used + step, n - step
+            del self.data[: self.used]
+            self.used = 0
+
+    def more(self, n: int) -> bool:
+        """Whether the member goes on behind the next ``n`` bytes, with another record."""
+        if self.length:  # own members hold one record each
+            return False
+        self._skip(n)
+        return len(self.peek(1)) > 0
+
+    def end(self) -> int:
         if self.length:
             return self.begin + self.length
         while not self.inflate.eof:
-            self.data = b""
+            self._skip(len(self.data) - self.used)
             self._more(1)
         return self.read_to - len(self.inflate.unused_data)
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (true); partition_bytes (64 MB); file_bytes (64 MB, writing)."""
+    """Options: path; payload (true); partition_bytes (64 MB); file_bytes (64 MB) and cut_bytes
+    (16 MB, how far apart the listed member starts are) for writing."""
 
     @classmethod
     def name(cls) -> str:
@@ -290,7 +390,7 @@ class WarcSource(DataSource):
         return Reader(self.options["path"], int(self.options.get("partition_bytes", 64 << 20)), self.options.get("payload", "true").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], int(self.options.get("file_bytes", 64 << 20)))
+        return Writer(self.options["path"], int(self.options.get("file_bytes", 64 << 20)), int(self.options.get("cut_bytes", 16 << 20)))
 
 
 def register(spark: SparkSession) -> None:
@@ -310,18 +410,26 @@ def with_revisits(df: DataFrame, payload: Column, id_col: str, min_bytes: int =
     Of rows with equal payloads of ``min_bytes`` or more, ``refers_to`` names the smallest id in all
     rows but those of that id.  A null payload is empty.  Rows with a null id refer to the smallest
     id like any other; if an equal payload has no id at all, none is named.  Columns of ``df`` that
-    have these names are replaced.  A payload that many rows share is spread over ``salts``
-    partitions in the join.
+    have these names are replaced.
+
+    Groups are found on digests and ids alone.  The table of digests that occur more than once is
+    broadcast if its counted rows are few, so that no payload is shuffled; beyond that, a payload
+    that many rows share is spread over ``salts`` partitions in the join.
     """
     own = ["payload", "payload_bytes", "payload_digest", "refers_to"]
     full = df.select(*[c for c in df.columns if c not in own], F.coalesce(payload, F.lit(b"")).alias("payload"))
     full = full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    groups = full.where(F.col("payload_bytes") >= min_bytes).groupBy(F.unhex("payload_digest").alias("__digest")).agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    groups = groups.select("__digest", "__first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), F.lit(salts))
-    joined = full.join(groups, (F.unhex("payload_digest") == F.col("__digest")) & (salt == F.col("__salt")), "left")
+    groups = full.where(F.col("payload_bytes") >= min_bytes).groupBy(F.unhex("payload_digest").alias("__digest")).agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__digest", "__first")
+    groups = stored(groups, "warc-groups")
+    same = F.unhex("payload_digest") == F.col("__digest")
+    if groups.count() <= BROADCAST_ROWS:
+        joined = full.join(F.broadcast(groups), same, "left")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), F.lit(salts))
+        salted = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+        joined = full.join(salted, same & (salt == F.col("__salt")), "left").drop("__salt")
     refers = F.when(~F.col("__first").eqNullSafe(F.col(id_col)), F.col("__first"))
-    return joined.withColumn("refers_to", refers).drop("__digest", "__first", "__salt")
+    return joined.withColumn("refers_to", refers).drop("__digest", "__first")
 
 
 def write(df: DataFrame, path: str, id_col: str, uri_col: str, date: str | None = None, file_bytes: int = 64 << 20) -> None:
@@ -346,7 +454,8 @@ def write(df: DataFrame, path: str, id_col: str, uri_col: str, date: str | None
 def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
     """``(id, payload_bytes, payload_digest, record_type, refers_to)`` of records read back.
 
-    Responses are measured on the payload; a revisit states its payload's digest and length.
+    Responses are measured on the payload; a revisit states its payload's digest and length, so
+    that its record may have been read without payload.
     """
     number = lambda c: F.expr(f"try_cast(nullif(substring({c}, 8), '') as {id_type})")
     response = F.col("record_type") == "response"

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelspark.llm import crf, langid, ordinal, outliers, queries
+from panelspark.llm.text import chunks, mix
 
 SF = "/root/testdata/sf0.01"
 
@@ -122,21 +125,44 @@ def test_toxic_spans_and_edge_cases(spark):
     assert crf.score(empty, crf.fit(empty)).count() == 0
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("block", [64, 3, 2, 1])
+def test_forward_backward_equals_enumeration(monkeypatch, block):
+    monkeypatch.setattr(crf, "BLOCK", block)
     rng = np.random.default_rng(2)
-    for length in (1, 2, 5):
-        score, transition, start = rng.normal(size=(6, 1)), rng.normal(size=(2, 2)), rng.normal(size=2)
-        marginal, pairs = crf.forward_backward(score, np.array([length]), transition, start)
-        total, want, want_pairs = 0.0, np.zeros(length), np.zeros((2, 2))
-        for code in range(2**length):
+    sizes = [1, 2, 0, 5, 9, 0]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    score, transition, start = rng.normal(size=17), rng.normal(size=(2, 2)), rng.normal(size=2)
+    marginal, pairs = crf.forward_backward(score, first, transition, start)
+    want_pairs = np.zeros((2, 2))
+    for a, length in zip(first.tolist(), sizes, strict=False):
+        total, want, some = 0.0, np.zeros(length), np.zeros((2, 2))
+        for code in range(2**length if length else 0):
             y = [(code >> k) & 1 for k in range(length)]
-            w = np.exp(start[y[0]] + sum(score[k, 0] * y[k] for k in range(length)) + sum(transition[y[k], y[k + 1]] for k in range(length - 1)))
+            w = np.exp(start[y[0]] + sum(score[a + k] * y[k] for k in range(length)) + sum(transition[y[k], y[k + 1]] for k in range(length - 1)))
             total += w
             want += w * np.array(y)
             for k in range(length - 1):
-                want_pairs[y[k], y[k + 1]] += w
-        assert marginal[:length, 0] == pytest.approx(want / total)
-        assert pairs == pytest.approx(want_pairs / total)
+                some[y[k], y[k + 1]] += w
+        if length:
+            assert marginal[a : a + length] == pytest.approx(want / total)
+            want_pairs += some / total
+    assert pairs == pytest.approx(want_pairs)
+
+
+def test_a_marginal_sees_words_beyond_a_block():
+    score = np.zeros(70)
+    score[63] = 9.0
+    sticky = np.array([[3.0, -3.0], [-3.0, 3.0]])
+    marginal, _ = crf.forward_backward(score, np.array([0, 70]), sticky, np.zeros(2))
+    assert marginal[64:].min() > 0.98 and 0.86 < marginal[0] < marginal[62]
+
+
+def test_retagging_follows_document_labels():
+    model = crf.Model(np.zeros(1 << crf.BITS, np.float32), 0.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))
+    model.emission[[1, 2, 3]] = 3.0, -0.5, -4.0
+    features = np.array([[k, 9, 9, 9] for k in (1, 3, 1, 3, 2, 3, 3)], np.int32)
+    tags = crf.retagged(model, features, np.array([0, 2, 4, 6, 7]), np.array([True, False, True, True]))
+    assert tags.tolist() == [1, 0, 0, 0, 1, 0, 0]
 
 
 def test_quality_on_held_out_documents(spark):
@@ -147,7 +173,60 @@ def test_quality_on_held_out_documents(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in held) >= 0.93 * len(held)
 
 
-def test_ordinal_gradient_and_edge_cases(spark):
+def test_ordinal_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 6)), rng.integers(0, 4, 40)
+    free = np.concatenate([rng.normal(size=6), [-1.0, 0.2, -0.3]])
+    _, gradient = ordinal.slope_of(free, x, y, 4, decay=0.01)
+    for k in range(len(free)):
+        step = np.eye(len(free))[k] * 1e-6
+        up, down = (ordinal.slope_of(free + sign * step, x, y, 4, decay=0.01)[0] for sign in (1, -1))
+        assert gradient[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def plain_vector(text):
+    """The features of one text, by loops."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    out = np.zeros(ordinal.WIDTH)
+    mask = (1 << 64) - 1
+    for k in range(len(raw)):
+        state = 0
+        for back in range(min(3, k + 1)):
+            state = (state * 257 + raw[k - back] + 1) & mask
+            out[int(mix(np.array([state], np.uint64))[0] >> np.uint64(64 - ordinal.BITS))] += 1
+    out = np.sqrt(out / max(1, 3 * len(raw)))
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    out[-3] = math.sqrt(sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)))
+    out[-2] = (len(words) - len(set(words))) / max(1, len(words) + 50) if words else 0
+    out[-1] = 0.2 * bool(words)
+    return out
+
+
+def test_ordinal_prediction_equals_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    model = ordinal.Model([0, 2, 5], rng.normal(size=ordinal.WIDTH) * 3, np.array([-0.5, 0.7]))
+    texts = ["", None, "A", "so so so it is", "Grüße, Welt! " * 40, "### $$$\n a\tb", "é"] + [" ".join(f"w{rng.integers(50)}" for _ in range(rng.integers(1, 200))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in ordinal.predict(df, model, 2).collect():
+        line = plain_vector(texts[r["doc_id"]]) @ model.weights
+        low, high = (1 / (1 + math.exp(line - c)) for c in model.thresholds)
+        assert r["expected_grade"] == pytest.approx(2 * (high - low) + 5 * (1 - high), abs=1e-5)
+        assert r["tail_probability"] == pytest.approx(1 - low, abs=1e-5)
+
+
+def test_ordinal_memory_of_many_short_texts():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a"] * 10_000})
+    tracemalloc.start()
+    for part in chunks(iter([batch]), "text", 1 << 20, ordinal.ROWS):
+        ordinal.chances(ordinal.Model([0, 1], np.zeros(ordinal.WIDTH), np.zeros(1)), part.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_ordinal_edge_cases(spark):
     rows = [(i, f"{'good fine' if i % 3 == 2 else 'so so' if i % 3 else '### $$$'} {i}", i % 3) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
     model = ordinal.fit(df)
@@ -156,8 +235,16 @@ def test_ordinal_gradient_and_edge_cases(spark):
     got = ordinal.predict(odd, model, 2).collect()
     assert got[2]["expected_grade"] > 1.2 > 0.8 > got[4]["expected_grade"] and got[0][1:] == got[1][1:]
     assert ordinal.predict(odd.limit(0), model, 2).count() == 0
-    with pytest.raises(ValueError):
-        ordinal.fit(df.where("grade = 1"))
+    single = ordinal.fit(df.where("grade = 1"))
+    assert {tuple(r)[1:] for r in ordinal.predict(odd, single, 1).collect()} == {(1.0, 1.0)} and {r["tail_probability"] for r in ordinal.predict(odd, single, 2).collect()} == {0.0}
+    nothing = ordinal.fit(df.limit(0))
+    assert {tuple(r)[1:] for r in ordinal.predict(odd, nothing, 1).collect()} == {(None, None)}
+
+
+def test_grades_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert queries.op3_quality_grades(spark, f"file://{tmp_path}").count() == 0
 
 
 def statistics(text):
@@ -215,12 +302,66 @@ def test_rules_on_empty_tables(spark):
     assert outliers.rules(df).count() == 0 and outliers.passing(df).count() == 0
 
 
-def test_robust_estimate_ignores_a_bad_quarter(spark):
+def plain_mcd(x, share, ridge, rng, tries=200):
+    """Concentration steps from many random starts, until they settle."""
+    n, best = len(x), (math.inf, None, None)
+    h = math.ceil(share * n)
+    for _ in range(tries):
+        some = rng.choice(n, 6, replace=False)
+        last = math.inf
+        while True:
+            centre, scatter = x[some].mean(0), np.cov(x[some].T, bias=True) + np.diag(np.square(ridge))
+            log_det = np.linalg.slogdet(scatter)[1]
+            if len(some) >= h:
+                if log_det > last - 1e-9:
+                    break
+                last = log_det
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            some = np.flatnonzero(d <= np.sort(d)[h - 1])
+        best = min(best, (log_det, tuple(centre), tuple(scatter.ravel())))
+    return best
+
+
+def test_estimates_equal_a_plain_mcd_of_each_group(spark):
     rng = np.random.default_rng(0)
-    good = rng.normal([1.6, 0.0, 0.0, 0.0], [0.1, 0.05, 0.05, 0.05], size=(800, 4))
-    bad = rng.normal([3.0, 2.0, 0.0, 0.0], 0.05, size=(190, 4))
-    rows = [("g", *map(float, x)) for x in np.concatenate([good, bad])]
-    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{d} double" for d in outliers.DIMS))
-    shape = outliers.covariance_shapes(df, 0.75, 3).first()
-    assert shape["m_0"] == pytest.approx(1.6, abs=0.05) and abs(shape["m_1"]) < 0.05
+    spread = rng.normal(size=(4, 4)) * 0.1
+    groups = {
+        "clean": rng.normal(size=(300, 4)) @ spread + [1.6, 0, 0, 0],
+        "far quarter": np.concatenate([rng.normal(size=(600, 4)) @ spread, rng.normal(size=(190, 4)) * 0.05 + [2, 2, 0, 0]]),
+        "constant": np.concatenate([rng.normal(size=(150, 4)) * [0.1, 0.1, 0, 0], [[0.1, 0, 0.5, 0.6]] * 20]),
+        "copies": np.concatenate([rng.normal(size=(120, 4)) * 0.1, np.full((60, 4), 0.2)]),
+    }
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "g string, x_0 double, x_1 double, x_2 double, x_3 double")
+    ridge = [0.01, 0.02, 0.02, 0.01]
+    for r in outliers.covariance_shapes(df.repartition(3), 0.75, ridge).collect():
+        log_det, centre, scatter = plain_mcd(groups[r["g"]], 0.75, ridge, rng)
+        assert r["log_det"] <= log_det + 0.01, r["g"]
+        assert [r[f"m_{i}"] for i in range(4)] == pytest.approx(centre, abs=0.01)
+        assert [r[f"c_{i}_{j}"] for i in range(4) for j in range(i + 1)] == pytest.approx([scatter[4 * i + j] for i in range(4) for j in range(i + 1)], abs=3e-3)
+
+
+def test_levels_that_judge(spark):
+    rng = random.Random(9)
+    text = lambda: "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(10)) for _ in range(8))
+    rows = [(i, text(), "en", "big") for i in range(60)] + [(100 + i, text(), "en", f"s{i % 3}") for i in range(15)] + [(200 + i, text(), "xx", None) for i in range(5)]
+    rows += [(300, "short", "en", "big"), (301, text().replace(" ", " #"), "en", "s0"), (302, text().replace(" ", " #"), "xx", None), (303, text().replace(" ", " #"), "en", "big")]
+    got = {r["doc_id"]: r for r in outliers.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    want = {**{i: "group" for i in range(60)}, **{100 + i: "language" for i in range(15)}, **{200 + i: "all" for i in range(5)}, 300: None, 301: "language", 302: "all", 303: "group"}
+    assert {i: r["level"] for i, r in got.items()} == want
+    assert {i for i, r in got.items() if not r["kept"]} == {300, 301, 302, 303}
+
+
+def test_verdicts_are_of_rows_not_of_ids(spark):
+    rng = random.Random(10)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(80))
+    good = text()
+    rows = [(None, good, "en", "a", 1), (None, "too short", "en", "a", 1), (7, good, "en", "a", 1), (7, "short", "en", "a", 1), (7, good, "en", "a", 1)] + [(10 + i, text(), "en", "a", 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, x_0 int")
+    kept = outliers.passing(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.where("text = '%s' or doc_id is null or doc_id = 7" % good).collect()) == [0, 7, 7]
+
+
+def test_chi_square_quantile():
     assert outliers.chi_square(4, outliers.chi_square_quantile(4, 0.95)) == pytest.approx(0.95)
