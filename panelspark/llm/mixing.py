@@ -14,13 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import small, sorted_rows, with_running
 from .storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Tables of at most so many narrow rows are broadcast; the size is counted first.
-BROADCAST_ROWS = 50_000
-#: Rows that one bucket of a running sum holds on average.
-BUCKET_ROWS = 20_000
+#: Words in a partition of the delivered mix: about 6 to 120 MB of text.
+LEAST_WORDS, MOST_WORDS = 1_000_000, 20_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,11 +32,6 @@ def shuffle_key(id_column: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few, else as it is (AQE splits skew)."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def targets(totals: DataFrame, weights: tuple[int, ...], budget: float, repeats: int) -> DataFrame:
     """Water filling: ``totals(source, source_size)`` with a ``target`` for each source.
 
@@ -65,6 +59,38 @@ def targets(totals: DataFrame, weights: tuple[int, ...], budget: float, repeats:
     return filled.select("source", "source_size", target.alias("target"))
 
 
+def _queues(sized: DataFrame, weights: tuple[int, ...], budget: float, repeats: int, seed: int) -> tuple[DataFrame, int, float]:
+    """``sized(row, id, source, size)`` with key, source_size, target and ``through``: the words that
+    its source has sent when the row is through for the first time; the number of rows, and the
+    words of the whole mix.
+
+    Rows are range-sorted by source and key, so that a source or an id of any size is split.
+    """
+    keyed = stored(sized.withColumn("key", shuffle_key(F.col("id"), seed)), "mix-sizes")
+    rows = keyed.count()
+    shares = stored(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, repeats), "mix-targets")
+    queue = sorted_rows(keyed, [F.col("source").asc_nulls_last(), "key", "id", "size", "row"], rows, "mix-sorted")
+    sent = with_running(queue, {"through": F.col("size")}, ["source"]).drop("part", "at")
+    share = shares.select(F.col("source").alias("of"), "source_size", "target")
+    queued = stored(sent.join(small(share), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-queues")
+    total = min(budget, repeats) * (shares.agg(F.sum("source_size")).first()[0] or 0)
+    return queued, rows, total
+
+
+def _sequence(queued: DataFrame, rows: int, total: float, repeats: int) -> DataFrame:
+    """``(row, copy, size, sent, finish, position)`` of the merged sequence, up to the budget.
+
+    All copies of all rows are range-sorted by finish time and numbered; the running sum of their
+    sizes cuts the sequence.
+    """
+    finish = F.try_divide(F.col("through") + F.col("source_size") * F.col("copy"), F.col("target"))
+    copies = queued.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    narrow = copies.select("row", "id", "source", "size", "key", "copy", finish.alias("finish"))
+    order = ["finish", "key", "id", "size", F.col("source").asc_nulls_last(), "row", "copy"]
+    merged = with_running(sorted_rows(narrow, order, rows * repeats, "mix-sequence"), {"sent": F.col("size"), "position": F.lit(1)})
+    return merged.where(F.col("sent") <= total).select("row", "copy", "size", "sent", "finish", F.col("position").cast("long").alias("position"))
+
+
 def mix(
     df: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -75,77 +101,44 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``(id, size, source_size, target, taken, copies)`` for every row of ``df``.
+    """``(id, size, source_size, target, taken, copies, first_position)`` for every row of ``df``.
 
     ``size`` is the number of words (0 for a null text), ``budget`` a multiple of all sizes,
-    ``copies`` how often the mix takes the row and ``taken`` the words of that.  A null source is a
+    ``copies`` how often the mix takes the row, ``taken`` the words of that and ``first_position`` the
+    place of its first copy in the merged sequence, from 1 (null: not taken).  A null source is a
     source of its own.  Repeated rows queue one behind the other.  Rows without words are never
     taken.  An empty table gives an empty result.  Only the three named columns are read.
     """
-    sized = stored(
-        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("key", shuffle_key(F.col("id"), seed)),
-        "mix-sizes",
-    )
-    rows = sized.count()
-    bits = min(20, max(0, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
-    shares = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, repeats), "mix-targets")
-
-    # Running sums of each source in two levels: within hash ranges, and over their totals.
-    placed = sized.withColumn("bucket", F.shiftright("key", 60 - bits))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("source", "bucket").agg(F.sum("size").alias("sent")).withColumn("start", F.coalesce(F.sum("sent").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "start")
-    queue = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = placed.withColumn("run", F.sum("size").over(queue))
-    ranged = ranged.join(small(starts), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    share = shares.select(F.col("source").alias("of"), "source_size", "target")
-    queued = stored(
-        ranged.join(small(share), F.col("source").eqNullSafe(F.col("of"))).select("id", "size", "key", "source_size", "target", (F.col("run") + F.col("start")).alias("through")),
-        "mix-queues",
-    )
+    sized = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    queued, rows, total = _queues(sized, weights, budget, repeats, seed)
+    taken = _sequence(queued, rows, total, repeats).groupBy(F.col("row").alias("__row")).agg(F.count("*").cast("int").alias("n"), F.min("position").alias("first_position"))
+    joined = queued.join(taken, F.col("row") == F.col("__row"), "left").withColumn("copies", F.coalesce("n", F.lit(0)))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "first_position")
 
-    def finish(copy: int | Column) -> Column:
-        return F.try_divide(F.col("through") + F.col("source_size") * copy, F.col("target"))
 
-    # The merged sequence by ranges of finish time; one range holds the cut.
-    ranges = 1 << min(20, bits + 6)
-    sequence = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("id", "size", "key", F.explode(F.array(*[finish(k) for k in range(repeats)])).alias("finish")).withColumn("range", F.floor(F.col("finish") * ranges))
-    total = min(budget, repeats) * (shares.agg(F.sum("source_size")).first()[0] or 0)
-    up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sequence.groupBy("range").agg(F.sum("size").alias("own")).withColumn("reached", F.sum("own").over(up_to))
-    cut = sums.where(F.col("reached") > total).orderBy("range").limit(1).collect()
-    if cut:
-        inside = Window.orderBy("finish", "key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        last = (
-            sequence.where(F.col("range") == cut[0]["range"])
-            .withColumn("reached", F.sum("size").over(inside) + (cut[0]["reached"] - cut[0]["own"]))
-            .where(F.col("reached") <= total)
-            .agg(F.max(F.struct("finish", "key", "id")).alias("last"))
-            .first()["last"]
-        )
-        edge = cut[0]["range"]
-
-        def sent(copy: int) -> Column:
-            at = F.floor(finish(copy) * ranges)
-            in_edge = F.struct(finish(copy).alias("finish"), F.col("key"), F.col("id")) <= F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["key"]).cast("long").alias("key"), F.lit(last["id"]).cast(queued.schema["id"].dataType).alias("id")) if last else F.lit(False)
-            return (at < edge) | ((at == edge) & in_edge)
-    else:
-
-        def sent(copy: int) -> Column:
-            return F.lit(True)
-
-    copies = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & sent(k), 1).otherwise(0) for k in range(repeats)), F.lit(0))
-    return queued.withColumn("copies", copies.cast("int")).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-
-
-def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that the mix takes, repeated as often as it takes them.
-
-    Rows are matched by id and word count; a null id matches a null id.  Rows that repeat an id
-    are taken as often as the average of that id's rows, rounded, so that their number is kept to
-    within one copy a row.
+def mixed(
+    df: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    budget: float = 1.5,
+    repeats: int = 2,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``df`` that the mix takes, as often as it takes them, in the order of the merged
+    sequence.
+
+    ``df`` is stored once with a number for each row, by which copies are matched: rows with null or
+    repeated ids and repeated rows get exactly their own.  Partitions are cut by the words sent so
+    far, which are known, so that no sort has to sample the joined texts.
     """
-    text_col = options.get("text_col", "text")
-    chosen = mix(df, id_col=id_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.round(F.avg("copies")).cast("int").alias("__copies")).where("__copies > 0")
-    kept = df.withColumn("__words", word_count(F.col(text_col)))
-    joined = kept.join(chosen, kept[id_col].eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[kept[c] for c in df.columns])
+    whole = stored(df.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    sized = whole.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    queued, rows, total = _queues(sized, weights, budget, repeats, seed)
+    places = stored(_sequence(queued, rows, total, repeats).select(F.col("row").alias("__of"), "sent", F.col("position").alias("__position")), "mix-places")
+    by_default = total / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.ceil(total / min(max(by_default, LEAST_WORDS), MOST_WORDS)))
+    place = F.least(F.floor(F.col("sent") * parts / max(total, 1)), F.lit(parts - 1)).cast("int").alias("__part")
+    joined = whole.join(places.select("__of", "__position", place), F.col("__row") == F.col("__of"))
+    return joined.repartitionById(parts, "__part").sortWithinPartitions("__position").select(*df.columns)

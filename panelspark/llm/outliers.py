@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import small
+from .ranges import small
 from .storage import stored
 
 GAP = r"[\x20\x09-\x0D]+"

@@ -2,8 +2,12 @@
 
 The directory is indexed by leading bits of a document's hash.  A bucket splits on one more bit
 exactly while it holds more bytes than the limit.  All depths of a step are decided together from
-the totals of fine cells, so a step costs one narrow aggregation however many buckets split; only
-cells that are still too large at the finest depth of a step are looked at again, with more bits.
+the totals of fine cells, rolled up to coarser ones, so a step costs a few narrow aggregations
+however many buckets split; only cells that are still too large at the finest depth of a step are
+looked at again, with more bits.
+
+The hash is of the id, the text and, among rows that agree in both, the row's number, so that null
+and repeated ids are spread like any others.
 """
 
 from __future__ import annotations
@@ -13,16 +17,35 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import shuffle_key, small
+from .ranges import small, sorted_rows, with_running
 from .storage import fresh_path, stored
 
 BITS = 60
+#: Depths that one step of the roll-up derives from the same finer cells.
+LEVELS = 5
 
 
 def _prefix(depth: int) -> Column:
     return F.shiftright("key", BITS - depth)
 
 
+def _nodes(cells: DataFrame, low: int, high: int) -> DataFrame:
+    """``(level, node, bytes)``: totals of all depths from ``low`` to ``high``, each group of depths
+    from the totals of the finest depth of the group below it."""
+    finest = cells.select(F.lit(high).alias("level"), F.col("cell").alias("node"), "bytes")
+    parts, top = [finest], high
+    while top > low:
+        to = max(low, top - LEVELS)
+        upper = finest.select("bytes", "node", F.explode(F.sequence(F.lit(to), F.lit(top - 1))).alias("level")).withColumn("node", F.expr(f"shiftright(node, {top} - level)"))
+        rolled = stored(upper.groupBy("level", "node").agg(F.sum("bytes").alias("bytes")), "shard-nodes")
+        parts.append(rolled)
+        finest, top = rolled.where(F.col("level") == to), to
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def directory(narrow: DataFrame, limit: int, slack: int = 5) -> DataFrame:
     """``(cell_depth, cell, depth, prefix)``: the shard of every cell of ``narrow(key, bytes)``.
 
@@ -34,9 +57,8 @@ def directory(narrow: DataFrame, limit: int, slack: int = 5) -> DataFrame:
     while True:
         high = min(BITS, low + step)
         cells = stored(open_rows.groupBy(_prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes")), "shard-cells")
-        nodes = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level")).withColumn("node", F.expr(f"shiftright(cell, {high} - level)"))
-        splits = nodes.groupBy("level", "node").agg(F.sum("bytes").alias("sum")).where(F.col("sum") > limit).select(F.col("level").alias("l"), F.col("node").alias("n"))
-        splits = stored(splits, "shard-splits")
+        splits = stored(_nodes(cells, low, high).where(F.col("bytes") > limit).select(F.col("level").alias("l"), F.col("node").alias("n")), "shard-splits")
+        nodes = cells.select("cell", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level")).withColumn("node", F.expr(f"shiftright(cell, {high} - level)"))
         deepest = nodes.join(small(splits), (F.col("level") == F.col("l")) & (F.col("node") == F.col("n"))).groupBy(F.col("cell").alias("c")).agg(F.max("level").alias("deepest"))
         leaves = cells.join(deepest, F.col("cell") == F.col("c"), "left").select("cell", F.coalesce(F.col("deepest") + 1, F.lit(low)).alias("depth"))
         done = leaves if high == BITS else leaves.where(F.col("depth") <= high)
@@ -53,39 +75,63 @@ def directory(narrow: DataFrame, limit: int, slack: int = 5) -> DataFrame:
     return out
 
 
-def assign(df: DataFrame, limit: int = 32 << 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, bytes, shard, depth, shard_bytes, shard_rows, oversized)`` for every row of ``df``.
+def _occurrences(narrow: DataFrame) -> DataFrame:
+    """``narrow(row, id, digest, bytes)`` with ``occurrence``: a row's number, from 0, among those with its
+    id and digest.  Rows are sorted for it only if there are any such."""
+    if narrow.groupBy("id", "digest").count().where("count > 1").isEmpty():
+        return narrow.withColumn("occurrence", F.lit(0).cast("long"))
+    placed = sorted_rows(narrow, ["id", "digest", "row"], narrow.count(), "shard-sorted")
+    return with_running(placed, {"occurrence": F.lit(1)}, ["id", "digest"]).withColumn("occurrence", F.col("occurrence") - 1).drop("part", "at")
 
-    ``bytes`` is the UTF-8 length of the text (null: 0), ``shard`` the leading hash bits as a string
-    of 0 and 1, empty if one shard holds everything.  Every shard has at most ``limit`` bytes, but
-    for rows that agree in all hash bits (a single text above the limit, or one id repeated): they
-    stay together in a shard that is marked ``oversized``.  A null id counts as the empty string.
-    An empty table gives an empty result.  Other columns are ignored.
-    """
-    narrow = stored(df.select(F.col(id_col).alias("id"), shuffle_key(F.col(id_col), seed).alias("key"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes")), "shard-rows")
+
+def _placed(rows: DataFrame, limit: int, seed: int) -> DataFrame:
+    """``rows(row, id, digest, bytes)`` with shard, depth, shard_bytes and shard_rows."""
+    narrow = _occurrences(stored(rows, "shard-rows"))
+    text = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest", F.col("occurrence").cast("string"), F.lit(str(seed)))
+    narrow = stored(narrow.select("row", "id", "bytes", F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long").alias("key")), "shard-keys")
     found = stored(directory(narrow, limit), "shard-map")
     depths = [r[0] for r in found.select("cell_depth").distinct().orderBy("cell_depth").collect()]
-    parts, rest = [], narrow
+    columns = ["row", "id", "bytes"]
+    parts = []
     for high in depths:
         cells = small(found.where(F.col("cell_depth") == high).select("cell", "depth", "prefix"))
-        parts.append(rest.join(cells, _prefix(high) == F.col("cell")).select("id", "bytes", "depth", "prefix"))
-    placed = parts[0] if parts else narrow.select("id", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
+        parts.append(narrow.join(cells, _prefix(high) == F.col("cell")).select(*columns, "depth", "prefix"))
+    placed = parts[0] if parts else narrow.select(*columns, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
     for part in parts[1:]:
         placed = placed.unionByName(part)
     totals = placed.groupBy(F.col("depth").alias("d"), F.col("prefix").alias("p")).agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
     totals = stored(totals, "shard-totals")
     joined = placed.join(small(totals), (F.col("depth") == F.col("d")) & (F.col("prefix") == F.col("p")))
     shard = F.when(F.col("depth") == 0, "").otherwise(F.expr("right(concat(repeat('0', 60), bin(prefix)), depth)"))
-    return joined.select(F.col("id").alias(id_col), "bytes", shard.alias("shard"), "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversized"))
+    return joined.select(*columns, shard.alias("shard"), "depth", "shard_bytes", "shard_rows")
+
+
+def _narrow(df: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(row.alias("row"), F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+def assign(df: DataFrame, limit: int = 32 << 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, bytes, shard, depth, shard_bytes, shard_rows, oversized)`` for every row of ``df``.
+
+    ``bytes`` is the UTF-8 length of the text (null: 0), ``shard`` the leading hash bits as a string
+    of 0 and 1, empty if one shard holds everything.  Every shard has at most ``limit`` bytes, but for
+    a single text above the limit, whose shard is marked ``oversized``.  A null id counts as the empty
+    string; rows with equal ids go by their texts, and equal rows by their number, so that they are
+    spread too.  An empty table gives an empty result.  Other columns are ignored.
+    """
+    placed = _placed(_narrow(df, F.monotonically_increasing_id(), id_col, text_col), limit, seed)
+    return placed.select(F.col("id").alias(id_col), "bytes", "shard", "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
 def write_shards(df: DataFrame, path: str | None = None, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the rows of ``df`` as Parquet, a folder for each shard; the path is returned.
 
-    Rows with a repeated id are written as they are.  Each task writes whole shards, which the
-    limit bounds.
+    Each task writes whole shards, which the limit bounds.  ``df`` is stored once with a number for
+    each row, by which shards are matched.
     """
     path = path or fresh_path(df.sparkSession, "shards")
-    shards = assign(df, limit, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("__id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
-    df.join(shards, df[id_col].eqNullSafe(F.col("__id"))).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
+    whole = stored(df.withColumn("__row", F.monotonically_increasing_id()), "shard-texts")
+    shards = _placed(_narrow(whole, F.col("__row"), id_col, text_col), limit, 0).select(F.col("row").alias("__of"), F.concat(F.lit("b"), "shard").alias("shard"))
+    whole.drop("shard").join(shards, F.col("__row") == F.col("__of")).drop("__row", "__of").repartition("shard").write.partitionBy("shard").parquet(path)
     return path

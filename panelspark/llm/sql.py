@@ -60,14 +60,16 @@ with d as (
   select d.*, g.s as source_size, g.target, sum(size) over (partition by d.source order by key, doc_id rows unbounded preceding)::double as through
   from d join g on d.source is not distinct from g.source
 ), seq as (select doc_id, size, key, (through + source_size::double * copy) / target as finish from q, range(2) r(copy) where size > 0 and target > 0
-), cut as (select doc_id, size, sum(size) over (order by finish, key, doc_id rows unbounded preceding) <= least(1.5::double, 2) * (select sum(s) from t)::double as inside from seq
-), taken as (select doc_id, sum(size)::bigint as taken from cut where inside group by doc_id)
-select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from q left join taken using (doc_id)
+), cut as (select doc_id, size, sum(size) over w <= least(1.5::double, 2) * (select sum(s) from t)::double as inside, row_number() over w as position
+  from seq window w as (order by finish, key, doc_id rows unbounded preceding)
+), taken as (select doc_id, sum(size)::bigint as taken, min(position) as first_position from cut where inside group by doc_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_position from q left join taken using (doc_id)
 """
 
 OP10 = """
 with d as (
-  select doc_id, ('0x' || substr(md5(doc_id::varchar || '|0'), 1, 15))::bigint as key, octet_length(encode(coalesce(text, '')))::bigint as bytes from documents
+  select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, '')) || '|' || (row_number() over (partition by doc_id, text) - 1)::varchar || '|0'), 1, 15))::bigint as key,
+    octet_length(encode(coalesce(text, '')))::bigint as bytes from documents
 ), node as (select level, key >> (60 - level) as prefix, sum(bytes)::bigint as shard_bytes, count(*) as shard_rows from d, range(61) r(level) group by 1, 2
 ), leaf as (
   select d.doc_id, d.bytes, d.key, min(level)::int as depth from d, range(61) r(level) join node using (level)

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 
-from panelspark.llm import mixing, sharding
+from panelspark.llm import mixing, ranges, sharding
 from panelspark.llm.storage import fresh_path
 
 
@@ -25,9 +26,9 @@ def water(sizes, weights, budget, repeats):
     return target
 
 
-@pytest.mark.parametrize("rows_a_bucket", [20_000, 40])
-def test_targets_and_shares(spark, monkeypatch, rows_a_bucket):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows_a_bucket)
+@pytest.mark.parametrize("rows_a_part", [20_000, 40])
+def test_targets_and_shares(spark, monkeypatch, rows_a_part):
+    monkeypatch.setattr(ranges, "PART_ROWS", rows_a_part)
     rng = random.Random(4)
     rows = [(i, rng.choice(["b", "a", "é", "Z", None, "hot", "hot", "hot"]), " ".join("w" for _ in range(rng.randint(0, 60)))) for i in range(900)]
     rows += [(5000, "tiny", "one two"), (5001, "empty", None), (5002, "a", None), (None, "a", "x y z"), (7, "a", "again again")]
@@ -63,6 +64,44 @@ def test_mixed_rows_follow_the_copies(spark):
     assert counts == {k: v for k, v in copies.items() if v}
 
 
+def test_repeated_and_null_ids_get_their_own_copies(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PART_ROWS", 30)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"s{i % 2}", f"w{i} " * (i % 9), i) for i in range(150)] + [(None, "s0", "x y", 999)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, row long")
+    copies = sorted((r["doc_id"] or 0, r["size"], r["copies"]) for r in mixing.mix(df).collect())
+    out = mixing.mixed(df.repartition(3)).collect()
+    assert len(out) == sum(c for _, _, c in copies) and sum(len(r["text"].split()) for r in out) == sum(n * c for _, n, c in copies)
+    taken = {}
+    for r in out:
+        taken[r["row"]] = taken.get(r["row"], 0) + 1
+    assert max(n for k, n in taken.items() if k != 999) <= 2 and taken[999] <= 40
+
+
+def test_the_sequence_is_the_fair_queue(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PART_ROWS", 50)
+    rng = random.Random(11)
+    rows = [(i, rng.choice("abc"), "w " * rng.randint(1, 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    info = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    queues = {}
+    for i, s, t in rows:
+        queues.setdefault(s, []).append((int(hashlib.md5(f"{i}|17".encode()).hexdigest()[:15], 16), i, len(t.split())))
+    merged = []
+    for s, queue in queues.items():
+        sent, whole = 0, sum(n for _, _, n in queue)
+        for k, i, n in sorted(queue):
+            sent += n
+            merged += [((sent + copy * whole) / info[i]["target"], k, i, n) for copy in range(2)]
+    total, want = 0, []
+    for _, _, i, n in sorted(merged):
+        total += n
+        if total > 1.5 * sum(info[i]["size"] for i in info):
+            break
+        want.append(i)
+    assert [r["doc_id"] for r in mixing.mixed(df).collect()] == want
+    assert all(r["first_position"] == (want.index(i) + 1 if i in want else None) for i, r in info.items())
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(df).count() == 0 and mixing.mixed(df).count() == 0 and sharding.assign(df).count() == 0
@@ -83,28 +122,42 @@ def brute_shards(keys, limit, depth=0):
 
 @pytest.mark.parametrize("limit", [300, 2_000, 10**9])
 def test_shards_equal_bucket_splitting(spark, limit):
-    import hashlib
-
     rng = random.Random(6)
-    rows = [(i, "é" * rng.randint(0, 40)) for i in range(700)] + [(9000, "x" * 5000), (9001, None), (None, "n")] + [(9002, "y" * 90)] * 50
+    rows = [(i, "é" * rng.randint(0, 40)) for i in range(700)] + [(9000, "x" * 5000), (9001, None), (None, "n")] + [(9002, "y" * 90)] * 50 + [(None, f"n{k}") for k in range(40)]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, shard string")
     got = sharding.assign(df, limit=limit).collect()
     assert len(got) == len(rows)
-    key = lambda i: int(hashlib.md5(f"{'' if i is None else i}|0".encode()).hexdigest()[:15], 16)
-    depth = brute_shards([(key(i), len((t or "").encode())) for i, t in rows], limit)
+    seen: dict[tuple, int] = {}
+    keys = []
+    for i, t in rows:
+        n = seen[i, t] = seen.get((i, t), -1) + 1
+        said = f"{'' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}|{n}|0"
+        keys.append((int(hashlib.md5(said.encode()).hexdigest()[:15], 16), i, len((t or "").encode())))
+    depth = brute_shards([(k, b) for k, _, b in keys], limit)
     totals: dict[str, int] = {}
-    for r in got:
-        k = key(r["doc_id"])
-        assert r["depth"] == depth[k] and r["shard"] == format(k, "060b")[: r["depth"]]
-        totals[r["shard"]] = totals.get(r["shard"], 0) + r["bytes"]
+    want = []
+    for k, i, b in keys:
+        shard = format(k, "060b")[: depth[k]]
+        totals[shard] = totals.get(shard, 0) + b
+        want.append((i or 0, b, shard, depth[k]))
+    assert sorted((r["doc_id"] or 0, r["bytes"], r["shard"], r["depth"]) for r in got) == sorted(want)
     for r in got:
         assert r["shard_bytes"] == totals[r["shard"]] and r["oversized"] == (r["shard_bytes"] > limit)
-        assert not r["oversized"] or len({x["doc_id"] for x in got if x["shard"] == r["shard"]}) == 1
+        assert not r["oversized"] or r["bytes"] > limit
+
+
+def test_null_and_repeated_ids_split_to_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PART_ROWS", 100)
+    df = spark.createDataFrame([(None, "t" * 100)] * 2000 + [(1, f"u{k}" * 20) for k in range(200)], "doc_id long, text string")
+    got = sharding.assign(df, limit=10_000).collect()
+    assert len(got) == 2200 and max(r["shard_bytes"] for r in got) <= 10_000
+    again = sharding.assign(df.repartition(7), limit=10_000).collect()
+    assert sorted(tuple(map(str, r)) for r in again) == sorted(tuple(map(str, r)) for r in got)
 
 
 def test_written_shards_hold_every_row(spark):
-    rows = [(i, "t" * 50) for i in range(100)]
+    rows = [(i, "t" * 50) for i in range(90)] + [(None, "t" * 50)] * 5 + [(3, "other")] * 5
     df = spark.createDataFrame(rows, "doc_id long, text string")
     path = sharding.write_shards(df, fresh_path(spark, "shards"), limit=700)
     back = spark.read.parquet(path)
-    assert back.count() == 100 and back.select("shard").distinct().count() > 5
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in back.collect()) == sorted((r[0] or -1, r[1]) for r in rows) and back.select("shard").distinct().count() > 5
