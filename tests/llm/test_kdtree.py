@@ -39,13 +39,43 @@ def test_a_tree_visits_few_points_of_clustered_data():
     rng = np.random.default_rng(1)
     points = (rng.integers(0, 40, size=(40, 1, 4)) * 100 + rng.integers(0, 5, size=(40, 300, 4))).reshape(-1, 4)
     tree = kdtree.Tree(points, np.arange(len(points)), leaf=64)
-    upper = tree.bounds(points[:1])
+    upper = kdtree.bounds(points[:1], tree.low, tree.high)
     best = np.sort(points @ points[0])[-5]
     leaves = [k for k, c in enumerate(tree.children) if c[0] < 0]
     assert sum(upper[0, k] >= best for k in leaves) < len(leaves) / 4
     assert all((points[:1] @ tree.points[slice(*tree.ranges[k])].T).max() <= upper[0, k] for k in leaves)
 
 
+def test_few_pairs_of_queries_and_shards_are_searched(spark, monkeypatch):
+    """Every row belongs to one of 40 far clusters; each shard is indexed once."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 6)) * 20
+    rows = [(i, (centres[i % 40] + rng.normal(size=6) * 0.1).tolist()) for i in range(2000)]
+    seen = {}
+    keep = kdtree.stored
+
+    def watched(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(kdtree, "stored", watched)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in kdtree.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=50, block_rows=30).collect()}
+    assert got == brute([(i, v, i % 20 == 0) for i, v in rows], 5)
+    shards, queries = seen["kd-index"].count(), seen["kd-queries"].count()
+    assert shards >= 40 and queries == 100 and seen["kd-pairs"].count() < 0.1 * shards * queries
+
+
+def test_coarse_leaves_hold_equal_shares():
+    rng = np.random.default_rng(8)
+    points = rng.integers(-500, 500, size=(4000, 5))
+    counts = np.bincount(kdtree.Coarse(points[::4], 16).leaf_of(points))
+    assert len(counts) == 16 and counts.min() > 150 and counts.max() < 350
+    same = np.concatenate([np.full((900, 5), 7), points[:100]])
+    coarse = kdtree.Coarse(same, 8)
+    assert len(set(coarse.leaf_of(same[:900]).tolist())) == 1 and coarse.leaves > 2
+
+
 def test_empty_table_and_few_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     assert kdtree.top_k(spark.createDataFrame([], schema), F.lit(True)).count() == 0
