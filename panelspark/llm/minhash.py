@@ -9,7 +9,9 @@ defaults 0.99993 at s = 0.8 and over 0.999999 from 0.88.
 Documents with equal shingle sets are one class; only classes are hashed into tables.  Within a
 bucket of a table, members are first compared with the smallest member.  Links are confirmed on the
 full sets and give components; only members of a bucket that are then still in different
-components are compared with each other, behind exact bounds on their overlap.
+components are compared with each other, behind exact bounds on their overlap.  In a crowded bucket
+of that kind not all pairs are formed: its members meet where the rarest shingles of their sets
+agree, as those of every pair of the wanted similarity must (prefix filtering, also exact).
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
+from .ranges import spread_join
 from .storage import stored
 from .text import LOWER, chunks, hash_spans, mix, utf8, word_spans
 
@@ -30,6 +33,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the parity sketch: the Hamming distance of two sketches is never above the size of the
 #: symmetric difference of the sets.
 SKETCH = 512
+#: Members of a bucket up to which all its pairs are formed.
+CROWD = 200
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +141,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     of_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").mapInArrow(run, pairs.select("a", "b").schema)
+    both = spread_join(spread_join(pairs.select("a", "b"), of_b, "b", "a"), of_a, "a", "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(id, label, n, sketch, shingle)``: for each row of ``texts(id, label, n, sketch, text)`` its rarest
+    shingles, so many that two sets of the wanted similarity have one of them in common.
+
+    Shingles are ordered by the number of texts that have them, then by value.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            values, offsets = shingle_sets(batch.column("text"), k)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            for at in range(0, len(values), 1 << 18):
+                some = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner[some])), pa.array(values[some].view(np.int64))], ["id", "shingle"])
+
+    schema = T.StructType([texts.schema["id"], T.StructField("shingle", T.LongType())])
+    rows = stored(texts.select("id", "text").mapInArrow(run, schema), "minhash-shingles")
+    counts = rows.groupBy(F.col("shingle").alias("s")).agg(F.count("*").alias("texts"))
+    counted = spread_join(rows.withColumn("s", F.col("shingle")), counts, "s", "id")
+    rarest = counted.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("texts", "shingle")))
+    facts = texts.select(F.col("id").alias("of"), "label", "n", "sketch")
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return rarest.join(facts, F.col("id") == F.col("of")).where(F.col("place") <= needed).select("id", "label", "n", "sketch", "shingle")
 
 
 def _may_be_similar(percent: int) -> Column:
@@ -175,8 +206,8 @@ def near_duplicates(
     sets = ["n", "set_a", "set_b"]
     classes = stored(signed.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("left", "right", "sketch")]), "minhash-classes")
     entries = classes.select("rep", "right", F.posexplode("left").alias("i", "l")).select("rep", "i", "l", F.posexplode("right").alias("j", "r"))
-    entries = entries.select(F.xxhash64("i", "j", "l", "r").alias("key"), "rep")
-    buckets = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("key", "centre")
+    entries = stored(entries.select(F.xxhash64("i", "j", "l", "r").alias("key"), "rep"), "minhash-entries")
+    buckets = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = stored(entries.join(buckets, "key"), "minhash-members")
 
     stars = stored(members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-stars")
@@ -184,13 +215,19 @@ def near_duplicates(
     links = stored(confirmed(bounded, texts, shingle, percent), "minhash-links")
 
     label = connected(links)
-    marked = members.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    marked = members.select("key", "rep", "members").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("label"))
     marked = stored(marked, "minhash-marked")
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    side_by_side = stored(marked.join(mixed, "key").join(classes.select("rep", "n", "sketch"), "rep"), "minhash-mixed")
-    x, y = side_by_side.alias("x"), side_by_side.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _may_be_similar(percent))
-    rest = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    beside = stored(marked.join(mixed, "key"), "minhash-mixed")
+    side_by_side = beside.where(F.col("members") <= CROWD).join(classes.select("rep", "n", "sketch"), "rep").select("key", F.col("rep").alias("id"), "label", "n", "sketch")
+    rest = _across(side_by_side, "key", percent)
+    crowd = stored(beside.where(F.col("members") > CROWD).select(F.col("rep").alias("c"), F.col("label")).distinct(), "minhash-crowd")
+    if not crowd.isEmpty():
+        whole = crowd.join(classes.select("rep", "n", "sketch"), F.col("c") == F.col("rep")).drop("rep").join(texts, F.col("c") == F.col("id")).select("id", "label", "n", "sketch", "text")
+        heads = stored(prefixes(whole, shingle, percent), "minhash-prefixes")
+        shared = heads.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
+        rest = rest.unionByName(_across(stored(heads.join(shared, "shingle"), "minhash-shared"), "shingle", percent))
+    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(confirmed(rest, texts, shingle, percent), "minhash-links")
     if not more.isEmpty():
         label = connected(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
@@ -202,11 +239,19 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 
 
+def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``rows(key, id, label, n, sketch)`` that share a key but no label, unless sizes or
+    sketches exclude them."""
+    x, y = rows.alias("x"), rows.alias("y")
+    met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _may_be_similar(percent))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and sketches don't exclude."""
-    narrow = classes.select("rep", "n", "sketch")
-    x, y = narrow.alias("x"), narrow.alias("y")
-    joined = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+    of_a = classes.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("x"))
+    of_b = classes.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("y"))
+    joined = spread_join(pairs, of_a, "a", "b").join(of_b, "b")
     return joined.where(_may_be_similar(percent)).select("a", "b")
 
 

@@ -46,3 +46,15 @@ def with_running(placed: DataFrame, sums: dict[str, Column], by: list[str] | Non
     joined = placed.join(small(stored(starts, "running-starts")), met).drop("__part", *[f"__by_{b}" for b in by])
     inside = Window.partitionBy("part", *by).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select("*", *[(F.sum(c).over(inside) + F.col(f"__{k}")).alias(k) for k, c in sums.items()]).drop(*[f"__{k}" for k in sums])
+
+
+def spread_join(df: DataFrame, table: DataFrame, key: str, other: str, salts: int = 64) -> DataFrame:
+    """``df`` joined with ``table``, which has one row for each ``key``, without one task for a hot key.
+
+    Rows of a key are dealt by ``other`` over ``salts`` places; the table's row goes to those of them
+    that have rows.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    wanted = salted.select(F.col(key).alias("__key"), "__salt").distinct()
+    right = wanted.join(table, F.col("__key") == F.col(key)).drop(key).withColumnRenamed("__salt", "__place")
+    return salted.join(right, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__place"))).drop("__salt", "__key", "__place")

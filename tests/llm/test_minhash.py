@@ -42,8 +42,9 @@ def near_copies(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_equals_brute_force(spark, k):
+@pytest.mark.parametrize(("k", "crowd"), [(4, 200), (5, 3)])
+def test_equals_brute_force(spark, monkeypatch, k, crowd):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     rng = random.Random(k)
     text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
     texts = [text(rng.randint(1, 120)) for _ in range(60)]
@@ -63,6 +64,25 @@ def test_equals_brute_force(spark, k):
     assert got == brute(rows, k, 80)
 
 
+def test_a_bucket_of_boilerplate_texts_forms_few_pairs(spark, monkeypatch):
+    """300 texts that share 60 % of their words, among them a few copies; all pairs would be 45,000."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{k}" for k in range(60))
+    texts = [f"{shared} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(300)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:5]]
+    seen = []
+    keep = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: seen.append(pairs.count()) or keep(pairs, *rest))
+    monkeypatch.setattr(minhash, "CROWD", 20)
+    made = []
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda rows, key, percent: made.append((key, rows.count())) or across(rows, key, percent))
+    rows = list(enumerate(texts))
+    got = {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 5, 80)
+    assert sum(seen) < 100 and dict(made)["shingle"] < 5000
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (7, "q r s t u v"), (7, "z r s t u v"), (8, "z r s t u v"), (None, "a b c d e f"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
