@@ -133,12 +133,12 @@ def mixed(
     repeated ids and repeated rows get exactly their own.  Partitions are cut by the words sent so
     far, which are known, so that no sort has to sample the joined texts.
     """
-    whole = stored(df.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    sized = whole.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    whole = stored(df.select(F.struct(*df.columns).alias("all"), F.monotonically_increasing_id().alias("__row")), "mix-rows")
+    sized = whole.select(F.col("__row").alias("row"), F.col(f"all.{id_col}").alias("id"), F.col(f"all.{source_col}").alias("source"), word_count(F.col(f"all.{text_col}")).alias("size"))
     queued, rows, total = _queues(sized, weights, budget, repeats, seed)
     places = stored(_sequence(queued, rows, total, repeats).select(F.col("row").alias("__of"), "sent", F.col("position").alias("__position")), "mix-places")
     by_default = total / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, math.ceil(total / min(max(by_default, LEAST_WORDS), MOST_WORDS)))
     place = F.least(F.floor(F.col("sent") * parts / max(total, 1)), F.lit(parts - 1)).cast("int").alias("__part")
     joined = whole.join(places.select("__of", "__position", place), F.col("__row") == F.col("__of"))
-    return joined.repartitionById(parts, "__part").sortWithinPartitions("__position").select(*df.columns)
+    return joined.repartitionById(parts, "__part").sortWithinPartitions("__position").select("all.*")

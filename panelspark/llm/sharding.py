@@ -128,10 +128,11 @@ def write_shards(df: DataFrame, path: str | None = None, limit: int = 32 << 20,
     """Write the rows of ``df`` as Parquet, a folder for each shard; the path is returned.
 
     Each task writes whole shards, which the limit bounds.  ``df`` is stored once with a number for
-    each row, by which shards are matched.
+    each row, by which shards are matched; a column ``shard`` of ``df`` is replaced, one named
+    ``__row`` is an error.
     """
     path = path or fresh_path(df.sparkSession, "shards")
-    whole = stored(df.withColumn("__row", F.monotonically_increasing_id()), "shard-texts")
+    whole = stored(df.drop("shard").select("*", F.monotonically_increasing_id().alias("__row")), "shard-texts")
     shards = _placed(_narrow(whole, F.col("__row"), id_col, text_col), limit, 0).select(F.col("row").alias("__of"), F.concat(F.lit("b"), "shard").alias("shard"))
-    whole.drop("shard").join(shards, F.col("__row") == F.col("__of")).drop("__row", "__of").repartition("shard").write.partitionBy("shard").parquet(path)
+    whole.join(shards, F.col("__row") == F.col("__of")).drop("__row", "__of").repartition("shard").write.partitionBy("shard").parquet(path)
     return path

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import duckdb
 import public_tokenizers
@@ -36,6 +38,32 @@ def test_stages_hand_on_documents(spark):
     assert ids.count() == counts[-1]
 
 
+def test_edge_rows(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["der", "die", "und", "nicht", "ein", "Haus", "Baum", "geht", "schnell", "heute"]) + rng.choice("abcdefghij")
+    text = lambda n=90: " ".join(word() for _ in range(n))
+    same, long = text(), text(30_000)
+    rows = [(i, text(), "de", "web", 1, "x") for i in range(60)]
+    rows += [(None, text(), "de", "web", 1, "x"), (None, None, None, None, None, None), (500, None, "de", None, 1, "x"), (501, "", "de", "web", 1, "x"), (502, "12 34", "de", "web", 1, "x")]
+    rows += [(503, same, "de", "web", 1, "x"), (503, same, "de", "web", 1, "x"), (504, same, "de", None, 1, "x"), (505, long, "de", "web", 1, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, `__row` string"
+    docs = spark.createDataFrame(rows, schema)
+    path = f"file://{tmp_path}"
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, path), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__row"]
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert not {500, 501, 502, 504} & set(ids) and {503, 505} <= set(ids) and ids.count(503) <= 2 and ids.count(None) <= 2
+    out = stored(corpus_pipeline.STAGES[-1][1](spark, docs, path), "ids")
+    assert out.count() == len(ids) and out.where("n_tokens != size(ids)").count() == 0
+
+
+def test_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_warc", "op4_kdtree", "op5_minhash", "op6_mixing", "op10_sharding"])
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
