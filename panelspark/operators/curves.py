@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.ranking import running_sums
+from panelspark.functions.ranking import running_sums, with_previous
 
 
 def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -56,7 +56,6 @@ def auc(df: DataFrame, label: str, score: str, approximate: bool = False) -> Dat
 
 def pr_trapezoid(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: area under the precision-recall curve by trapezoids."""
-    points = pr_curve(df, label, score)
-    along = Window.orderBy(F.col("threshold").desc())
-    step = points.select("recall", "precision", F.lag("recall", 1, 0.0).over(along).alias("r0"), F.coalesce(F.lag("precision").over(along), "precision").alias("p0"))
-    return step.agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("pr_area"))
+    points = with_previous(pr_curve(df, label, score), [F.col("threshold").desc()], {"r0": "recall", "p0": "precision"})
+    width, height = F.col("recall") - F.coalesce("r0", F.lit(0.0)), F.col("precision") + F.coalesce("p0", "precision")
+    return points.agg(F.sum(width * height / 2).alias("pr_area"))

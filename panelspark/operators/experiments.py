@@ -38,8 +38,7 @@ class Pipeline:
         vectors = self._vectors(train).persist(StorageLevel.MEMORY_AND_DISK)
         self.classifier.fit(vectors, held, self.keys or None)
         vectors.unpersist()
-        if not self.prep.targets:  # target means read the training frame again
-            train.unpersist()
+        train.unpersist()
         if threshold and valid is not None:
             self.tune_threshold(valid, threshold, **options)
         return self
@@ -109,7 +108,7 @@ def run_experiments(
         pipeline = Pipeline(Preprocessor(label=label, **run["prep"]), Classifier(model["kind"], label, weight="weight" if weighted else None, params=params), keys)
         pipeline.fit(train, valid, threshold if valid is not None else None)
         name = run["name"] + "".join(f"|{k}={v}" for k, v in sorted(extra.items()))
-        facts = {"kind": model["kind"], "mode": mode, "threshold": pipeline.classifier.threshold, "threshold_tuned": valid is not None} | {f"override_{k}": v for k, v in extra.items()} | {f"param_{k}": v for k, v in params.items()}
+        facts = {"kind": model["kind"], "mode": mode, "threshold": pipeline.classifier.threshold, "threshold_tuned": valid is not None} | {f"override_{k}": v for k, v in extra.items()} | {f"sampling_{k}": v for k, v in run.get("sampling", {}).get(mode, {"strategy": "none"}).items()} | {"weight_cap": run.get("weight_cap")} | {f"param_{k}": v for k, v in params.items()}
         log += [(name, "param", k, str(v)) for k, v in facts.items()]
         for part, frame in (("train", train), ("valid", valid), ("test", test)):
             if frame is not None:

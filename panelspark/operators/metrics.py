@@ -9,6 +9,7 @@ from panelspark.functions.expressions import log_loss
 from panelspark.operators.curves import auc
 
 
+# The names of the metric row.
 def confusion_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """One row: n, pos_rate, mean_pred_p1, pred_pos, pos, tp, precision, recall, f1, brier."""
     y, p = F.col(label).cast("int"), F.col(score)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import entropy, margin, min_max, positive_probability
 from panelspark.functions.hashing import unit_hash
-from panelspark.functions.ranking import global_rank
-from panelspark.operators.sampling import class_counts, negatives_wanted, random_fraction, undersample
+from panelspark.functions.ranking import global_rank, stored
+from panelspark.operators.sampling import class_counts, exact_sample, negatives_wanted, random_fraction, undersample
 
 
 def hardness(method: str, score: Column) -> Column:
@@ -52,21 +53,25 @@ def hard_negatives(
     floor: int = 100,
     n_hard: int | None = None,
     hard_per_pos: float | None = None,
+    q: float | None = None,
 ) -> DataFrame:
     """All positives, the hardest negatives, and a random rest; ``origin`` says which.
 
     As many negatives as undersampling takes, at most all; ``hard_fraction`` of them (or ``n_hard``,
     or ``hard_per_pos`` for each positive) by hardness, the others by key hash among what is left.
+    ``q`` limits the hard ones to that part of all negatives, rounded up.
     """
     row = class_counts(df, label).first()
     if n_hard is None and hard_per_pos is not None:
         n_hard = int(hard_per_pos * row["n_pos"])
     target = min(negatives_wanted(row["n_pos"], ratio, floor), row["n_neg"])
     hard = min(int(target * hard_fraction) if n_hard is None else n_hard, row["n_neg"])
+    if q is not None:
+        hard = min(hard, math.ceil(q * row["n_neg"]))
     ranked = mining_order(with_scores(df.where(F.col(label) == 0), scores, keys, score), keys, method, score, seed)
+    ranked = stored(ranked, "ranked")
     chosen = ranked.where(F.col("rank") <= hard).withColumn("origin", F.lit("hard"))
-    rest = ranked.where(F.col("rank") > hard).withColumn("__u", unit_hash(keys, seed))
-    filled = rest.orderBy("__u", *keys).limit(max(target - hard, 0)).drop("__u").withColumn("origin", F.lit("random"))
+    filled = exact_sample(ranked.where(F.col("rank") > hard), max(target - hard, 0), keys, seed).withColumn("origin", F.lit("random"))
     positives = with_scores(df.where(F.col(label) == 1), scores, keys, score).withColumn("origin", F.lit("positive"))
     return positives.unionByName(chosen.drop("rank")).unionByName(filled.drop("rank"))
 

@@ -1,61 +1,103 @@
 """Imputation, encoding, scaling and assembly with statistics learned on the training frame.
 
-A fit is two aggregations: one for all numeric columns and one for the levels of all categorical
-ones.  A transform is expressions and lookups; it also works on a stream.
+A fit computes only the statistics that its plan asks for, and writes its tables of levels and target
+means, so that a fitted state never changes.  Sums take one aggregation for all numeric columns;
+exact quantiles, modes and level numbers go through counts of distinct values, sorted by range, so
+that no task holds a whole column.  A transform is expressions and lookups of known size: it starts
+no job, and also works on a stream.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import MISSING, level
+from panelspark.functions.ranking import global_rank, running_sums, stored
 
-#: Up to so many levels a lookup is an array literal or a broadcast; their number is counted.
+#: Up to so many rows a lookup table is broadcast; they are counted first.
 BROADCAST_LEVELS = 100_000
+# Names of the strategies.
 IMPUTATIONS = ("mean", "median", "mode", "constant", "none")
 SCALINGS = ("standard", "minmax", "robust", "none")
 ENCODINGS = ("label", "ordinal", "one_hot", "target", "native", "none")
+SUMS = {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+NEEDS = {"mean": {"mean"}, "median": {"median"}, "mode": {"mode"}, "standard": {"mean", "sd"}, "minmax": {"min", "max"}, "robust": {"median", "q25", "q75"}}
+
+
+def _quantiles(values: DataFrame, wanted: dict[str, set[str]]) -> dict[str, dict[str, float]]:
+    """Exact quantiles, interpolated, of ``values(column, value)``: the cumulated counts of the distinct
+    values, sorted by range, show where the wanted places lie."""
+    counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
+    placed = stored(running_sums(counts, [F.col("value")], {"upto": "n"}, ["column"]), "value-counts")
+    totals = {r["column"]: r["n"] for r in placed.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    places = {(c, s): QUANTILES[s] * (totals[c] - 1) for c in wanted for s in wanted[c] & set(QUANTILES) if totals.get(c)}
+    asked = {(c, k) for (c, _), at in places.items() for k in (math.floor(at), math.ceil(at))}
+    if not asked:
+        return {}
+    table = F.broadcast(values.sparkSession.createDataFrame(sorted(asked), "c string, k long"))
+    met = placed.join(table, (F.col("column") == F.col("c")) & (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n")))
+    found = {(r["c"], r["k"]): r["value"] for r in met.select("c", "k", "value").collect()}
+    out: dict[str, dict[str, float]] = {}
+    for (c, s), at in places.items():
+        low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
+        out.setdefault(c, {})[s] = low + (high - low) * (at - math.floor(at)) if low != high else low
+    return out
 
 
-def numeric_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """``(column, stat, value)`` of mean, median, mode, sd, min, max, q25, q75; NaN counts as null.
+def numeric_stats(df: DataFrame, wanted: dict[str, set[str]], approximate: bool = False) -> dict[str, dict[str, float | None]]:
+    """For each column those asked for of mean, sd, min, max, median, q25, q75 and mode, and ``missing``.
 
-    One pass for all columns.  Ties of the mode go to the smallest value.  Quantiles are exact, or
-    sketches if ``approximate``, for tables with many values a column.
-    """
-    quantile = (lambda c, q: F.percentile_approx(c, q, 10_000)) if approximate else (lambda c, q: F.percentile(c, q))
-    stats = {
-        "mean": F.avg,
-        "median": lambda c: quantile(c, 0.5),
-        "mode": lambda c: F.mode(c, True),
-        "sd": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-        "q25": lambda c: quantile(c, 0.25),
-        "q75": lambda c: quantile(c, 0.75),
-    }
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    row = clean.agg(*[F.struct(*[f(F.col(c)).cast("double").alias(s) for s, f in stats.items()]).alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"`{c}`.{s}").alias("value")) for c in columns for s in stats])
-    return row.select(F.inline(cells))
-
-
-def category_levels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value, n, by_frequency, by_name)``: the levels of all columns in one aggregation.
-
-    Indices count from 0: the most frequent first, ties by name; or by name.  A null is no level.
+    NaN counts as null.  A column without values has None.  Ties of the mode go to the smallest value.
+    Quantiles are exact, or sketches if ``approximate``.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    counts = df.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
-    often = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    named = Window.partitionBy("column").orderBy("value")
-    return counts.select("*", (F.row_number().over(often) - 1).alias("by_frequency"), (F.row_number().over(named) - 1).alias("by_name"))
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in wanted}
+    sums = {(c, s): SUMS[s](clean[c]) for c in wanted for s in sorted(wanted[c] & set(SUMS))}
+    if approximate:
+        sums |= {(c, s): F.percentile_approx(clean[c], q, 10_000) for c in wanted for s, q in QUANTILES.items() if s in wanted[c]}
+    sums |= {(c, "missing"): F.count("*") - F.count(clean[c]) for c in wanted}
+    out: dict[str, dict[str, float | None]] = {c: dict.fromkeys(wanted[c]) for c in wanted}
+    if wanted:
+        row = df.agg(*[v.alias(f"s{k}") for k, v in enumerate(sums.values())]).first()
+        for k, (c, s) in enumerate(sums):
+            out[c][s] = row[k]
+    sorted_ones = {} if approximate else {c: wanted[c] for c in wanted if wanted[c] & set(QUANTILES)}
+    modes = [c for c in wanted if "mode" in wanted[c]]
+    if sorted_ones or modes:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), clean[c].alias("value")) for c in {*sorted_ones, *modes}])
+        values = df.select(F.inline(cells)).where("value is not null")
+        if modes:
+            counts = values.where(F.col("column").isin(modes)).groupBy("column", "value").agg(F.count("*").alias("n"))
+            for r in counts.groupBy("column").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode")).collect():
+                out[r["column"]]["mode"] = r["mode"]
+        if sorted_ones:
+            for c, found in _quantiles(values.where(F.col("column").isin(list(sorted_ones))), sorted_ones).items():
+                out[c] |= found
+    return out
+
+
+def level_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``(column, value, n)``: the levels of all columns in one aggregation.  A null is no level."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), v.cast("string").alias("value")) for c, v in columns.items()])
+    return df.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def category_levels(df: DataFrame, columns: list[str], order: str = "by_frequency") -> DataFrame:
+    """``(column, value, n, <order>)``: levels with indices from 0, the most frequent first and ties by
+    name (``by_frequency``), or by name (``by_name``)."""
+    return numbered_levels(level_counts(df, {c: F.col(c) for c in columns}), order)
+
+
+def numbered_levels(counts: DataFrame, order: str) -> DataFrame:
+    by = {"by_frequency": [F.desc("n"), F.col("value")], "by_name": [F.col("value")]}[order]
+    return global_rank(counts, by, order, ["column"]).withColumn(order, (F.col(order) - 1).cast("int"))
 
 
 def target_means(df: DataFrame, column: str, label: str, smoothing: float = 10.0) -> DataFrame:
@@ -65,26 +107,31 @@ def target_means(df: DataFrame, column: str, label: str, smoothing: float = 10.0
     return sums.join(F.broadcast(overall)).select("value", ((F.col("s") + smoothing * F.col("__prior")) / (F.col("n") + smoothing)).alias("target_mean"))
 
 
-def lookup(df: DataFrame, column: Column, table: DataFrame, value: str, name: str, default: Column) -> DataFrame:
-    """``df`` with ``name``: the table's ``value`` at the column's text, else ``default``."""
+def lookup(df: DataFrame, column: Column, table: DataFrame, value: str, name: str, default: Column, rows: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the table's ``value`` at the column's text, else ``default``.
+
+    ``rows`` is the table's known size; it is counted if it isn't given.
+    """
     right = table.select(F.col("value").alias("__value"), F.col(value).alias("__found"))
-    if right.count() <= BROADCAST_LEVELS:
+    if (right.count() if rows is None else rows) <= BROADCAST_LEVELS:
         right = F.broadcast(right)
     return df.join(right, column.cast("string") == F.col("__value"), "left").withColumn(name, F.coalesce("__found", default)).drop("__value", "__found")
 
 
-def encode_index(df: DataFrame, column: str, levels: DataFrame, order: str = "by_frequency", unknown: str = "keep", name: str | None = None) -> DataFrame:
+def encode_index(df: DataFrame, column: str, levels: DataFrame, order: str = "by_frequency", unknown: str = "keep", name: str | None = None, rows: int | None = None) -> DataFrame:
     """Index of the column's level.
 
     Levels that were not learned, and nulls, get an extra index (``keep``), -1 (``minus``), make
-    their rows go (``skip``) or make the query fail when it runs (``error``).
+    their rows go (``skip``) or make the query fail when it runs (``error``).  ``rows`` is the number
+    of the column's levels; it is counted if it isn't given.
     """
     own = levels.where(F.col("column") == column)
-    extra = {"keep": F.lit(own.count()), "minus": F.lit(-1), "skip": F.lit(None), "error": F.raise_error(F.concat(F.lit(f"unknown level of {column}: "), level(F.col(column))))}
+    rows = own.count() if rows is None else rows
+    extra = {"keep": F.lit(rows), "minus": F.lit(-1), "skip": F.lit(None), "error": F.raise_error(F.concat(F.lit(f"unknown level of {column}: "), level(F.col(column))))}
     if unknown not in extra:
         raise ValueError(f"unknown policy {unknown!r}; one of {', '.join(extra)}")
     name = name or f"{column}_index"
-    out = lookup(df, F.col(column), own, order, name, extra[unknown].cast("int"))
+    out = lookup(df, F.col(column), own, order, name, extra[unknown].cast("int"), rows)
     return out.where(F.col(name).isNotNull()) if unknown == "skip" else out
 
 
@@ -117,14 +164,6 @@ def scaled(column: Column, strategy: str, stats: dict[str, float], with_mean: bo
     return (column - centre) / spread if spread else F.when(column.isNotNull(), F.lit(0.0))
 
 
-def stats_by_column(table: DataFrame) -> dict[str, dict[str, float]]:
-    """The bounded statistics table, eight rows a column, as nested dictionaries."""
-    out: dict[str, dict[str, float]] = {}
-    for r in table.collect():
-        out.setdefault(r["column"], {})[r["stat"]] = r["value"]
-    return out
-
-
 @dataclass
 class ColumnPlan:
     """Treatment of one column; unset fields take the preprocessor's defaults."""
@@ -159,7 +198,9 @@ class Preprocessor:
     stats: dict[str, dict[str, float]] = field(default_factory=dict)
     fills: dict[str, str] = field(default_factory=dict)
     hot: dict[str, list[str]] = field(default_factory=dict)
-    levels: DataFrame | None = None
+    sizes: dict[str, int] = field(default_factory=dict)
+    priors: dict[str, float] = field(default_factory=dict)
+    levels: dict[str, DataFrame] = field(default_factory=dict)
     targets: dict[str, DataFrame] = field(default_factory=dict)
 
     def _plan(self, column: str) -> ColumnPlan:
@@ -169,31 +210,57 @@ class Preprocessor:
     def _filled(self, column: str) -> Column:
         return F.coalesce(F.col(column).cast("string"), F.lit(self.fills[column]))
 
+    def _order(self, column: str) -> str | None:
+        """How the levels of a column are numbered, if they are."""
+        return {"label": "by_frequency", "native": "by_frequency", "ordinal": "by_name", "one_hot": "by_name"}.get(self._plan(column).encoding)
+
     def fit(self, df: DataFrame) -> Preprocessor:
-        """Statistics of imputed columns come from a second pass over the imputed expressions."""
-        if self.numeric:
-            raw = stats_by_column(numeric_stats(df, self.numeric, self.approximate))
-            ready = df.select(*[imputed(F.col(c), self._plan(c).imputation, raw[c], self._plan(c).value).alias(c) for c in self.numeric])
-            full = stats_by_column(numeric_stats(ready, self.numeric, self.approximate))
-            self.stats = {c: full[c] | {f"raw_{s}": v for s, v in raw[c].items()} for c in self.numeric}
+        """Learn and write everything a transform needs.
+
+        Scaling statistics are those of the imputed column: a second pass computes them for columns
+        that are imputed, scaled and have missing values.
+        """
+        self._fit_numeric(df)
         if self.categorical:
-            found = category_levels(df, self.categorical)
-            most = {r["column"]: r["value"] for r in found.where("by_frequency = 0").collect()}
-            for c in self.categorical:
-                plan = self._plan(c)
-                self.fills[c] = {"level": MISSING, "most_frequent": most.get(c, MISSING), "constant": str(plan.value or "missing")}[plan.imputation]
-            self.levels = category_levels(df.select(*[self._filled(c).alias(c) for c in self.categorical]), self.categorical)
-            wide = [c for c in self.categorical if self._plan(c).encoding == "one_hot"]
-            hot = self.levels.where(F.col("column").isin(wide))
-            beyond = {r["column"]: r["count"] for r in hot.groupBy("column").count().collect() if r["count"] > self.max_one_hot}
-            if beyond:
+            self._fit_categorical(df)
+        return self
+
+    def _fit_numeric(self, df: DataFrame) -> None:
+        plans = {c: self._plan(c) for c in self.numeric}
+        raw = numeric_stats(df, {c: NEEDS.get(p.imputation, set()) | NEEDS.get(p.scaling, set()) for c, p in plans.items()}, self.approximate)
+        again = {c: NEEDS[p.scaling] for c, p in plans.items() if p.scaling != "none" and p.imputation != "none" and raw[c]["missing"]}
+        ready = df.select(*[imputed(F.col(c), plans[c].imputation, raw[c], plans[c].value).alias(c) for c in again])
+        full = numeric_stats(ready, again, self.approximate) if again else {}
+        self.stats = {c: full.get(c, raw[c]) | {f"raw_{s}": v for s, v in raw[c].items()} for c in self.numeric}
+
+    def _fit_categorical(self, df: DataFrame) -> None:
+        plans = {c: self._plan(c) for c in self.categorical}
+        most: dict[str, str] = {}
+        if wanting := [c for c, p in plans.items() if p.imputation == "most_frequent"]:
+            counts = level_counts(df, {c: F.col(c) for c in wanting})
+            tops = counts.groupBy("column").agg(F.max("n").alias("top")).withColumnRenamed("column", "c")
+            best = counts.join(F.broadcast(tops), (F.col("column") == F.col("c")) & (F.col("n") == F.col("top"))).groupBy("column").agg(F.min("value").alias("value"))
+            most = {r["column"]: r["value"] for r in best.collect()}
+        for c, plan in plans.items():
+            self.fills[c] = {"level": MISSING, "most_frequent": most.get(c, MISSING), "constant": str(plan.value or "missing")}[plan.imputation]
+        orders = {c: self._order(c) for c in self.categorical if self._order(c)}
+        if orders:
+            counts = stored(level_counts(df, {c: self._filled(c) for c in orders}), "levels")
+            self.sizes = dict.fromkeys(orders, 0) | {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+            hot = [c for c in orders if plans[c].encoding == "one_hot"]
+            if beyond := {c: self.sizes[c] for c in hot if self.sizes[c] > self.max_one_hot}:
                 raise ValueError(f"more than max_one_hot = {self.max_one_hot} levels: {beyond}; raise it or choose another encoding")
-            for r in hot.orderBy("column", "by_name").collect():
+            for r in counts.where(F.col("column").isin(hot)).select("column", "value").orderBy("column", "value").collect():
                 self.hot.setdefault(r["column"], []).append(r["value"])
-            for c in self.categorical:
-                if self._plan(c).encoding == "target":
-                    self.targets[c] = target_means(df.withColumn(c, self._filled(c)), c, self.label, self.smoothing)
-        return self
+            for order in {orders[c] for c in orders if c not in hot}:
+                own = [c for c in orders if c not in hot and orders[c] == order]
+                table = stored(numbered_levels(counts.where(F.col("column").isin(own)), order), "numbered-levels")
+                self.levels |= dict.fromkeys(own, table)
+        for c in self.categorical:
+            if plans[c].encoding == "target":
+                self.targets[c] = stored(target_means(df.withColumn(c, self._filled(c)), c, self.label, self.smoothing), "target-means")
+                row = self.targets[c].agg(F.avg("target_mean"), F.count("*")).first()
+                self.priors[c], self.sizes[c] = row[0], row[1]
 
     def names(self) -> list[str]:
         """Output columns in the order of the vector."""
@@ -216,10 +283,10 @@ class Preprocessor:
             if encoding == "one_hot":
                 out = one_hot(out, c, self.hot.get(c, []))
             elif encoding in ("label", "native", "ordinal"):
-                out = encode_index(out, c, self.levels, "by_name" if encoding == "ordinal" else "by_frequency", "minus" if encoding == "ordinal" and self.unknown == "keep" else self.unknown)
+                policy = "minus" if encoding == "ordinal" and self.unknown == "keep" else self.unknown
+                out = encode_index(out, c, self.levels[c], self._order(c), policy, rows=self.sizes[c])
             elif encoding == "target":
-                prior = self.targets[c].agg(F.avg("target_mean")).first()[0]
-                out = lookup(out, F.col(c), self.targets[c], "target_mean", f"{c}_mean", F.lit(prior))
+                out = lookup(out, F.col(c), self.targets[c], "target_mean", f"{c}_mean", F.lit(self.priors[c]), self.sizes[c])
         numbers = []
         for c in self.numeric:
             plan, stats = self._plan(c), self.stats[c]
@@ -230,9 +297,10 @@ class Preprocessor:
         return out.select(*keep, *numbers, *flags, *[F.col(f"`{c}`") for c in encoded])
 
     def assemble(self, df: DataFrame, keep: list[str] = (), output: str = "features") -> DataFrame:
+        """``keep`` and a vector of the output columns; a missing value is NaN in it, never a number."""
         out = self.transform(df, keep)
         plain = {name: f"__f{k}" for k, name in enumerate(self.names())}
-        ready = out.select(*keep, *[F.coalesce(F.col(f"`{a}`").cast("double"), F.lit(0.0)).alias(b) for a, b in plain.items()])
+        ready = out.select(*keep, *[F.coalesce(F.col(f"`{a}`").cast("double"), F.lit(float("nan"))).alias(b) for a, b in plain.items()])
         vectors = VectorAssembler(inputCols=list(plain.values()), outputCol=output, handleInvalid="keep").transform(ready)
         return vectors.select(*keep, output)
 
@@ -240,8 +308,8 @@ class Preprocessor:
         """Parquet tables: settings, levels and target means."""
         settings = {k: v for k, v in self.__dict__.items() if k not in ("levels", "targets", "plans")} | {"plans": {c: p.__dict__ for c, p in self.plans.items()}}
         spark.createDataFrame([(json.dumps(settings),)], "settings string").write.mode("overwrite").parquet(f"{path}/settings")
-        if self.levels is not None:
-            self.levels.write.mode("overwrite").parquet(f"{path}/levels")
+        for c, table in self.levels.items():
+            table.where(F.col("column") == c).write.mode("overwrite").parquet(f"{path}/levels-{self.categorical.index(c)}")
         if self.targets:
             tables = [t.select(F.lit(c).alias("column"), "value", "target_mean") for c, t in self.targets.items()]
             reduce(DataFrame.unionByName, tables).write.mode("overwrite").parquet(f"{path}/targets")
@@ -250,11 +318,12 @@ class Preprocessor:
     def load(cls, spark: SparkSession, path: str) -> Preprocessor:
         settings = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
         out = cls(**settings | {"plans": {c: ColumnPlan(**p) for c, p in settings["plans"].items()}})
-        if out.categorical:
-            out.levels = spark.read.parquet(f"{path}/levels")
-            for c in out.categorical:
-                if out._plan(c).encoding == "target":
-                    out.targets[c] = spark.read.parquet(f"{path}/targets").where(F.col("column") == c).drop("column")
+        for k, c in enumerate(out.categorical):
+            encoding = out._plan(c).encoding
+            if encoding in ("label", "native", "ordinal"):
+                out.levels[c] = spark.read.parquet(f"{path}/levels-{k}")
+            elif encoding == "target":
+                out.targets[c] = spark.read.parquet(f"{path}/targets").where(F.col("column") == c).drop("column")
         return out
 
 

@@ -5,7 +5,7 @@ A row is kept by comparing a hash of its keys with a fraction: the same rows on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import class_weight
@@ -13,6 +13,8 @@ from panelspark.functions.hashing import unit_hash
 from panelspark.functions.ranking import global_rank
 
 WEIGHTS = ("balanced", "sqrt", "none")
+#: Hash ranges in which an exact sample counts rows.
+SLOTS = 1 << 16
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -30,9 +32,21 @@ def random_fraction(df: DataFrame, fraction: float, keys: list[str], seed: int =
 
 
 def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest hashes, ties by key."""
-    u = unit_hash(keys, seed).alias("__u")
-    return df.select("*", u).orderBy("__u", *keys).limit(n).drop("__u")
+    """The ``n`` rows with the smallest hashes, ties by key; all of a smaller frame.
+
+    A histogram of ``SLOTS`` hash ranges finds the one that holds the n-th row: rows of lower ranges
+    pass a filter, and only the rows of that range are ranked.
+    """
+    u = unit_hash(keys, seed)
+    slot = F.floor(u * SLOTS).cast("int")
+    so_far = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = df.groupBy(slot.alias("slot")).agg(F.count("*").alias("own")).withColumn("reached", F.sum("own").over(so_far))
+    edge = counts.where(F.col("reached") >= n).orderBy("slot").first() if n > 0 else None
+    if edge is None:
+        return df if n > 0 else df.where(F.lit(False))
+    ranked = global_rank(df.where(slot == edge["slot"]).withColumn("__u", u), [F.col("__u"), *map(F.col, keys)], "__rank")
+    few = ranked.where(F.col("__rank") <= n - (edge["reached"] - edge["own"])).select(*df.columns)
+    return df.where(slot < edge["slot"]).unionByName(few)
 
 
 def stratified(df: DataFrame, label: str, fraction: float, keys: list[str], seed: int = 42) -> DataFrame:

@@ -36,7 +36,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
-SCORES_SQL = "select o_orderkey as sid, round(o_totalprice / 5000) / 110.0 as score from orders where o_orderkey % 5 <> 0"
+SCORES_SQL = "select o_orderkey as sid, round(o_totalprice / 5000) / 110.0 as score from orders where o_orderkey in (select l_orderkey from lineitem)"
 
 
 def u(seed: int = 42, key: str = "sid") -> str:
@@ -83,11 +83,26 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Source("orders", "table", ["catalog_orders"]).load(spark).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("select r_name as name, 'region' as kind from region union all select n_name, 'nation' from nation")
+@query("select c_name as name, 'customer' as kind, c_acctbal as balance from customer union all select s_name, 'supplier', s_acctbal from supplier")
 def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = Registry.from_dicts({t: {"kind": "parquet", "paths": [f"{sf_dir}/{t}.parquet"]} for t in ("region", "nation")})
-    a = registry.load(spark, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("kind"))
-    return a.unionByName(registry.load(spark, "nation").select(F.lit("nation").alias("kind"), F.col("n_name").alias("name")))
+    registry = Registry.from_dicts({t: {"kind": "parquet", "paths": [f"{sf_dir}/{t}.parquet"]} for t in ("customer", "supplier")})
+    a = registry.load(spark, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind"), F.col("c_acctbal").alias("balance"))
+    return a.unionByName(registry.load(spark, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")))
+
+
+@query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by o_orderstatus")
+def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An existing frame passes through a source, is kept, read twice and released."""
+    source = Source("orders", "frame", frame=table(spark, sf_dir, "orders"))
+    kept = source.load(spark)
+    return kept.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("select o_orderpriority, count(*) as n, (select count(*) from orders)::int as total from orders group by o_orderpriority")
+def cached_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept frame serves both the count of all rows and the groups."""
+    kept = Source("orders", "parquet", [f"{sf_dir}/orders.parquet"]).cache(spark)
+    return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.lit(kept.count()).alias("total"))
 
 
 @query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
@@ -294,22 +309,27 @@ def mining_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _hard(method: str) -> None:
-    sql = f"""+ neg as (select t.sid, coalesce(s.score, 0.0) as score from train t left join scores s using (sid) where t.y_rare = 0),
+def _hard_sql(method: str, hard: str) -> str:
+    """The relation ``mined(sid, origin, score)``; ``hard`` is the number of hard negatives of target(n)."""
+    return f"""+ neg as (select t.sid, coalesce(s.score, 0.0) as score from train t left join scores s using (sid) where t.y_rare = 0),
     target as (select least(greatest(floor({_POS} / 0.5), 100), {_NEG}) as n),
-    ranked as (select sid, row_number() over (order by round({_HARD[method]}, 12), {u()}, sid) as rank from neg),
-    rest as (select sid, row_number() over (order by {u()}, sid) as k from ranked where rank > (select floor(n * 0.6) from target))
-    select sid, 'positive' as origin from train where y_rare = 1
-    union all select sid, 'hard' from ranked where rank <= (select floor(n * 0.6) from target)
-    union all select sid, 'random' from rest where k <= (select n - floor(n * 0.6) from target)"""
+    ranked as (select sid, score, row_number() over (order by round({_HARD[method]}, 12), {u()}, sid) as rank from neg),
+    rest as (select sid, score, row_number() over (order by {u()}, sid) as k from ranked where rank > (select {hard} from target)),
+    mined as (select sid, 'positive' as origin, coalesce(s.score, 0.0) as score from train left join scores s using (sid) where y_rare = 1
+    union all select sid, 'hard', score from ranked where rank <= (select {hard} from target)
+    union all select sid, 'random', score from rest where k <= (select n - {hard} from target))"""
 
-    @query(sql, f"hard_neg_{method}")
+
+def _hard(name: str, method: str, hard: str = "floor(n * 0.6)", **options) -> None:
+    @query(f"{_hard_sql(method, hard)} select sid, origin from mined", f"hard_neg_{name}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return mining.hard_negatives(training(spark, sf_dir), "y_rare", KEYS, scores(spark, sf_dir), ratio=0.5, method=method).select("sid", "origin")
+        return mining.hard_negatives(training(spark, sf_dir), "y_rare", KEYS, scores(spark, sf_dir), ratio=0.5, method=method, **options).select("sid", "origin")
 
 
 for _method in _HARD:
-    _hard(_method)
+    _hard(_method, _method)
+_hard("per_positive", "top_prob", f"least(n, floor(1.5 * {_POS}))", hard_per_pos=1.5)
+_hard("quota", "margin", f"least(floor(n * 0.6), ceil(0.01 * {_NEG}))", q=0.01)
 
 
 @query("""+ joined as (select t.sid, t.y_rare, coalesce(s.score, 0.0) as score from train t left join scores s using (sid))
@@ -319,11 +339,10 @@ def hard_neg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.above_percentile(joined, "y_rare", 0.8, accuracy=1_000_000).select("sid", "y_rare")
 
 
-@query("""+ neg as (select coalesce(s.score, 0.0) as score from train t left join scores s using (sid) where t.y_rare = 0)
-select 'negatives' as origin, count(*) as n, round(avg(score), 6) as mean_score, min(score) as min_score, max(score) as max_score from neg""")
+@query(f"{_hard_sql('top_prob', 'floor(n * 0.6)')} select origin, count(*) as n, round(avg(score), 6) as mean_score, min(score) as min_score, max(score) as max_score from mined group by origin")
 def hard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    negatives = mining.with_scores(training(spark, sf_dir).where("y_rare = 0"), scores(spark, sf_dir), KEYS)
-    return mining.hard_summary(negatives.withColumn("origin", F.lit("negatives"))).withColumn("mean_score", r6("mean_score"))
+    mined = mining.hard_negatives(training(spark, sf_dir), "y_rare", KEYS, scores(spark, sf_dir), ratio=0.5)
+    return mining.hard_summary(mined).withColumn("mean_score", r6("mean_score"))
 
 
 # Preprocessing
@@ -347,7 +366,7 @@ def _impute(strategy: str) -> None:
     @query(f"select sid, round(({sql_of('dirty')})::double, 6) as dirty, round(({sql_of('qty')})::double, 6) as qty from {_FINITE}", f"impute_{strategy}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _finite(spark, sf_dir)
-        stats = prep.stats_by_column(prep.numeric_stats(df, ["dirty", "qty"]))
+        stats = prep.numeric_stats(df, dict.fromkeys(("dirty", "qty"), prep.NEEDS.get(strategy, set())))
         return df.select("sid", *[r6(prep.imputed(F.col(c), strategy, stats[c], -1.0)).alias(c) for c in ("dirty", "qty")])
 
 
@@ -380,7 +399,7 @@ def label_encode_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select sid, coalesce(m.i, -1) as cat_segment_index from panel left join {_index_sql('cat_segment', 'cat_segment')} m on m.v = cat_segment")
 def ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = panel_of(spark, sf_dir)
-    return prep.encode_index(df, "cat_segment", prep.category_levels(df, ["cat_segment"]), "by_name", "minus").select("sid", "cat_segment_index")
+    return prep.encode_index(df, "cat_segment", prep.category_levels(df, ["cat_segment"], "by_name"), "by_name", "minus").select("sid", "cat_segment_index")
 
 
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -427,7 +446,7 @@ def _scale(strategy: str) -> None:
     @query(f"select sid, {cells}, {flat}::double as constant from panel", f"scale_{strategy}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = panel_of(spark, sf_dir)
-        stats = prep.stats_by_column(prep.numeric_stats(df, ["price", "balance", "constant"]))
+        stats = prep.numeric_stats(df, dict.fromkeys(("price", "balance", "constant"), prep.NEEDS[strategy]))
         return df.select("sid", *[r6(prep.scaled(F.col(c), strategy, stats[c])).alias(c) for c in ("price", "balance", "constant")])
 
 
@@ -484,11 +503,12 @@ def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
 
 
-@query(f"select count(*) as n, count(*) filter (dirty is null) as missing, count(*) filter (qty is null) as missing_qty from {_FINITE}")
+@query(f"select (qty is null)::int as label, (qty is null)::int as predicted, count(*) as n, count(*) filter (dirty is null) as missing from {_FINITE} group by 1")
 def trees_keep_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _finite(spark, sf_dir)
-    out = prep.Preprocessor(["dirty", "qty"], [], imputation="none", scaling="none").fit(df).transform(df)
-    return out.agg(F.count("*").alias("n"), F.count_if(F.col("dirty").isNull()).alias("missing"), F.count_if(F.col("qty").isNull()).alias("missing_qty"))
+    """Trees learn, from features that keep their missing values, which orders have no quantity."""
+    df = _finite(spark, sf_dir).withColumn("label", F.col("qty").isNull().cast("int")).withColumn("hidden", F.col("dirty").isNull())
+    pipeline = experiments.Pipeline(prep.Preprocessor(["dirty", "qty"], [], "label", imputation="none", scaling="none"), models.Classifier("gbt", "label", params={"maxIter": 3, "maxDepth": 2}), [*KEYS, "hidden"])
+    return pipeline.fit(df).predict(df).groupBy("label", "predicted").agg(F.count("*").alias("n"), F.count_if("hidden").alias("missing"))
 
 
 # Metrics, curves, thresholds
@@ -587,13 +607,27 @@ def ndcg_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.ndcg(panel_of(spark, sf_dir), "customer_id", "n_lines", "p1", KEYS), "ndcg")
 
 
-# Models; no SQL
+@query("select case when count(*) filter (y not in (0, 1)) = 0 and count(*) filter (p1 < 0 or p1 > 1) = 0 then 'ok' else 'bad' end as scores, 'bad' as prices, count(*) as n from panel")
+def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores pass the checks of a threshold's inputs; prices, far above 1, don't."""
+    df = panel_of(spark, sf_dir)
+
+    def said(column: str) -> str:
+        try:
+            threshold.check_inputs(df, "y", column)
+        except ValueError:
+            return "bad"
+        return "ok"
 
+    return df.agg(F.lit(said("p1")).alias("scores"), F.lit(said("price")).alias("prices"), F.count("*").alias("n"))
 
-@query(f"""+ part as (select * from panel where {u(3)} < 0.5)
-select a.customer_id, a.sid as sid_more, b.sid as sid_less, round(a.price - b.price, 6) as price from part a join part b on a.customer_id = b.customer_id and a.n_lines > b.n_lines""")
+
+# Models
+
+
+@query("select a.customer_id, a.sid as sid_more, b.sid as sid_less, round(a.price - b.price, 6) as price from panel a join panel b on a.customer_id = b.customer_id and a.n_lines > b.n_lines")
 def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(models.pairs(panel_of(spark, sf_dir), "customer_id", "n_lines", KEYS, ["price"], 0.5, seed=3), "price")
+    return _rounded(models.pairs(panel_of(spark, sf_dir), "customer_id", "n_lines", KEYS, ["price"]), "price")
 
 
 _NUMERIC, _CATEGORICAL = ["price", "balance", "n_lines", "qty"], ["cat_priority", "cat_segment"]
@@ -642,6 +676,53 @@ def mined_by_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.for_mode(training(spark, sf_dir), "y_rare", KEYS, config, "final").select("sid", "y_rare")
 
 
+def _forest(label: str):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(labelCol=label, numTrees=5, maxDepth=3, seed=1)
+
+
+@query(f"select 'positive' as part, count(*) as n from train where y_rare = 1 union all select 'negative', least(greatest(floor({_POS} / 0.5), 100), {_NEG})::bigint")
+def mined_by_own_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's estimator comes from a factory; how many rows are mined doesn't depend on it."""
+    df = training(spark, sf_dir)
+    found = mining.baseline_scores(df, "y_rare", KEYS, ["price", "balance"], estimator=_forest)
+    mined = mining.hard_negatives(df, "y_rare", KEYS, found, ratio=0.5)
+    return mined.groupBy(F.when(F.col("y_rare") == 1, "positive").otherwise("negative").alias("part")).agg(F.count("*").alias("n"))
+
+
+_FACTS_SQL = f"""select '{{kind}}' as kind, count(*) as n, count(*) filter (price > 300000) as positives, true as in_range, true as by_threshold, true as good
+  from panel where year >= {TEST[0]} and year < {TEST[1]}"""
+
+
+def _facts(kind: str, params: dict, early: bool = False) -> None:
+    """What must hold of any good model of the planted label: rows, ranges, decisions, AUC above 0.9."""
+    name = f"{'early' if early else kind}_facts"
+
+    @query(_FACTS_SQL.format(kind=kind), name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored = _scored(kind, params, early)(spark, sf_dir)
+        auc = curves.auc(scored, "label", "p1").first()["auc_roc"]
+        return scored.agg(
+            F.lit(kind).alias("kind"),
+            F.count("*").alias("n"),
+            F.count_if(F.col("label") == 1).alias("positives"),
+            F.min(F.col("p1").between(0, 1)).alias("in_range"),
+            F.min((F.col("p1") >= 0.5).cast("int") == F.col("predicted")).alias("by_threshold"),
+            F.lit(auc > 0.9).alias("good"),
+        )
+
+
+for _kind, _params, _early in (("lr", {}, False), ("rf", {"numTrees": 10, "maxDepth": 5}, False), ("gbt", {"maxIter": 5, "maxDepth": 3}, False), ("gbt", {"maxIter": 10, "maxDepth": 3, "validationTol": 0.01}, True), ("mlp", {"hidden": [8], "maxIter": 60}, False)):
+    _facts(_kind, _params, _early)
+
+
+@query("select unnest(['intercept', 'iterations', 'train_accuracy', 'train_auc']) as name, true as plausible")
+def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = experiments.quick_train(_planted(spark, sf_dir), _NUMERIC, _CATEGORICAL, "label", "lr", KEYS).classifier.report(spark)
+    return report.select("name", (F.when(F.col("name").startswith("train"), F.col("value").between(0.9, 1.0)).otherwise(~F.isnan("value"))).alias("plausible"))
+
+
 @query()
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _planted(spark, sf_dir)
@@ -687,7 +768,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.leaderboard(_grid(spark, sf_dir))
 
 
-@query()
+@query(f"select 'tune' as run_name, sid, y_rare from train where {_UNDER}")
 def prepared_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [{"name": "tune", "data": {"train": TRAIN, "test": TEST}, "sampling": {"tune": {"strategy": "undersample", "ratio": 0.5}}}]
     return experiments.run_experiments(panel_of(spark, sf_dir), "y_rare", KEYS, runs, fit=False).select("run_name", "sid", "y_rare")

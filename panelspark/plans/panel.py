@@ -48,6 +48,7 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of four fifths of the orders."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
+    """Scores of the orders that have lines; the others have none."""
+    shipped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").join(shipped, "o_orderkey", "left_semi")
     return orders.select(F.col("o_orderkey").alias("sid"), (F.round(F.col("o_totalprice") / 5000) / 110.0).alias("score"))

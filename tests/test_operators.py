@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import unit_hash
-from panelspark.functions.ranking import global_rank, running_sums
+from panelspark.functions.ranking import global_rank, running_sums, with_previous
 from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, roles, sampling, threshold
 from panelspark.plans import catalog
 from panelspark.sources.scratch import scratch_path
@@ -38,7 +38,6 @@ def test_ranks_and_running_sums_over_partitions_and_ties(spark):
 
 def test_ranking_has_no_single_partition_sort_of_rows(spark):
     plan = global_rank(spark.range(1000), [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan
     assert plan.count("SinglePartition") <= 1  # the offsets, a row for each partition
 
 
@@ -179,6 +178,104 @@ def test_one_hot_keeps_every_level_or_raises(spark):
         prep.Preprocessor([], ["c"], max_one_hot=5).fit(df)
 
 
+def test_wide_columns_keep_all_levels_and_use_no_task_for_a_column(spark):
+    df = spark.range(3000).select((F.col("id") % 1500).cast("string").alias("c"), (F.col("id") / 7).alias("x"))
+    plan = prep.Preprocessor(["x"], ["c"], encoding="one_hot", max_one_hot=2000).fit(df)
+    assert len(plan.names()) == 1501
+    labels = prep.category_levels(df, ["c"])
+    assert sorted(r["by_frequency"] for r in labels.collect()) == list(range(1500))
+    assert "SinglePartition" not in labels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fitted_state_is_frozen_and_transforms_without_jobs(spark, tmp_path):
+    people(spark).write.parquet(f"{tmp_path}/train")
+    train = spark.read.parquet(f"{tmp_path}/train")
+    test = people(spark, 50)
+    plans = {"x": prep.ColumnPlan(imputation="mode"), "c2": prep.ColumnPlan(encoding="target"), "c3": prep.ColumnPlan(encoding="ordinal")}
+    wide = lambda df: df.withColumn("c2", F.col("c")).withColumn("c3", F.col("c"))
+    plan = prep.Preprocessor(["x", "z"], ["c", "c2", "c3"], "y", encoding="label", plans=plans).fit(wide(train))
+    before = sorted(map(tuple, plan.transform(wide(test), keep=["id"]).collect()))
+    train.where("c = 'a'").write.mode("append").parquet(f"{tmp_path}/train")
+    spark.sparkContext.setJobGroup("transforming", "no job is expected")
+    out = plan.assemble(wide(test))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("transforming")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 50
+    assert sorted(map(tuple, plan.transform(wide(test), keep=["id"]).collect())) == before
+
+
+def test_missing_values_stay_missing_in_vectors(spark):
+    df = people(spark).withColumn("y", (F.col("x").isNull() | F.isnan("x")).cast("int"))
+    plan = prep.Preprocessor(["x", "z"], [], "y", imputation="none", scaling="none").fit(df)
+    vectors = plan.assemble(df, keep=["y"])
+    values = [r["v"] for r in vectors.where("y = 1").select(vector_to_array("features").alias("v")).collect()]
+    assert values and all(math.isnan(v[0]) and not math.isnan(v[1]) for v in values)
+    for kind, params in (("rf", {"numTrees": 10, "maxDepth": 3}), ("gbt", {"maxIter": 2, "maxDepth": 2})):
+        model = models.Classifier(kind, "y", params=params).fit(vectors)
+        assert model.predict(vectors).where("predicted <> y").count() == 0
+    with pytest.raises(Exception, match="(?i)nan"):
+        models.Classifier("lr", "y").fit(vectors)
+
+
+def test_exact_sample_and_random_fill_sort_no_more_than_a_slot(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SLOTS", 16)
+    df = spark.range(2000)
+    want = {r["id"] for r in df.orderBy(unit_hash(["id"], 42), "id").limit(700).collect()}
+    out = sampling.exact_sample(df, 700, ["id"])
+    assert {r["id"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "TakeOrdered" not in plan and plan.count("SinglePartition") <= 1  # a row for each sorted partition
+    assert sampling.exact_sample(df, 0, ["id"]).count() == 0 and sampling.exact_sample(df, 5000, ["id"]).count() == 2000
+    marked = df.withColumn("y", (F.col("id") < 100).cast("int"))
+    mined = mining.hard_negatives(marked, "y", ["id"], df.select("id", (F.col("id") / 2000).alias("score")), ratio=0.5)
+    plan = mined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "TakeOrdered" not in plan and plan.count("SinglePartition") <= 1
+    rest = mined.where("origin = 'random'")
+    left = {r["id"] for r in df.where("id between 100 and 1879").orderBy(unit_hash(["id"], 42), "id").limit(80).collect()}
+    assert {r["id"] for r in rest.collect()} == left
+    assert mining.hard_negatives(marked, "y", ["id"], df.select("id", (F.col("id") / 2000).alias("score")), q=0.01).where("origin = 'hard'").count() == 19
+
+
+def test_trapezoid_has_no_window_over_all_scores(spark):
+    rows, df = scored(spark, 400)
+    area = curves.pr_trapezoid(df.repartition(3), "y", "p")
+    points = sorted({p for *_, p in rows}, reverse=True)
+    real = sum(y for _, y, _ in rows)
+    pr = [(sum(y for _, y, q in rows if q >= p) / real, sum(y for _, y, q in rows if q >= p) / sum(q >= p for *_, q in rows)) for p in points]
+    want = sum((r - r0) * (p + p0) / 2 for (r0, p0), (r, p) in zip([(0, pr[0][1]), *pr], pr, strict=False))
+    assert area.first()[0] == pytest.approx(want)
+    text = area._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SinglePartition") <= 2  # partitions' last rows, and the final sum
+
+
+def test_pairs_of_a_hot_group_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(models, "PAIR_BLOCK", 40)
+    rows = [(i, 1 if i < 200 else i % 30 + 2, i % 5, float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g int, rel int, v double")
+    got = sorted((r["id_more"], r["id_less"], r["v"]) for r in models.pairs(df, "g", "rel", ["id"], ["v"]).collect())
+    assert got == sorted((a[0], b[0], a[3] - b[3]) for a in rows for b in rows if a[1] == b[1] and a[2] > b[2])
+    few = models.pairs(df, "g", "rel", ["id"], ["v"], bound=30)
+    rows_of = few.select(F.col("id_more").alias("i")).unionByName(few.select(F.col("id_less").alias("i"))).distinct().join(df, F.col("i") == F.col("id"))
+    assert 10 < rows_of.where("g = 1").count() < 60 and few.where("g > 1").count() == sum(a[1] == b[1] > 1 and a[2] > b[2] for a in rows for b in rows)
+
+
+def test_ranks_and_sums_by_group_and_previous_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc") if i % 9 else None, rng.randrange(1000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, v long").repartition(5)
+    order = lambda r: (r[1] is not None, r[1] or "", r[2], r[0])
+    seen, want = {}, {}
+    for i, g, v in sorted(rows, key=order):
+        n, s = seen.get(g, (0, 0))
+        seen[g] = want[i] = (n + 1, s + v)
+    ranks = {r["id"]: r["rank"] for r in global_rank(df, [F.col("v"), F.col("id")], by=["g"]).collect()}
+    sums = {r["id"]: r["s"] for r in running_sums(df, [F.col("v"), F.col("id")], {"s": "v"}, ["g"]).collect()}
+    assert {i: (ranks[i], sums[i]) for i in ranks} == want
+    line = sorted(rows, key=lambda r: (r[2], r[0]))
+    before = {r["id"]: r["p"] for r in with_previous(df, [F.col("v"), F.col("id")], {"p": "id"}).collect()}
+    assert before == {r[0]: (line[k - 1][0] if k else None) for k, r in enumerate(line)}
+
+
 def test_rank_scores_learn_from_all_pairs(spark, monkeypatch):
     met, plain = [], models.pairs
     monkeypatch.setattr(models, "pairs", lambda df, *args: met.append((df, plain(df, *args))) or met[-1][1])
@@ -204,10 +301,17 @@ def test_preprocessor_round_trip_and_unseen_levels(spark, encoding):
 
 def test_preprocessor_statistics_and_policies(spark):
     df = people(spark)
-    stats = prep.stats_by_column(prep.numeric_stats(df, ["x", "z", "void"]))
-    z = [r["z"] for r in df.collect()]
-    assert stats["z"]["median"] == pytest.approx(np.median(z)) and stats["z"]["sd"] == pytest.approx(np.std(z, ddof=1))
-    assert stats["void"]["mean"] is None and not math.isnan(stats["x"]["mean"])
+    every = {"mean", "sd", "min", "max", "median", "q25", "q75", "mode"}
+    stats = prep.numeric_stats(df, {"x": every, "z": every, "void": every, "flat": {"median", "mode"}})
+    z, x = ([r[c] for r in df.collect() if r[c] is not None and not math.isnan(r[c])] for c in "zx")
+    for c, values in (("z", z), ("x", x)):
+        want = {"median": np.median(values), "q25": np.quantile(values, 0.25), "q75": np.quantile(values, 0.75), "sd": np.std(values, ddof=1), "mean": np.mean(values)}
+        assert {s: stats[c][s] for s in want} == pytest.approx(want)
+        assert stats[c]["mode"] == min(values, key=lambda v, own=values: (-own.count(v), v))
+    assert stats["x"]["missing"] == 300 - len(x)
+    assert {stats["void"][s] for s in every} == {None} and stats["flat"] == {"median": 7.0, "mode": 7.0, "missing": 0}
+    rough = prep.numeric_stats(df, {"z": {"median"}}, approximate=True)
+    assert abs(rough["z"]["median"] - np.median(z)) < 0.2
     scaled = prep.Preprocessor(["z"], []).fit(df).transform(df).agg(F.avg("z"), F.stddev("z")).first()
     assert scaled[0] == pytest.approx(0, abs=1e-9) and scaled[1] == pytest.approx(1)
     levels = prep.category_levels(df.where("c != 'd'"), ["c"])
@@ -215,7 +319,6 @@ def test_preprocessor_statistics_and_policies(spark):
     assert prep.encode_index(df.where("c = 'd'"), "c", levels, unknown="keep").first()["c_index"] == 3
     with pytest.raises(Exception, match="unknown level of c"):
         prep.encode_index(df, "c", levels, unknown="error").collect()
-    assert prep.numeric_stats(df, ["x"]).count() == 8
     with pytest.raises(ValueError):
         prep.imputed(F.col("x"), "other", {})
 
@@ -235,18 +338,22 @@ def test_pca_is_centred_with_fixed_signs(spark):
 
 def test_models_find_a_planted_signal(spark):
     df = people(spark, 400).withColumn("y", (F.col("z") > 6).cast("int"))
-    for kind, params in (("lr", {}), ("rf", {"numTrees": 5, "maxDepth": 3}), ("gbt", {"maxIter": 3, "maxDepth": 2})):
+    for kind, params in (("mlp", {"hidden": [4], "maxIter": 60}), ("lr", {}), ("rf", {"numTrees": 5, "maxDepth": 3}), ("gbt", {"maxIter": 3, "maxDepth": 2})):
         pipeline = experiments.quick_train(df, ["x", "z"], ["c"], "y", kind, ["id"], **params)
         out = pipeline.predict(df)
         assert curves.auc(out, "y", "p1").first()["auc_roc"] > 0.9
-        assert pipeline.classifier.importances(spark).first()["feature"] == "z"
-        assert pipeline.classifier.training_history(spark).count() == len(pipeline.classifier.history)
+        assert kind == "mlp" or pipeline.classifier.importances(spark).first()["feature"] == "z"
+        assert pipeline.classifier.training_history(spark).count() == len(pipeline.classifier.history) > 0 or kind == "rf"
+        assert kind != "lr" or {r["name"] for r in pipeline.classifier.report(spark).collect()} == {"intercept", "iterations", "train_auc", "train_accuracy"}
         assert pipeline.predict(df.drop("y")).count() == 400
     pipeline.tune_threshold(df, "youden")
     path = scratch_path(spark, "model")
     pipeline.save(spark, path)
     back = experiments.Pipeline.load(spark, path)
-    assert back.classifier.threshold == pipeline.classifier.threshold
+    same = ("threshold", "weight", "params", "history", "names", "facts")
+    assert [getattr(back.classifier, k) for k in same] == [getattr(pipeline.classifier, k) for k in same]
+    with pytest.raises(ValueError, match="weights"):
+        models.Classifier("mlp", "y", weight="w").fit(df)
     assert sorted(map(tuple, back.predict(df).select("id", "p1", "predicted").collect())) == sorted(map(tuple, pipeline.predict(df).select("id", "p1", "predicted").collect()))
     with pytest.raises(ValueError):
         pipeline.classifier.set_threshold(1.5)
@@ -272,7 +379,7 @@ def test_experiments_log_and_leaderboard(spark):
     board = experiments.leaderboard(table).collect()
     assert [r["place"] for r in board] == [1, 2] and board[0]["value"] > 0.9
     keys = {r["key"] for r in table.collect()}
-    assert {"threshold", "override_regParam", "train_f1", "valid_auc_roc", "test_brier"} <= keys
+    assert {"sampling_strategy", "sampling_fraction", "weight_cap", "threshold", "override_regParam", "train_f1", "valid_auc_roc", "test_brier"} <= keys
 
 
 def test_sources(spark, tmp_path):

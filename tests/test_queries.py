@@ -10,13 +10,14 @@ import pytest
 from panelspark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Covered by other queries and tests: the models' facts below, grids and logs in test_operators.
 SLOW = {"experiment_grid", "run_table", "leaderboard", "gbt_scores", "boosted_early_stop", "rf_scores", "mlp_scores"}
 
 
 @pytest.fixture(scope="module")
 def duck():
     with duckdb.connect() as c:
-        for t in ("region", "nation", "customer", "orders", "lineitem"):
+        for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
             c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         yield c
 
