@@ -178,6 +178,8 @@ class ColumnPlan:
 class Preprocessor:
     """Numeric block first, then the categorical block; every column by its own plan.
 
+    A numeric column that isn't imputed and had missing values in the fit also gets a 0/1 column
+    ``<column>_missing``, as a tree's bins can be too coarse to part a few missing values from the rest.
     One-hot encoding has a column for every learned level; ``fit`` raises an error where a column has
     more than ``max_one_hot`` of them.
     """
@@ -262,9 +264,12 @@ class Preprocessor:
                 row = self.targets[c].agg(F.avg("target_mean"), F.count("*")).first()
                 self.priors[c], self.sizes[c] = row[0], row[1]
 
+    def _gapped(self) -> list[str]:
+        return [c for c in self.numeric if self._plan(c).imputation == "none" and self.stats[c]["raw_missing"]]
+
     def names(self) -> list[str]:
         """Output columns in the order of the vector."""
-        out = [*self.numeric, *self.boolean]
+        out = [*self.numeric, *[f"{c}_missing" for c in self._gapped()], *self.boolean]
         for c in self.categorical:
             encoding = self._plan(c).encoding
             if encoding == "one_hot":
@@ -292,8 +297,9 @@ class Preprocessor:
             plan, stats = self._plan(c), self.stats[c]
             raw = {s[4:]: v for s, v in stats.items() if s.startswith("raw_")}
             numbers.append(scaled(imputed(F.col(c), plan.imputation, raw, plan.value), plan.scaling, stats).alias(c))
+        numbers += [(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double").alias(f"{c}_missing") for c in self._gapped()]
         flags = [F.col(c).cast("double").alias(c) for c in self.boolean]
-        encoded = [c for c in self.names() if c not in self.numeric and c not in self.boolean]
+        encoded = self.names()[len(numbers) + len(flags) :]
         return out.select(*keep, *numbers, *flags, *[F.col(f"`{c}`") for c in encoded])
 
     def assemble(self, df: DataFrame, keep: list[str] = (), output: str = "features") -> DataFrame:

@@ -209,7 +209,7 @@ def test_missing_values_stay_missing_in_vectors(spark):
     plan = prep.Preprocessor(["x", "z"], [], "y", imputation="none", scaling="none").fit(df)
     vectors = plan.assemble(df, keep=["y"])
     values = [r["v"] for r in vectors.where("y = 1").select(vector_to_array("features").alias("v")).collect()]
-    assert values and all(math.isnan(v[0]) and not math.isnan(v[1]) for v in values)
+    assert plan.names() == ["x", "z", "x_missing"] and values and all(math.isnan(v[0]) and not math.isnan(v[1]) and v[2] == 1 for v in values)
     for kind, params in (("rf", {"numTrees": 10, "maxDepth": 3}), ("gbt", {"maxIter": 2, "maxDepth": 2})):
         model = models.Classifier(kind, "y", params=params).fit(vectors)
         assert model.predict(vectors).where("predicted <> y").count() == 0
