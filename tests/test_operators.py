@@ -389,6 +389,9 @@ def test_sources(spark, tmp_path):
     assert Source("a", "parquet", [f"{tmp_path}/a"], where="id >= 90").load(spark).count() == 10
     assert Source("a", "parquet", [f"{tmp_path}/a", f"{tmp_path}/a"]).load(spark).count() == 200
     assert Source("b", "csv", [f"{tmp_path}/b"]).load(spark).dtypes == [("id", "int"), ("s", "string")]
+    df.write.mode("overwrite").saveAsTable("default.some_rows")
+    for name in ("some_rows", "default.some_rows", "spark_catalog.default.some_rows"):
+        assert Source("t", "table", [name], where="id < 7").load(spark).count() == 7
     assert Source("f", "frame", frame=df, where="id < 0").load(spark).count() == 100
     for fraction, n in ((None, 100), (0, 100), (1.5, 100)):
         assert Source("a", "parquet", [f"{tmp_path}/a"], fraction=fraction).load(spark).count() == n
