@@ -33,8 +33,12 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the parity sketch: the Hamming distance of two sketches is never above the size of the
 #: symmetric difference of the sets.
 SKETCH = 512
+#: Ids of so many documents are broadcast, about 10 MB; they are counted first.
+BROADCAST_IDS = 500_000
 #: Members of a bucket up to which all its pairs are formed.
 CROWD = 200
+#: Rows of about 100 bytes about crowded documents that are broadcast; they are counted first.
+CROWD_BROADCAST = 100_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +135,12 @@ def intersections(left: pa.Array, right: pa.Array, k: int) -> tuple[np.ndarray,
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
+    """The pairs ``(a, b)`` whose full shingle sets are similar enough.
+
+    The texts that any pair needs are picked first, by a broadcast of their ids if those are few, and
+    only they are shuffled.  A centre is ``a`` of any number of pairs, which are spread; as ``b`` a
+    document has at most a pair for each of its buckets, or as many as share its rare shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text_a", 1 << 20):
@@ -139,9 +148,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             ok = pa.array((both > 0) & (100 * both >= percent * (size_a + size_b - both)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    of_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    of_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = spread_join(spread_join(pairs.select("a", "b"), of_b, "b", "a"), of_a, "a", "b")
+    pairs = stored(pairs.select("a", "b"), "minhash-pairs")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "minhash-needed")
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    own = stored(texts.join(needed, F.col("id") == F.col("needed"), "left_semi"), "minhash-texts")
+    of_a = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    of_b = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    both = spread_join(pairs.select("a", "b").join(of_b, "b"), of_a, "a", "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
@@ -223,7 +237,10 @@ def near_duplicates(
     rest = _across(side_by_side, "key", percent)
     crowd = stored(beside.where(F.col("members") > CROWD).select(F.col("rep").alias("c"), F.col("label")).distinct(), "minhash-crowd")
     if not crowd.isEmpty():
-        whole = crowd.join(classes.select("rep", "n", "sketch"), F.col("c") == F.col("rep")).drop("rep").join(texts, F.col("c") == F.col("id")).select("id", "label", "n", "sketch", "text")
+        facts = crowd.join(classes.select("rep", "n", "sketch"), F.col("c") == F.col("rep")).drop("rep")
+        if facts.count() <= CROWD_BROADCAST:
+            facts = F.broadcast(facts)
+        whole = stored(texts.join(facts, F.col("c") == F.col("id")).select("id", "label", "n", "sketch", "text"), "minhash-crowd-texts")
         heads = stored(prefixes(whole, shingle, percent), "minhash-prefixes")
         shared = heads.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
         rest = rest.unionByName(_across(stored(heads.join(shared, "shingle"), "minhash-shared"), "shingle", percent))
