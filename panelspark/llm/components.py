@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _settled(edges: DataFrame) -> bool:
     """Whether every node hangs on one root: one edge for each node, and no root hangs itself."""
     rows, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
-    return rows == nodes and edges.join(edges.select(F.col("a").alias("hung")), F.col("b") == F.col("hung"), "left_semi").isEmpty()
+    return rows == nodes and edges.select("b").distinct().join(edges.select(F.col("a").alias("hung")), F.col("b") == F.col("hung"), "left_semi").isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
