@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .components import connected
 from .ranges import spread_join
-from .storage import stored
+from .storage import discard, stored
 from .text import LOWER, chunks, hash_spans, mix, utf8, word_spans
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -149,14 +149,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     pairs = stored(pairs.select("a", "b"), "minhash-pairs")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "minhash-needed")
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "minhash-needed")
+    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = stored(texts.join(needed, F.col("id") == F.col("needed"), "left_semi"), "minhash-texts")
     of_a = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     of_b = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = spread_join(pairs.select("a", "b").join(of_b, "b"), of_a, "a", "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
+    links = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema), "minhash-links")
+    discard(own, ids, pairs)
+    return links
 
 
 def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,10 +224,11 @@ def near_duplicates(
     entries = stored(entries.select(F.xxhash64("i", "j", "l", "r").alias("key"), "rep"), "minhash-entries")
     buckets = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = stored(entries.join(buckets, "key"), "minhash-members")
+    discard(entries)
 
     stars = stored(members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-stars")
     bounded = _bounded(stars, classes, percent)
-    links = stored(confirmed(bounded, texts, shingle, percent), "minhash-links")
+    links = confirmed(bounded, texts, shingle, percent)
 
     label = connected(links)
     marked = members.select("key", "rep", "members").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("label"))
@@ -245,7 +247,8 @@ def near_duplicates(
         shared = heads.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
         rest = rest.unionByName(_across(stored(heads.join(shared, "shingle"), "minhash-shared"), "shingle", percent))
     rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(confirmed(rest, texts, shingle, percent), "minhash-links")
+    more = confirmed(rest, texts, shingle, percent)
+    discard(members, marked, beside, crowd)
     if not more.isEmpty():
         label = connected(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

@@ -20,6 +20,8 @@ from .storage import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a partition of the delivered mix: about 6 to 120 MB of text.
 LEAST_WORDS, MOST_WORDS = 1_000_000, 20_000_000
+#: Places of so many delivered rows are broadcast, about 12 MB; they are counted first.
+BROADCAST_PLACES = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -140,5 +142,8 @@ def mixed(
     by_default = total / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, math.ceil(total / min(max(by_default, LEAST_WORDS), MOST_WORDS)))
     place = F.least(F.floor(F.col("sent") * parts / max(total, 1)), F.lit(parts - 1)).cast("int").alias("__part")
-    joined = whole.join(places.select("__of", "__position", place), F.col("__row") == F.col("__of"))
+    narrow = places.select("__of", "__position", place)
+    if places.count() <= BROADCAST_PLACES:
+        narrow = F.broadcast(narrow)
+    joined = whole.join(narrow, F.col("__row") == F.col("__of"))
     return joined.repartitionById(parts, "__part").sortWithinPartitions("__position").select("all.*")

@@ -15,7 +15,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing will read any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
