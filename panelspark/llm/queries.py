@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, kdtree, langid, minhash, mixing, ordinal, outliers, sharding, warc
+from . import bpe, crf, kdtree, langid, minhash, mixing, ordinal, outliers, pieces, sharding, warc
 from .storage import fresh_path, ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,5 +92,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, packed=True, decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding, op11_pieces)}
