@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, kdtree, langid, minhash, mixing, ordinal, outliers, pieces, sharding, warc
+from . import bpe, crf, kdtree, langid, minhash, mixing, ordinal, outliers, pieces, sharding, variants, warc
 from .storage import fresh_path, ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -97,5 +97,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.occurrences(table(spark, sf_dir, "documents"), min_length=7, min_count=2, drop_every=31)
+    return variants.group(words, ratio=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding, op11_pieces)}
+    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding, op11_pieces, op12_variants)}

@@ -80,5 +80,38 @@ from leaf join node on node.level = depth and node.prefix = key >> (60 - depth)
 """
 
 
+#: The table of the crc32 comes from its polynomial; words meet over what one deletion leaves of them.
+OP12 = r"""
+with recursive crc as (
+  select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by b) as t from range(256) r(b)
+), run as (
+  select doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as times
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as x from documents) where length(x) >= 7 group by all
+), byte as (
+  select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from run
+), hashed as (
+  select run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) as h
+  from byte, crc
+), word as materialized (
+  select word, sum(times)::bigint as n from (select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from hashed)
+  where length(word) >= 7 group by word having sum(times) >= 2
+), less as materialized (
+  select word, n, i, left(word, i::int) || substr(word, i::int + 2) as less from word, lateral (select unnest(range(length(word))) as i)
+), near as materialized (
+  select distinct a.word as a, a.n as n, b.word as b, b.n as m from less a join less b on a.less = b.less and a.i = b.i and length(a.word) = length(b.word) and a.word <> b.word
+  union select word.word, word.n, less.word, less.n from less join word on word.word = less.less
+  union select less.word, less.n, word.word, word.n from less join word on word.word = less.less
+), best as (
+  select a, count(*) as n_near, min(struct_pack(k := -m, b := b)) as best from near group by a
+), formed as materialized (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when -best.k >= 10 * n then best.b end as form, case when -best.k >= 10 * n then -best.k end as form_n
+  from word left join best on a = word
+), way as (
+  select word, word as here, form as up from formed union all select way.word, way.up, formed.form from way join formed on formed.word = way.up
+)
+select word, n, n_near, form, form_n::bigint as form_n, here as root from formed join way using (word) where way.up is null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_kdtree": OP4, "op5_minhash": OP5, "op6_mixing": OP6, "op10_sharding": OP10}
+    return {"op1_warc": OP1, "op4_kdtree": OP4, "op5_minhash": OP5, "op6_mixing": OP6, "op10_sharding": OP10, "op12_variants": OP12}
