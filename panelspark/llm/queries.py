@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, kdtree, langid, minhash, mixing, ordinal, outliers, pieces, sharding, variants, warc
+from . import bpe, crf, kdtree, langid, lexical, minhash, mixing, ordinal, outliers, pieces, sharding, variants, warc
 from .storage import fresh_path, ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -102,5 +102,9 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(words, ratio=10)
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding, op11_pieces, op12_variants)}
+    return {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_quality_grades, op4_kdtree, op5_minhash, op6_mixing, op7_language_id, op8_outliers, op9_toxicity, op10_sharding, op11_pieces, op12_variants, op13_lexical)}

@@ -113,5 +113,22 @@ select word, n, n_near, form, form_n::bigint as form_n, here as root from formed
 """
 
 
+OP13 = r"""
+with term as materialized (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents
+), whole as (select count(*) filter (len(t) > 0)::bigint as docs, sum(len(t))::bigint as terms from term
+), tf as materialized (select row, doc_id, len(t)::bigint as n, x, count(*)::bigint as tf from (select row, doc_id, t, unnest(t) as x from term) group by all
+), weight as (select x, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, whole group by x, docs
+), asked as (
+  select distinct item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as x
+  from (select row_number() over () as item, * from benchmark)
+), scored as (
+  select item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::bigint as score
+  from asked join weight using (x) join tf using (x), whole group by all
+)
+select item_id, cast(row_number() over (partition by item order by score desc, doc_id) as int) as rank, doc_id, score from scored where score > 0 qualify rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_kdtree": OP4, "op5_minhash": OP5, "op6_mixing": OP6, "op10_sharding": OP10, "op12_variants": OP12}
+    return {"op1_warc": OP1, "op4_kdtree": OP4, "op5_minhash": OP5, "op6_mixing": OP6, "op10_sharding": OP10, "op12_variants": OP12, "op13_lexical": OP13}
