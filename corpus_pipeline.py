@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, langid, minhash, mixing, outliers
 from panelspark.llm.queries import RANKS
-from panelspark.llm.storage import ship_package, stored
+from panelspark.llm.storage import discard, ship_package, stored
 
 #: Texts whose language is less certain than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -51,12 +51,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the numbers that the mix takes of them, none, one or two copies, in the order of
-    the fair queue.
+    """Documents in the numbers that the mix takes of them, none, one or two copies.
 
     Rows without words go.  Copies are counted by row, so that null and repeated ids get their own.
     """
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, ordered=False)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,5 +81,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return docs

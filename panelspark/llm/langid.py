@@ -79,10 +79,11 @@ def _counter(bits: int, orders: tuple[int, ...]):
                 known.setdefault(x, len(known))
             if len(known) > len(counts):
                 counts = np.concatenate([counts, np.zeros((len(known) - len(counts), 1 << bits), np.int64)])
+            flat = counts.reshape(-1)
             found, owner, _ = grams([x or "" for x in batch.column("text").to_pylist()], bits, orders)
             of = np.array([known[x] for x in labels])[owner]
             for buckets in found:
-                counts += np.bincount((of << bits) | buckets, minlength=counts.size).reshape(counts.shape)
+                np.add.at(flat, (of << bits) | buckets, 1)
         for name, k in known.items():
             at = np.flatnonzero(counts[k])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[k][at], pa.int64())], ["lang", "bucket", "n"])
@@ -90,20 +91,19 @@ def _counter(bits: int, orders: tuple[int, ...]):
     return run
 
 
-def fit(labelled: DataFrame, max_rows: int | None = None, max_languages: int = 500, bits: int = 14, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, max_rows: int | None = None, max_languages: int = 1000, bits: int = 14, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``labelled`` that have a text and a language.
 
     All of them are counted; ``max_rows`` takes about so many by a hash of the id, and all rows of
-    languages that have no more than their equal part of it.  Of a label column with more than
-    ``max_languages`` values the most frequent are learned, ties by name; that bounds the model.
+    languages that have no more than their equal part of it.  A label column with more than
+    ``max_languages`` values is an error: that bounds the model, and no label is left out unseen.
     Only n-gram counts, at most ``max_languages`` times 2**bits rows, reach the driver.  The model
     knows the languages that have counts.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()}
     if len(per) > max_languages:
-        per = dict(list(per.items())[:max_languages])
-        rows = rows.where(F.col("lang").isin(list(per)))
+        raise ValueError(f"more than max_languages = {max_languages} labels in {lang_col!r}; raise it, or clean the labels")
     if max_rows is not None and sum(per.values()) > max_rows:
         most = max_rows / len(per)
         cut = F.lit(1 << 20)
@@ -116,7 +116,8 @@ def fit(labelled: DataFrame, max_rows: int | None = None, max_languages: int = 5
     place = {x: k for k, x in enumerate(names)}
     counts = np.zeros((1 << bits, len(names)))
     if counted.num_rows:
-        at = np.array([place[x] for x in counted["lang"].to_pylist()])
+        codes = counted["lang"].combine_chunks().dictionary_encode()
+        at = np.array([place[x] for x in codes.dictionary.to_pylist()])[codes.indices.to_numpy()]
         counts[counted["bucket"].to_numpy(), at] = counted["n"].to_numpy()
     weights = np.log((counts + smoothing) / (counts.sum(0) + smoothing * (1 << bits)))
     prior = np.log(np.array([per[x] for x in names], float) / sum(per[x] for x in names)) if names else np.zeros(0)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .ranges import spread_join
+from .ranges import sieved, spread_join
 from .storage import discard, stored
 from .text import LOWER, chunks, hash_spans, mix, utf8, word_spans
 
@@ -33,8 +33,6 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the parity sketch: the Hamming distance of two sketches is never above the size of the
 #: symmetric difference of the sets.
 SKETCH = 512
-#: Ids of so many documents are broadcast, about 10 MB; they are counted first.
-BROADCAST_IDS = 500_000
 #: Members of a bucket up to which all its pairs are formed.
 CROWD = 200
 #: Rows of about 100 bytes about crowded documents that are broadcast; they are counted first.
@@ -137,8 +135,8 @@ def intersections(left: pa.Array, right: pa.Array, k: int) -> tuple[np.ndarray,
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough.
 
-    The texts that any pair needs are picked first, by a broadcast of their ids if those are few, and
-    only they are shuffled.  A centre is ``a`` of any number of pairs, which are spread; as ``b`` a
+    The texts that any pair needs are picked first: a bitmap of fixed size holds back most of the
+    others, and only the rest is shuffled.  A centre is ``a`` of any number of pairs, which are spread; as ``b`` a
     document has at most a pair for each of its buckets, or as many as share its rare shingles.
     """
 
@@ -150,8 +148,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     pairs = stored(pairs.select("a", "b"), "minhash-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "minhash-needed")
-    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = stored(texts.join(needed, F.col("id") == F.col("needed"), "left_semi"), "minhash-texts")
+    own = stored(sieved(texts, "id", ids, "needed").join(ids, F.col("id") == F.col("needed"), "left_semi"), "minhash-texts")
     of_a = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     of_b = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = spread_join(pairs.select("a", "b").join(of_b, "b"), of_a, "a", "b")
@@ -248,13 +245,17 @@ def near_duplicates(
         rest = rest.unionByName(_across(stored(heads.join(shared, "shingle"), "minhash-shared"), "shingle", percent))
     rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     more = confirmed(rest, texts, shingle, percent)
-    discard(members, marked, beside, crowd)
+    discard(members, marked, beside, crowd, stars)
     if not more.isEmpty():
         label = connected(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    whole = classes.select(*[F.col(c).alias(f"c_{c}") for c in sets], "rep").join(label, F.col("rep") == F.col("node"), "left").select(*[f"c_{c}" for c in sets], F.coalesce("component", "rep").alias("component"))
-    same = [F.col(c) == F.col(f"c_{c}") for c in sets]
-    out = signed.select("id", *sets).join(whole, same[0] & same[1] & same[2] & F.col("id").isNotNull(), "left")
+    whole = classes.select(F.struct(*sets).alias("set"), "rep").join(label, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component"))
+    linked = F.coalesce((F.col("n") > 0) & F.col("id").isNotNull(), F.lit(False))
+    alone = signed.where(~linked).select("id", "n", F.col("id").alias("component"))
+    # All copies of a text share a set: their join is spread over the ids.
+    named_ones = signed.where(linked).select("id", "n", F.struct(*sets).alias("set"))
+    out = stored(spread_join(named_ones, whole, "set", "id").select("id", "n", "component").unionByName(alone), "minhash-components")
+    discard(signed, classes)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 

@@ -15,13 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import small, sorted_rows, with_running
-from .storage import stored
+from .storage import discard, stored, with_row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a partition of the delivered mix: about 6 to 120 MB of text.
 LEAST_WORDS, MOST_WORDS = 1_000_000, 20_000_000
-#: Places of so many delivered rows are broadcast, about 12 MB; they are counted first.
-BROADCAST_PLACES = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,12 +73,13 @@ def _queues(sized: DataFrame, weights: tuple[int, ...], budget: float, repeats:
     sent = with_running(queue, {"through": F.col("size")}, ["source"]).drop("part", "at")
     share = shares.select(F.col("source").alias("of"), "source_size", "target")
     queued = stored(sent.join(small(share), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-queues")
+    discard(keyed, queue)
     total = min(budget, repeats) * (shares.agg(F.sum("source_size")).first()[0] or 0)
     return queued, rows, total
 
 
 def _sequence(queued: DataFrame, rows: int, total: float, repeats: int) -> DataFrame:
-    """``(row, copy, size, sent, finish, position)`` of the merged sequence, up to the budget.
+    """``(row, copy, id, source, key, size, sent, finish, position)`` of the merged sequence, up to the budget.
 
     All copies of all rows are range-sorted by finish time and numbered; the running sum of their
     sizes cuts the sequence.
@@ -90,7 +89,7 @@ def _sequence(queued: DataFrame, rows: int, total: float, repeats: int) -> DataF
     narrow = copies.select("row", "id", "source", "size", "key", "copy", finish.alias("finish"))
     order = ["finish", "key", "id", "size", F.col("source").asc_nulls_last(), "row", "copy"]
     merged = with_running(sorted_rows(narrow, order, rows * repeats, "mix-sequence"), {"sent": F.col("size"), "position": F.lit(1)})
-    return merged.where(F.col("sent") <= total).select("row", "copy", "size", "sent", "finish", F.col("position").cast("long").alias("position"))
+    return merged.where(F.col("sent") <= total).select("row", "copy", "id", "source", "key", "size", "sent", "finish", F.col("position").cast("long").alias("position"))
 
 
 def mix(
@@ -127,23 +126,33 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    ordered: bool = True,
 ) -> DataFrame:
-    """The rows of ``df`` that the mix takes, as often as it takes them, in the order of the merged
-    sequence.
+    """The rows of ``df`` that the mix takes, as often as it takes them.
 
-    ``df`` is stored once with a number for each row, by which copies are matched: rows with null or
-    repeated ids and repeated rows get exactly their own.  Partitions are cut by the words sent so
-    far, which are known, so that no sort has to sample the joined texts.
+    Rows are named by file and place in it: those with null or repeated ids and repeated rows get
+    exactly their own copies.  In a source each pass over the queue is taken up to some row: a table of
+    these last rows, one for each source and pass, decides for every row in a scan of ``df``, so that no
+    text is copied or shuffled.  ``ordered`` hands the rows on in the order of the merged sequence;
+    that joins them with their positions and sorts them, two shuffles of texts.
     """
-    whole = stored(df.select(F.struct(*df.columns).alias("all"), F.monotonically_increasing_id().alias("__row")), "mix-rows")
-    sized = whole.select(F.col("__row").alias("row"), F.col(f"all.{id_col}").alias("id"), F.col(f"all.{source_col}").alias("source"), word_count(F.col(f"all.{text_col}")).alias("size"))
-    queued, rows, total = _queues(sized, weights, budget, repeats, seed)
-    places = stored(_sequence(queued, rows, total, repeats).select(F.col("row").alias("__of"), "sent", F.col("position").alias("__position")), "mix-places")
-    by_default = total / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, math.ceil(total / min(max(by_default, LEAST_WORDS), MOST_WORDS)))
-    place = F.least(F.floor(F.col("sent") * parts / max(total, 1)), F.lit(parts - 1)).cast("int").alias("__part")
-    narrow = places.select("__of", "__position", place)
-    if places.count() <= BROADCAST_PLACES:
-        narrow = F.broadcast(narrow)
-    joined = whole.join(narrow, F.col("__row") == F.col("__of"))
-    return joined.repartitionById(parts, "__part").sortWithinPartitions("__position").select("all.*")
+    whole = with_row_key(df)
+    row, size = F.struct("file", "index").alias("row"), word_count(F.col(f"all.{text_col}")).alias("size")
+    named = [row, F.col(f"all.{id_col}").alias("id"), F.col(f"all.{source_col}").alias("source")]
+    queued, rows, total = _queues(whole.select(*named, size), weights, budget, repeats, seed)
+    sequence = stored(_sequence(queued, rows, total, repeats), "mix-places")
+    discard(queued)
+    if ordered:
+        by_default = total / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, math.ceil(total / min(max(by_default, LEAST_WORDS), MOST_WORDS)))
+        place = F.least(F.floor(F.col("sent") * parts / max(total, 1)), F.lit(parts - 1)).cast("int").alias("__part")
+        places = sequence.select("row.*", "position", place)
+        return whole.join(places, ["file", "index"]).repartitionById(parts, "__part").sortWithinPartitions("position").select("all.*")
+    order = F.struct("key", "id", "size", "row")
+    ends = sequence.groupBy("source", "copy").agg(F.max(order).alias("end")).groupBy(F.col("source").alias("of")).agg(F.collect_list("end").alias("ends"))
+    ends = stored(ends, "mix-ends")
+    discard(sequence)
+    facts = whole.select("all", *named, size).withColumn("key", shuffle_key(F.col("id"), seed))
+    met = facts.where("size > 0").join(small(ends), F.col("source").eqNullSafe(F.col("of")))
+    copies = F.size(F.filter("ends", lambda end: order <= end))
+    return met.select("all", F.explode(F.array_repeat(F.lit(0), copies))).select("all.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import small
-from .storage import stored
+from .storage import discard, stored
 
 GAP = r"[\x20\x09-\x0D]+"
 DIMS = ["word_length", "symbols", "dup_lines", "repeats"]
@@ -198,20 +198,8 @@ def covariance_shapes(vectors: DataFrame, share: float, ridge: list[float], tria
             return shapes.drop("start")
 
 
-def _verdicts(
-    df: DataFrame,
-    row: Column,
-    share: float = 0.75,
-    tail: float = 1e-4,
-    min_group: int = 40,
-    min_words: int = 50,
-    repeat_percent: int = 50,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    source_col: str = "source",
-) -> DataFrame:
-    """``row``, the counts, base_failed, level, distance and kept, for every row of ``df``."""
-    p = range(len(DIMS))
+def _described(df: DataFrame, row: Column, min_words: int = 50, repeat_percent: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``row``, the counts, base_failed, the groups of_lang and of_both and the statistics ``x_<i>``."""
     named = df.select(row.alias("row"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     counted = base_statistics(named, ["row", "lang", "source"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
@@ -223,18 +211,21 @@ def _verdicts(
         "dup_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "repeats": F.col("n_repeat_words") / n,
     }
-    facts = stored(
-        counted.select(
-            "row",
-            *COUNTS,
-            "n_lines",
-            failed.alias("base_failed"),
-            key(F.col("lang")).alias("of_lang"),
-            F.concat(key(F.col("lang")), F.lit("\n"), key(F.col("source"))).alias("of_both"),
-            *[statistics[DIMS[i]].alias(f"x_{i}") for i in p],
-        ),
-        "quality-facts",
+    return counted.select(
+        "row",
+        *COUNTS,
+        "n_lines",
+        failed.alias("base_failed"),
+        key(F.col("lang")).alias("of_lang"),
+        F.concat(key(F.col("lang")), F.lit("\n"), key(F.col("source"))).alias("of_both"),
+        *[statistics[d].alias(f"x_{i}") for i, d in enumerate(DIMS)],
     )
+
+
+def _fitted(facts: DataFrame, share: float, min_group: int) -> DataFrame:
+    """``(b, level, centre, scatter)``: by which estimate each language and source of the stored ``facts``
+    is judged."""
+    p = range(len(DIMS))
     passing = facts.where(~F.col("base_failed")).select("of_lang", "of_both", *[f"x_{i}" for i in p])
     spread = passing.agg(*[F.stddev_pop(f"x_{i}") for i in p]).first()
     ridge = [max(1e-6, RIDGE * (s or 0.0)) for s in spread]
@@ -251,10 +242,18 @@ def _verdicts(
         uses = uses.unionByName(levels.select("b", F.lit("").alias("g")))
     uses = stored(uses, "quality-uses")
     vectors = passing.select("of_both", *[f"x_{i}" for i in p]).join(small(uses), F.col("of_both") == F.col("b")).select("g", *[f"x_{i}" for i in p])
-    shapes = covariance_shapes(stored(vectors, "quality-vectors"), share, ridge)
-
+    vectors = stored(vectors, "quality-vectors")
+    shapes = covariance_shapes(vectors, share, ridge)
     shaped = levels.join(shapes.withColumnRenamed("g", "__g"), F.col("g") == F.col("__g")).drop("__g", "g", "of_lang", *_names("k"), "log_det")
-    judged = facts.join(small(stored(shaped, "quality-shapes")), F.col("of_both") == F.col("b"), "left")
+    shaped = stored(shaped, "quality-shapes")
+    discard(vectors)
+    return shaped
+
+
+def _judged(facts: DataFrame, shaped: DataFrame, share: float, tail: float) -> DataFrame:
+    """``row``, the counts, base_failed, level, distance and kept, for every row of ``facts``."""
+    p = range(len(DIMS))
+    judged = facts.join(small(shaped), F.col("of_both") == F.col("b"), "left")
     # Consistency: the scatter of the nearest share, stretched to that of all for normal vectors.
     factor = share / chi_square(len(DIMS) + 2, chi_square_quantile(len(DIMS), share))
     limit = chi_square_quantile(len(DIMS), 1 - tail)
@@ -272,7 +271,7 @@ def _verdicts(
     return judged.select("row", *COUNTS, "base_failed", F.when(~F.col("base_failed"), F.col("level")).alias("level"), distance.alias("distance"), kept.alias("kept"))
 
 
-def rules(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def rules(df: DataFrame, id_col: str = "doc_id", share: float = 0.75, tail: float = 1e-4, min_group: int = 40, **options) -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, level, distance, kept)``.
 
     A text fails the base rules with fewer than ``min_words`` words, or if more than
@@ -285,11 +284,22 @@ def rules(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     ``level`` says by which a text that passed the base rules was judged: group, language or all.
     Every row of ``df`` gives one row, repeated or null ids included; other columns are ignored.
     """
-    out = _verdicts(df, F.struct(F.col(id_col).alias("id")), **options)
+    facts = stored(_described(df, F.struct(F.col(id_col).alias("id")), **options), "quality-facts")
+    out = _judged(facts, _fitted(facts, share, min_group), share, tail)
     return out.select(F.col("row.id").alias(id_col), *[c for c in out.columns if c != "row"])
 
 
-def passing(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that the rules keep, each by its own verdict: whole rows are carried
-    through, so that null and repeated ids, repeated rows and any column names are no matter."""
-    return _verdicts(df, F.struct(*df.columns), **options).where("kept").select("row.*")
+def passing(df: DataFrame, share: float = 0.75, tail: float = 1e-4, min_group: int = 40, **options) -> DataFrame:
+    """The rows of ``df`` that the rules keep, each by its own verdict: null and repeated ids, repeated
+    rows and any column names are no matter.
+
+    Statistics are stored without the rows, for the estimates; each row is then judged in a second
+    scan, so that no text is copied or shuffled.
+    """
+    facts = stored(_described(df, F.lit(0), **options), "quality-facts")
+    shaped = _fitted(facts, share, min_group)
+    discard(facts)
+    judged = _judged(_described(df, F.struct(*df.columns), **options), shaped, share, tail).select("row", "kept")
+    # A filter right above would have the optimizer write out every alias below it in its constraints,
+    # without end; none go through an unpivot.
+    return judged.unpivot(["row"], ["kept"], "verdict", "keep").where("keep").select("row.*")

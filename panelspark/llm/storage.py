@@ -6,7 +6,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.sources.scratch import scratch_path as fresh_path
 
@@ -27,6 +29,24 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``(all, file, index)``: each row of ``df`` as a struct, and a key that every read of it gives again.
+
+    The key is a hash of the file's path and the row's number in it.  A frame that isn't a plain read of
+    Parquet files, with filters and projections at most, is stored first.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    keyed = lambda x: x.select(F.struct(*x.columns).alias("all"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            return keyed(df)
+        except AnalysisException:
+            pass
+    return keyed(stored(df, "rows"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, as ``--py-files`` would; once for a context."""
     context = spark.sparkContext

@@ -71,7 +71,9 @@ def test_language_equals_plain_naive_bayes(spark):
             assert got[r["doc_id"]]["lang_score"] == pytest.approx(1 / p.sum(), rel=1e-6)
     again = {r["doc_id"]: r for r in langid.predict(docs.repartition(7), langid.fit(docs.repartition(5), bits=12), keep=["doc_id"]).collect()}
     assert again == got
-    assert langid.fit(docs, max_languages=2).languages == sorted(sorted(size, key=lambda x: (-size[x], x))[:2])
+    assert langid.fit(docs, max_languages=len(size)).languages == model.languages
+    with pytest.raises(ValueError, match="max_languages"):
+        langid.fit(docs, max_languages=len(size) - 1)
     docs.unpersist()
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from panelspark.llm import mixing, ranges, sharding
-from panelspark.llm.storage import fresh_path
+from panelspark.llm.storage import fresh_path, stored, with_row_key
 
 
 def water(sizes, weights, budget, repeats):
@@ -77,6 +77,40 @@ def test_repeated_and_null_ids_get_their_own_copies(spark, monkeypatch):
     assert max(n for k, n in taken.items() if k != 999) <= 2 and taken[999] <= 40
 
 
+@pytest.mark.parametrize("from_files", [False, True])
+def test_ends_of_sources_take_the_rows_of_the_sequence(spark, monkeypatch, from_files):
+    """Without order no text moves: the same rows, whole groups of equal rows cut at the right number."""
+    monkeypatch.setattr(ranges, "PART_ROWS", 40)
+    rows = [(None if i % 5 == 0 else i, None if i % 7 == 0 else f"s{i % 3}", f"w{i} " * (i % 11), i, 1) for i in range(200)] + [(5, "s1", "a b c", 999, 2)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, file long, `index` int").repartition(4)
+    if from_files:
+        path = fresh_path(spark, "mix-test")
+        df.write.parquet(path)
+        df = spark.read.parquet(path).where("doc_id is null or doc_id >= 0")
+    plain, inside = mixing.mixed(df, ordered=False), mixing.mixed(df)
+    assert plain.columns == df.columns
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, plain.collect())) == sorted(map(key, inside.collect()))
+    copies = mixing.mix(df).where("doc_id = 5").agg({"copies": "sum"}).first()[0]
+    assert plain.where("doc_id = 5").count() == copies
+
+
+def test_row_keys_are_stable_and_distinct(spark):
+    df = spark.range(1000).repartition(5)
+    for frame in (df, stored(df, "keys").where("id % 3 != 0"), df.join(spark.range(10).withColumnRenamed("id", "b"))):
+        keyed = with_row_key(frame)
+        assert keyed.select("file", "index").distinct().count() == frame.count() == keyed.count()
+    kept = stored(df, "keys")
+    a, b = (with_row_key(x).select("all.id", "file", "index") for x in (kept, kept.where("id >= 0")))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_a_sieve_keeps_all_that_are_needed(spark):
+    df, ids = spark.range(5000), spark.range(0, 5000, 7).withColumnRenamed("id", "needed")
+    got = {r["id"] for r in ranges.sieved(df, "id", ids, "needed").collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 800
+
+
 def test_the_sequence_is_the_fair_queue(spark, monkeypatch):
     monkeypatch.setattr(ranges, "PART_ROWS", 50)
     rng = random.Random(11)
