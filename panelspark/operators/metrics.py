@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import log_loss
+from panelspark.functions.ranking import global_rank
 from panelspark.operators.curves import auc
 
 
@@ -44,10 +45,15 @@ def losses(df: DataFrame, label: str, score: str, weight: str | None = None) ->
 
 
 def ndcg(df: DataFrame, group: str, relevance: str, score: str, ties: list[str], k: int | None = None) -> DataFrame:
-    """``(group, ndcg)`` with gains 2**relevance - 1; a group without gain has 1."""
-    by_score = Window.partitionBy(group).orderBy(F.col(score).desc(), *ties)
-    ideal = Window.partitionBy(group).orderBy(F.col(relevance).desc(), *ties)
-    gain = F.pow(F.lit(2.0), F.coalesce(F.col(relevance), F.lit(0)).cast("double")) - 1
-    ranked = df.select(group, gain.alias("gain"), F.row_number().over(by_score).alias("at"), F.row_number().over(ideal).alias("best"))
-    part = lambda r: F.sum(F.when(F.lit(k is None) | (F.col(r) <= (k or 0)), F.col("gain") / F.log2(1 + F.col(r))))
-    return ranked.groupBy(group).agg(part("at").alias("dcg"), part("best").alias("ideal")).select(group, F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(F.lit(1.0)).alias("ndcg"))
+    """``(group, ndcg)`` with gains 2**relevance - 1; a group without gain has 1.
+
+    Places come from range-sorted rows, so that a group of any size is many tasks.
+    """
+    rows = df.select(group, F.coalesce(F.col(relevance), F.lit(0)).cast("double").alias("__r"), F.col(score).alias("__s"), *[c for c in ties if c != group])
+    placed = global_rank(rows, [F.col("__s").desc(), *map(F.col, ties)], "__at", [group])
+    gain = F.pow(F.lit(2.0), F.col("__r")) - 1
+    inside = F.lit(k is None) | (F.col("__at") <= (k or 0))
+    reached = placed.groupBy(group).agg(F.coalesce(F.sum(F.when(inside, gain / F.log2(1 + F.col("__at")))), F.lit(0.0)).alias("dcg"))
+    best = global_rank(rows.select(group, "__r"), [F.col("__r").desc()], "__at", [group])
+    ideal = best.groupBy(group).agg(F.coalesce(F.sum(F.when(inside, gain / F.log2(1 + F.col("__at")))), F.lit(0.0)).alias("ideal"))
+    return reached.withColumnRenamed(group, "__g").join(ideal, F.col("__g").eqNullSafe(F.col(group))).select(group, F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(F.lit(1.0)).alias("ndcg"))

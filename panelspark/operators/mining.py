@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.expressions import entropy, margin, min_max, positive_probability
 from panelspark.functions.hashing import unit_hash
 from panelspark.functions.ranking import global_rank, stored
-from panelspark.operators.sampling import class_counts, exact_sample, negatives_wanted, random_fraction, undersample
+from panelspark.functions.selection import numbers, smallest, values_at
+from panelspark.operators.sampling import class_counts, negatives_wanted, random_fraction, undersample
 
 
 def hardness(method: str, score: Column) -> Column:
@@ -59,7 +60,10 @@ def hard_negatives(
 
     As many negatives as undersampling takes, at most all; ``hard_fraction`` of them (or ``n_hard``,
     or ``hard_per_pos`` for each positive) by hardness, the others by key hash among what is left.
-    ``q`` limits the hard ones to that part of all negatives, rounded up.
+    ``q`` limits the hard ones to that part of all negatives, rounded up.  Nothing is sorted: the last
+    hard negative, and the last of the random ones, are found by selection, and a filter on hardness,
+    hash and key takes those up to it.  Keys should name a row: rows that repeat the last one's are all
+    taken.
     """
     row = class_counts(df, label).first()
     if n_hard is None and hard_per_pos is not None:
@@ -68,12 +72,18 @@ def hard_negatives(
     hard = min(int(target * hard_fraction) if n_hard is None else n_hard, row["n_neg"])
     if q is not None:
         hard = min(hard, math.ceil(q * row["n_neg"]))
-    ranked = mining_order(with_scores(df.where(F.col(label) == 0), scores, keys, score), keys, method, score, seed)
-    ranked = stored(ranked, "ranked")
-    chosen = ranked.where(F.col("rank") <= hard).withColumn("origin", F.lit("hard"))
-    filled = exact_sample(ranked.where(F.col("rank") > hard), max(target - hard, 0), keys, seed).withColumn("origin", F.lit("random"))
-    positives = with_scores(df.where(F.col(label) == 1), scores, keys, score).withColumn("origin", F.lit("positive"))
-    return positives.unionByName(chosen.drop("rank")).unionByName(filled.drop("rank"))
+    facts = [F.round(hardness(method, F.col(score)), 12).alias("__hard"), unit_hash(keys, seed).alias("__u")]
+    narrow = stored(with_scores(df.where(F.col(label) == 0).select(*keys), scores, keys, score).select(*keys, *facts), "hardness")
+    # No score comes last, as a score above all others in hardness would.
+    narrow = narrow.withColumn("__hard", F.coalesce(F.nanvl("__hard", F.lit(None)), F.lit(math.inf)))
+    nobody = F.lit(False)
+    is_hard = smallest(narrow, ["__hard", "__u"], keys, hard)
+    is_hard = nobody if is_hard is None else is_hard
+    is_random = smallest(narrow.where(~is_hard), ["__u"], keys, target - hard)
+    joined = with_scores(df.where(F.col(label).isin(0, 1)), scores, keys, score).select("*", *facts)
+    joined = joined.withColumn("__hard", F.coalesce(F.nanvl("__hard", F.lit(None)), F.lit(math.inf)))
+    origin = F.when(F.col(label) == 1, "positive").when(is_hard, "hard").when(nobody if is_random is None else is_random, "random")
+    return joined.withColumn("origin", origin).where("origin is not null").drop("__hard", "__u")
 
 
 def hard_summary(mined: DataFrame, score: str = "score") -> DataFrame:
@@ -81,10 +91,18 @@ def hard_summary(mined: DataFrame, score: str = "score") -> DataFrame:
     return mined.groupBy("origin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.min(score).alias("min_score"), F.max(score).alias("max_score"))
 
 
-def above_percentile(df: DataFrame, label: str, quantile: float = 0.8, score: str = "score", accuracy: int = 10_000) -> DataFrame:
-    """All positives, and the negatives that score at or above a quantile of the negatives."""
-    cut = df.where(F.col(label) == 0).agg(F.percentile_approx(score, quantile, accuracy).alias("__cut"))
-    return df.join(F.broadcast(cut)).where((F.col(label) == 1) | (F.col(score) >= F.col("__cut"))).drop("__cut")
+def above_percentile(df: DataFrame, label: str, quantile: float = 0.8, score: str = "score", accuracy: int | None = None) -> DataFrame:
+    """All positives, and the negatives that score at or above a quantile of the negatives: the least
+    score that at least that part of them don't exceed.  ``accuracy`` takes a sketch instead."""
+    negatives = df.where(F.col(label) == 0)
+    if accuracy:
+        cut = negatives.agg(F.percentile_approx(score, quantile, accuracy)).first()[0]
+    else:
+        table = numbers(negatives, {"score": F.col(score)})
+        n = table.agg(F.count("score")).first()[0]
+        place = max(0, math.ceil(quantile * n) - 1)
+        cut = values_at(table, [("score", place)], {"score": n})["score", place][0] if n else None
+    return df.where((F.col(label) == 1) | (F.col(score) >= F.lit(cut)))
 
 
 def baseline_scores(df: DataFrame, label: str, keys: list[str], features: list[str], estimator: Callable | None = None, ratio: float = 0.5, subsample: float | None = None, seed: int = 42) -> DataFrame:

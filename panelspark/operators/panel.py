@@ -45,7 +45,8 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 def deduplicate(df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None, keep: str = "first") -> DataFrame:
     """The first or last row of each key by ``order_by``; without keys, distinct rows.
 
-    All other columns break ties, so that the result doesn't depend on the partitioning.
+    All other columns break ties, so that the result doesn't depend on the partitioning.  The least or
+    greatest row of a key is an aggregate, so that each task sends one row of a key at most.
     """
     if not keys:
         return df.distinct()
@@ -54,6 +55,6 @@ def deduplicate(df: DataFrame, keys: list[str] | None = None, order_by: list[str
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     order = [*order_by, *[c for c in df.columns if c not in order_by and c not in keys]]
-    sort = [F.col(c).asc_nulls_first() if keep == "first" else F.col(c).desc_nulls_last() for c in order]
-    ranked = df.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
-    return ranked.where("__row = 1").drop("__row")
+    row = F.struct(*order)
+    best = df.groupBy(*keys).agg((F.min(row) if keep == "first" else F.max(row)).alias("__row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +37,31 @@ class Roles:
         return df.sparkSession.createDataFrame(rows, "column string, type string, role string")
 
 
+def _few_values(df: DataFrame, columns: list[str], most: int) -> dict[str, int]:
+    """Distinct values of integer columns, null as one; anything above ``most`` where there are more.
+
+    Each task keeps up to ``most + 1`` values of a column and then no longer looks at it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set] = {c: set() for c in columns}
+        for batch in batches:
+            for c in columns:
+                if len(seen[c]) <= most:
+                    seen[c].update(pc.unique(batch.column(c)).to_pylist()[: most + 1])
+        rows = [(c, v) for c in columns for v in list(seen[c])[: most + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["column", "value"])
+
+    found = df.select(*columns).mapInArrow(run, "column string, value long").distinct()
+    return {r["column"]: r["n"] for r in found.groupBy("column").agg(F.count("*").alias("n")).collect()}
+
+
 def infer_types(df: DataFrame, columns: list[str], max_levels: int = 20, unknown: str = NUMERIC, approximate: bool = False) -> dict[str, str]:
     """Categorical or numeric for each column.
 
     Text is categorical, booleans and fractions are numeric, integers are categorical if they have
-    at most ``max_levels`` distinct values, a null counting as one.  All integers are counted in one
-    pass.  Decimals and other atomic types follow ``unknown``; nested types are an error.
+    at most ``max_levels`` distinct values, a null counting as one.  One narrow pass over all integers
+    keeps sets that stop growing behind that number.  Decimals and other atomic types follow ``unknown``; nested types are an error.
     """
     out, integers = {}, []
     for c in columns:
@@ -55,9 +77,8 @@ def infer_types(df: DataFrame, columns: list[str], max_levels: int = 20, unknown
         else:
             out[c] = unknown
     if integers:
-        distinct = F.approx_count_distinct if approximate else F.count_distinct
-        row = df.agg(*[(distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in integers]).first()
-        out |= {c: CATEGORICAL if (row[c] or 0) <= max_levels else NUMERIC for c in integers}
+        counts = _few_values(df, integers, max_levels) if not approximate else df.agg(*[(F.approx_count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in integers]).first().asDict()
+        out |= {c: CATEGORICAL if (counts.get(c) or 0) <= max_levels else NUMERIC for c in integers}
     return {c: out[c] for c in columns}
 
 

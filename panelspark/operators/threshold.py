@@ -53,9 +53,14 @@ def tune_f(df: DataFrame, label: str, score: str, beta: float = 1.0) -> DataFram
 
 
 def tune_youden(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row ``(threshold, value)``: the highest score with the largest tpr - fpr."""
+    """One row ``(threshold, value)``: the highest score with the largest tpr - fpr.
+
+    Without a class its rate is 0: with positives only the lowest score is found, with value 1, and
+    without any the threshold 1, with value 0.
+    """
     points = curve(df, label, score)
-    j = F.col("tp") / F.col("p_all") - (F.col("pp") - F.col("tp")) / F.col("n_all")
+    rate = lambda n, of: F.coalesce(F.try_divide(n, F.col(of)), F.lit(0.0))
+    j = rate(F.col("tp"), "p_all") - rate(F.col("pp") - F.col("tp"), "n_all")
     rated = points.select("threshold", F.round(j, 12).alias("value"))
     start = points.limit(1).select(F.lit(1.0).alias("threshold"), F.lit(0.0).alias("value"))
     best = rated.unionByName(start).orderBy(F.desc("value"), F.desc("threshold")).limit(1)
@@ -66,7 +71,7 @@ def tune_constrained(df: DataFrame, label: str, score: str, min_precision: float
     """One row ``(threshold, value, feasible)``: the best F1 within the limits, else 0.5."""
     if min_precision is None and min_recall is None:
         raise ValueError("give min_precision, min_recall or both")
-    points = curve(df, label, score).select("threshold", (F.col("tp") / F.col("pp")).alias("precision"), (F.col("tp") / F.col("p_all")).alias("recall"), f_beta(F.col("tp"), F.col("pp") - F.col("tp"), F.col("p_all") - F.col("tp")).alias("value"))
+    points = curve(df, label, score).select("threshold", (F.col("tp") / F.col("pp")).alias("precision"), F.coalesce(F.try_divide("tp", "p_all"), F.lit(0.0)).alias("recall"), f_beta(F.col("tp"), F.col("pp") - F.col("tp"), F.col("p_all") - F.col("tp")).alias("value"))
     good = points.where((F.col("precision") >= (min_precision or 0.0)) & (F.col("recall") >= (min_recall or 0.0)))
     best = good.agg(F.max_by("threshold", F.struct(F.round("value", 12), "threshold")).alias("threshold"), F.max("value").alias("value"))
     return best.select(F.coalesce("threshold", F.lit(0.5)).alias("threshold"), F.coalesce("value", F.lit(0.0)).alias("value"), F.col("threshold").isNotNull().alias("feasible"))
