@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from panelspark.operators.metrics import metric_row
-from panelspark.operators.models import Classifier
+from panelspark.operators.models import BELOW, TREES, Classifier
 from panelspark.operators.panel import time_split
 from panelspark.operators.prep import Preprocessor
 from panelspark.operators.sampling import add_weights, for_mode
@@ -45,7 +46,7 @@ class Pipeline:
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         extra = [c for c in [*self.keys, self.classifier.label, self.classifier.weight] if c and c in df.columns]
-        return self.prep.assemble(df, keep=extra)
+        return self.prep.assemble(df, keep=extra, **({"missing": BELOW} if self.classifier.kind in TREES else {}))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Keys, label if there is one, p1 and predicted."""
@@ -85,48 +86,84 @@ def run_experiments(
     mode: str = "tune",
     threshold: str = "f1",
     fit: bool = True,
+    parallel: int = 3,
+    log: str | None = None,
 ) -> DataFrame:
     """A long table ``(run_name, kind, key, value)`` of parameters and metrics of all runs.
 
     Only one-row metrics reach the driver.  A run is a dict: name, data (ranges of years), sampling (by mode), prep (lists and settings),
     model (kind and params) and weight_cap.  Each run is made with every set of ``overrides`` of the
-    model's params.  Without ``fit``, the prepared training frames are returned under one another.
+    model's params, and named by both.  The preprocessing of a run is fitted once, and its vectors serve
+    all overrides, of which ``parallel`` are fitted side by side, each in a scheduler pool of its own.
+    With ``log``, a path, each one is logged when it is done, and those that are logged already aren't
+    made again.  Without ``fit``, the prepared training frames are returned under one another.
     """
-    spark, out, log = df.sparkSession, None, []
-    kept: dict[str, tuple[DataFrame, DataFrame | None, DataFrame]] = {}
-    for run, extra in itertools.product(runs, overrides or [{}]):
-        if run["name"] not in kept:
-            kept[run["name"]] = tuple(None if x is None else x.persist(StorageLevel.MEMORY_AND_DISK) if fit else x for x in prepare(df, label, keys, run["data"], run.get("sampling", {}), mode, run.get("weight_cap")))
-        train, valid, test = kept[run["name"]]
+    spark, out, rows = df.sparkSession, None, []
+    made = {r["run_name"] for r in read_runs(spark, log).select("run_name").distinct().collect()} if log and fit else set()
+    wanted = []
+    for run in runs:
+        splits = prepare(df, label, keys, run["data"], run.get("sampling", {}), mode, run.get("weight_cap"))
         if not fit:
-            part = train.withColumn("run_name", F.lit(run["name"]))
+            part = splits[0].withColumn("run_name", F.lit(run["name"]))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
             continue
-        model = run.get("model", {"kind": "lr"})
-        params = model.get("params", {}) | extra
-        weighted = run.get("weight_cap") and model["kind"] != "mlp"
-        pipeline = Pipeline(Preprocessor(label=label, **run["prep"]), Classifier(model["kind"], label, weight="weight" if weighted else None, params=params), keys)
-        pipeline.fit(train, valid, threshold if valid is not None else None)
-        name = run["name"] + "".join(f"|{k}={v}" for k, v in sorted(extra.items()))
-        facts = {"kind": model["kind"], "mode": mode, "threshold": pipeline.classifier.threshold, "threshold_tuned": valid is not None} | {f"override_{k}": v for k, v in extra.items()} | {f"sampling_{k}": v for k, v in run.get("sampling", {}).get(mode, {"strategy": "none"}).items()} | {"weight_cap": run.get("weight_cap")} | {f"param_{k}": v for k, v in params.items()}
-        log += [(name, "param", k, str(v)) for k, v in facts.items()]
-        for part, frame in (("train", train), ("valid", valid), ("test", test)):
-            if frame is not None:
-                scored = pipeline.predict(frame).select(label, "p1").persist(StorageLevel.MEMORY_AND_DISK)
-                metrics = metric_row(scored, label, "p1", pipeline.classifier.threshold).first().asDict()
-                log += [(name, "metric", f"{part}_{k}", None if v is None else str(v)) for k, v in metrics.items()]
-                scored.unpersist()
+        named = {run["name"] + "".join(f"|{k}={v}" for k, v in sorted(extra.items())): extra for extra in overrides or [{}]}
+        wanted += list(named)
+        if todo := {name: extra for name, extra in named.items() if name not in made}:
+            rows += _run(spark, label, keys, run, splits, todo, mode, threshold, parallel, log)
     if not fit:
         return out
-    for frames in kept.values():
-        for frame in frames:
+    return read_runs(spark, log).where(F.col("run_name").isin(wanted)) if log else spark.createDataFrame(rows, RUN_SCHEMA)
+
+
+def _run(spark: SparkSession, label: str, keys: list[str], run: dict, splits: tuple, todo: dict[str, dict], mode: str, threshold: str, parallel: int, log: str | None) -> list[tuple]:
+    """Rows of the run table for one run under all overrides: one fit of its preprocessing."""
+    kept = [None if x is None else x.persist(StorageLevel.MEMORY_AND_DISK) for x in splits]
+    model = run.get("model", {"kind": "lr"})
+    weight = "weight" if run.get("weight_cap") else None
+    fitted = Preprocessor(label=label, **run["prep"]).fit(kept[0])
+    shared = Pipeline(fitted, Classifier(model["kind"], label, weight=weight, names=fitted.names()), keys)
+    vectors = [None if x is None else shared._vectors(x).persist(StorageLevel.MEMORY_AND_DISK) for x in kept]
+
+    def one(item: tuple[str, dict]) -> list[tuple]:
+        name, extra = item
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        params = model.get("params", {}) | extra
+        classifier = Classifier(model["kind"], label, weight=weight, params=params, names=fitted.names()).fit(vectors[0], vectors[1])
+        tuned = vectors[1] is not None
+        if tuned:
+            classifier.set_threshold(tune(classifier.predict(vectors[1]), label, "p1", threshold))
+        facts = {"kind": model["kind"], "mode": mode, "threshold": classifier.threshold, "threshold_tuned": tuned} | {f"override_{k}": v for k, v in extra.items()} | {f"sampling_{k}": v for k, v in run.get("sampling", {}).get(mode, {"strategy": "none"}).items()} | {"weight_cap": run.get("weight_cap")} | {f"param_{k}": v for k, v in params.items()}
+        rows = [(name, "param", k, str(v)) for k, v in facts.items()]
+        for part, frame in zip(("train", "valid", "test"), vectors, strict=True):
             if frame is not None:
-                frame.unpersist()
-    return spark.createDataFrame(log, RUN_SCHEMA)
+                scored = classifier.predict(frame).select(label, "p1").persist(StorageLevel.MEMORY_AND_DISK)
+                metrics = metric_row(scored, label, "p1", classifier.threshold).first().asDict()
+                rows += [(name, "metric", f"{part}_{k}", None if v is None else str(v)) for k, v in metrics.items()]
+                scored.unpersist()
+        if log:
+            log_runs(spark.createDataFrame(rows, RUN_SCHEMA), log)
+        return rows
+
+    with ThreadPoolExecutor(max(1, min(parallel, len(todo)))) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(one), todo.items()))
+    for frame in [*vectors, *kept]:
+        if frame is not None:
+            frame.unpersist()
+    return [row for rows in found for row in rows]
 
 
 def log_runs(table: DataFrame, path: str) -> None:
-    table.write.mode("append").parquet(path)
+    """Write the runs of ``table``, a part of the log for each; a run that is logged again replaces its record."""
+    table.write.mode("overwrite").partitionBy("run_name").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run table of a log; a log that doesn't exist yet has no runs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], RUN_SCHEMA)
+    return spark.read.schema(RUN_SCHEMA).parquet(path).select("run_name", "kind", "key", "value")
 
 
 def leaderboard(table: DataFrame, key: str = "test_auc_roc") -> DataFrame:

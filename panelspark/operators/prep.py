@@ -2,8 +2,8 @@
 
 A fit computes only the statistics that its plan asks for, and writes its tables of levels and target
 means, so that a fitted state never changes.  Sums take one aggregation for all numeric columns;
-exact quantiles, modes and level numbers go through counts of distinct values, sorted by range, so
-that no task holds a whole column.  A transform is expressions and lookups of known size: it starts
+exact quantiles come from narrowing brackets, modes and level numbers from counts of distinct values,
+so that no task holds or sorts a whole column.  A transform is expressions and lookups of known size: it starts
 no job, and also works on a stream.
 """
 
@@ -14,44 +14,28 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import MISSING, level
-from panelspark.functions.ranking import global_rank, running_sums, stored
+from panelspark.functions.ranking import global_rank, stored
+from panelspark.functions.selection import numbers, quantiles
 
 #: Up to so many rows a lookup table is broadcast; they are counted first.
 BROADCAST_LEVELS = 100_000
+#: Up to so many levels are found by an expression, more by a lookup.
+FEW_LEVELS = 64
 # Names of the strategies.
 IMPUTATIONS = ("mean", "median", "mode", "constant", "none")
 SCALINGS = ("standard", "minmax", "robust", "none")
 ENCODINGS = ("label", "ordinal", "one_hot", "target", "native", "none")
+DTYPES = ("numeric", "categorical", "boolean")
 SUMS = {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
 QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 NEEDS = {"mean": {"mean"}, "median": {"median"}, "mode": {"mode"}, "standard": {"mean", "sd"}, "minmax": {"min", "max"}, "robust": {"median", "q25", "q75"}}
 
 
-def _quantiles(values: DataFrame, wanted: dict[str, set[str]]) -> dict[str, dict[str, float]]:
-    """Exact quantiles, interpolated, of ``values(column, value)``: the cumulated counts of the distinct
-    values, sorted by range, show where the wanted places lie."""
-    counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
-    placed = stored(running_sums(counts, [F.col("value")], {"upto": "n"}, ["column"]), "value-counts")
-    totals = {r["column"]: r["n"] for r in placed.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    places = {(c, s): QUANTILES[s] * (totals[c] - 1) for c in wanted for s in wanted[c] & set(QUANTILES) if totals.get(c)}
-    asked = {(c, k) for (c, _), at in places.items() for k in (math.floor(at), math.ceil(at))}
-    if not asked:
-        return {}
-    table = F.broadcast(values.sparkSession.createDataFrame(sorted(asked), "c string, k long"))
-    met = placed.join(table, (F.col("column") == F.col("c")) & (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n")))
-    found = {(r["c"], r["k"]): r["value"] for r in met.select("c", "k", "value").collect()}
-    out: dict[str, dict[str, float]] = {}
-    for (c, s), at in places.items():
-        low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
-        out.setdefault(c, {})[s] = low + (high - low) * (at - math.floor(at)) if low != high else low
-    return out
-
-
 def numeric_stats(df: DataFrame, wanted: dict[str, set[str]], approximate: bool = False) -> dict[str, dict[str, float | None]]:
     """For each column those asked for of mean, sd, min, max, median, q25, q75 and mode, and ``missing``.
 
@@ -65,21 +49,20 @@ def numeric_stats(df: DataFrame, wanted: dict[str, set[str]], approximate: bool
     sums |= {(c, "missing"): F.count("*") - F.count(clean[c]) for c in wanted}
     out: dict[str, dict[str, float | None]] = {c: dict.fromkeys(wanted[c]) for c in wanted}
     if wanted:
-        row = df.agg(*[v.alias(f"s{k}") for k, v in enumerate(sums.values())]).first()
+        row = df.agg(*[v.alias(f"s{k}") for k, v in enumerate(sums.values())], F.count("*").alias("rows")).first()
         for k, (c, s) in enumerate(sums):
             out[c][s] = row[k]
-    sorted_ones = {} if approximate else {c: wanted[c] for c in wanted if wanted[c] & set(QUANTILES)}
+    exact = {} if approximate else {c: {s: QUANTILES[s] for s in wanted[c] & set(QUANTILES)} for c in wanted if wanted[c] & set(QUANTILES)}
     modes = [c for c in wanted if "mode" in wanted[c]]
-    if sorted_ones or modes:
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), clean[c].alias("value")) for c in {*sorted_ones, *modes}])
-        values = df.select(F.inline(cells)).where("value is not null")
-        if modes:
-            counts = values.where(F.col("column").isin(modes)).groupBy("column", "value").agg(F.count("*").alias("n"))
-            for r in counts.groupBy("column").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode")).collect():
-                out[r["column"]]["mode"] = r["mode"]
-        if sorted_ones:
-            for c, found in _quantiles(values.where(F.col("column").isin(list(sorted_ones))), sorted_ones).items():
-                out[c] |= found
+    if modes:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), clean[c].alias("value")) for c in modes])
+        counts = df.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+        for r in counts.groupBy("column").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode")).collect():
+            out[r["column"]]["mode"] = r["mode"]
+    if exact:
+        table = numbers(df, {c: clean[c] for c in exact})
+        for c, found in quantiles(table, exact, {c: row[len(sums)] - out[c]["missing"] for c in exact}).items():
+            out[c] |= found
     return out
 
 
@@ -127,14 +110,19 @@ def encode_index(df: DataFrame, column: str, levels: DataFrame, order: str = "by
     """
     own = levels.where(F.col("column") == column)
     rows = own.count() if rows is None else rows
-    extra = {"keep": F.lit(rows), "minus": F.lit(-1), "skip": F.lit(None), "error": F.raise_error(F.concat(F.lit(f"unknown level of {column}: "), level(F.col(column))))}
-    if unknown not in extra:
-        raise ValueError(f"unknown policy {unknown!r}; one of {', '.join(extra)}")
     name = name or f"{column}_index"
-    out = lookup(df, F.col(column), own, order, name, extra[unknown].cast("int"), rows)
+    out = lookup(df, F.col(column), own, order, name, unknown_value(column, unknown, F.lit(rows)).cast("int"), rows)
     return out.where(F.col(name).isNotNull()) if unknown == "skip" else out
 
 
+def unknown_value(column: str, policy: str, kept: Column) -> Column:
+    """What a level that wasn't learned becomes: ``kept``, -1, null (for rows that go) or an error."""
+    values = {"keep": kept, "minus": F.lit(-1), "skip": F.lit(None), "error": F.raise_error(F.concat(F.lit(f"unknown level of {column}: "), level(F.col(column))))}
+    if policy not in values:
+        raise ValueError(f"unknown policy {policy!r}; one of {', '.join(values)}")
+    return values[policy]
+
+
 def one_hot(df: DataFrame, column: str, values: list[str], drop_last: bool = False) -> DataFrame:
     """A 0/1 column for each listed level; other levels and nulls are 0 in all."""
     used = values[:-1] if drop_last else values
@@ -166,12 +154,16 @@ def scaled(column: Column, strategy: str, stats: dict[str, float], with_mean: bo
 
 @dataclass
 class ColumnPlan:
-    """Treatment of one column; unset fields take the preprocessor's defaults."""
+    """Treatment of one column; unset fields take the preprocessor's defaults.
+
+    ``dtype`` (numeric, categorical or boolean) moves the column to that list, whichever it came in.
+    """
 
     imputation: str | None = None
     value: float | str | None = None
     encoding: str | None = None
     scaling: str | None = None
+    dtype: str | None = None
 
 
 @dataclass
@@ -180,8 +172,15 @@ class Preprocessor:
 
     A numeric column that isn't imputed and had missing values in the fit also gets a 0/1 column
     ``<column>_missing``, as a tree's bins can be too coarse to part a few missing values from the rest.
-    One-hot encoding has a column for every learned level; ``fit`` raises an error where a column has
-    more than ``max_one_hot`` of them.
+    One-hot encoding has a feature for every learned level.  ``assemble`` makes sparse vectors of them
+    from the levels' numbers; ``transform``, which makes a column of each, raises an error beyond
+    ``max_columns`` levels of a column, and ``fit`` beyond ``max_one_hot``, as names and coefficients
+    are on the driver.
+
+    ``unknown`` says what becomes of levels that the fit didn't see, null included: ``keep`` (an own
+    index of label and native encoding, -1 of ordinal encoding, no feature of one-hot encoding, the
+    label's overall mean of target encoding), ``minus`` (-1; one-hot and target as with keep), ``skip``
+    (the row goes) or ``error``.
     """
 
     numeric: list[str]
@@ -194,7 +193,8 @@ class Preprocessor:
     categorical_imputation: str = "level"
     unknown: str = "keep"
     smoothing: float = 10.0
-    max_one_hot: int = 1000
+    max_one_hot: int = 200_000
+    max_columns: int = 1000
     approximate: bool = False
     plans: dict[str, ColumnPlan] = field(default_factory=dict)
     stats: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -205,9 +205,18 @@ class Preprocessor:
     levels: dict[str, DataFrame] = field(default_factory=dict)
     targets: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        lists = {"numeric": self.numeric, "categorical": self.categorical, "boolean": self.boolean}
+        for c, plan in self.plans.items():
+            if plan.dtype and plan.dtype not in lists:
+                raise ValueError(f"unknown dtype {plan.dtype!r}; one of {', '.join(DTYPES)}")
+            if plan.dtype and c not in lists[plan.dtype] and any(c in x for x in lists.values()):
+                lists = {kind: [x for x in own if x != c] + [c] * (kind == plan.dtype) for kind, own in lists.items()}
+        self.numeric, self.categorical, self.boolean = lists["numeric"], lists["categorical"], lists["boolean"]
+
     def _plan(self, column: str) -> ColumnPlan:
         own = self.plans.get(column, ColumnPlan())
-        return ColumnPlan(own.imputation or (self.imputation if column in self.numeric else self.categorical_imputation), own.value, own.encoding or self.encoding, own.scaling or self.scaling)
+        return ColumnPlan(own.imputation or (self.imputation if column in self.numeric else self.categorical_imputation), own.value, own.encoding or self.encoding, own.scaling or self.scaling, own.dtype)
 
     def _filled(self, column: str) -> Column:
         return F.coalesce(F.col(column).cast("string"), F.lit(self.fills[column]))
@@ -237,6 +246,8 @@ class Preprocessor:
 
     def _fit_categorical(self, df: DataFrame) -> None:
         plans = {c: self._plan(c) for c in self.categorical}
+        if self.unknown == "minus" and (native := [c for c in plans if plans[c].encoding == "native"]):
+            raise ValueError(f"native categories have no number below 0, as the policy 'minus' needs: {native}")
         most: dict[str, str] = {}
         if wanting := [c for c, p in plans.items() if p.imputation == "most_frequent"]:
             counts = level_counts(df, {c: F.col(c) for c in wanting})
@@ -252,17 +263,24 @@ class Preprocessor:
             hot = [c for c in orders if plans[c].encoding == "one_hot"]
             if beyond := {c: self.sizes[c] for c in hot if self.sizes[c] > self.max_one_hot}:
                 raise ValueError(f"more than max_one_hot = {self.max_one_hot} levels: {beyond}; raise it or choose another encoding")
-            for r in counts.where(F.col("column").isin(hot)).select("column", "value").orderBy("column", "value").collect():
-                self.hot.setdefault(r["column"], []).append(r["value"])
-            for order in {orders[c] for c in orders if c not in hot}:
-                own = [c for c in orders if c not in hot and orders[c] == order]
+            for order in sorted(set(orders.values())):
+                own = [c for c in orders if orders[c] == order]
                 table = stored(numbered_levels(counts.where(F.col("column").isin(own)), order), "numbered-levels")
                 self.levels |= dict.fromkeys(own, table)
-        for c in self.categorical:
-            if plans[c].encoding == "target":
-                self.targets[c] = stored(target_means(df.withColumn(c, self._filled(c)), c, self.label, self.smoothing), "target-means")
-                row = self.targets[c].agg(F.avg("target_mean"), F.count("*")).first()
-                self.priors[c], self.sizes[c] = row[0], row[1]
+            self._name_levels()
+        wanted = [c for c in self.categorical if plans[c].encoding == "target"]
+        overall = df.agg(F.avg(F.col(self.label).cast("double"))).first()[0] if wanted else None
+        for c in wanted:
+            self.targets[c] = stored(target_means(df.withColumn(c, self._filled(c)), c, self.label, self.smoothing), "target-means")
+            self.priors[c], self.sizes[c] = overall, self.targets[c].count()
+
+    def _name_levels(self) -> None:
+        """Names of the features of one-hot columns, which their levels' tables have."""
+        hot = [c for c in self.categorical if self._plan(c).encoding == "one_hot"]
+        self.hot = {c: [] for c in hot}
+        for table in {id(self.levels[c]): self.levels[c] for c in hot}.values():
+            for r in table.where(F.col("column").isin(hot)).select("column", "value").orderBy("column", "by_name").collect():
+                self.hot[r["column"]].append(r["value"])
 
     def _gapped(self) -> list[str]:
         return [c for c in self.numeric if self._plan(c).imputation == "none" and self.stats[c]["raw_missing"]]
@@ -280,39 +298,87 @@ class Preprocessor:
 
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """``keep`` and the output columns."""
+        if wide := {c: len(v) for c, v in self.hot.items() if len(v) > self.max_columns}:
+            raise ValueError(f"more than max_columns = {self.max_columns} levels: {wide}; assemble makes vectors of them")
+        out = self._encoded(df, keep)
+        for c, values in self.hot.items():
+            at = F.col(f"{c}_index")
+            out = out.select("*", *[(at == k).cast("int").alias(f"{c}={v}") for k, v in enumerate(values)])
+        return out.select(*keep, *self._numbers(), *[F.col(f"`{c}`") for c in self.names()[self._width() :]])
+
+    def _width(self) -> int:
+        return len(self.numeric) + len(self._gapped()) + len(self.boolean)
+
+    def _encoded(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``df`` with an index or mean of every categorical column; unknown levels by the policy."""
         out = df.select(*keep, *[c for c in [*self.numeric, *self.boolean, *self.categorical] if c not in keep])
         for c in self.categorical:
             out = out.withColumn(c, self._filled(c))
         for c in self.categorical:
-            encoding = self._plan(c).encoding
-            if encoding == "one_hot":
-                out = one_hot(out, c, self.hot.get(c, []))
-            elif encoding in ("label", "native", "ordinal"):
-                policy = "minus" if encoding == "ordinal" and self.unknown == "keep" else self.unknown
-                out = encode_index(out, c, self.levels[c], self._order(c), policy, rows=self.sizes[c])
-            elif encoding == "target":
-                out = lookup(out, F.col(c), self.targets[c], "target_mean", f"{c}_mean", F.lit(self.priors[c]), self.sizes[c])
+            encoding, name = self._plan(c).encoding, f"{c}_index"
+            if encoding == "target":
+                prior = F.lit(self.priors[c]).cast("double")
+                default = prior if self.unknown == "minus" else unknown_value(c, self.unknown, prior).cast("double")
+                out, name = lookup(out, F.col(c), self.targets[c], "target_mean", f"{c}_mean", default, self.sizes[c]), f"{c}_mean"
+            elif encoding != "none":
+                policy = "minus" if encoding == "ordinal" and self.unknown == "keep" else "keep" if encoding == "one_hot" and self.unknown == "minus" else self.unknown
+                values = self.hot.get(c, [])
+                if encoding == "one_hot" and len(values) <= FEW_LEVELS:
+                    at = F.array_position(F.array(*map(F.lit, values)), F.col(c)) if values else F.lit(0)
+                    out = out.withColumn(name, F.when(at > 0, at - 1).otherwise(unknown_value(c, policy, F.lit(len(values)))).cast("int"))
+                else:
+                    out = encode_index(out, c, self.levels[c], self._order(c), policy, rows=self.sizes[c])
+            if encoding != "none" and self.unknown == "skip":
+                out = out.where(F.col(name).isNotNull())
+        return out
+
+    def _numbers(self) -> list[Column]:
         numbers = []
         for c in self.numeric:
             plan, stats = self._plan(c), self.stats[c]
             raw = {s[4:]: v for s, v in stats.items() if s.startswith("raw_")}
             numbers.append(scaled(imputed(F.col(c), plan.imputation, raw, plan.value), plan.scaling, stats).alias(c))
         numbers += [(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double").alias(f"{c}_missing") for c in self._gapped()]
-        flags = [F.col(c).cast("double").alias(c) for c in self.boolean]
-        encoded = self.names()[len(numbers) + len(flags) :]
-        return out.select(*keep, *numbers, *flags, *[F.col(f"`{c}`") for c in encoded])
-
-    def assemble(self, df: DataFrame, keep: list[str] = (), output: str = "features") -> DataFrame:
-        """``keep`` and a vector of the output columns; a missing value is NaN in it, never a number."""
-        out = self.transform(df, keep)
-        plain = {name: f"__f{k}" for k, name in enumerate(self.names())}
-        ready = out.select(*keep, *[F.coalesce(F.col(f"`{a}`").cast("double"), F.lit(float("nan"))).alias(b) for a, b in plain.items()])
-        vectors = VectorAssembler(inputCols=list(plain.values()), outputCol=output, handleInvalid="keep").transform(ready)
-        return vectors.select(*keep, output)
+        return numbers + [F.col(c).cast("double").alias(c) for c in self.boolean]
+
+    def assemble(self, df: DataFrame, keep: list[str] = (), output: str = "features", missing: float = math.nan) -> DataFrame:
+        """``keep`` and a vector of the output columns, sparse where that is shorter.
+
+        A missing value is NaN in it, or the number ``missing``.  The vector's attributes tell a tree
+        which features are native categories and how many each has, the one for unknown levels
+        included; the metadata says ``filled`` if no feature can be NaN.
+        """
+        out = self._encoded(df, keep)
+        number = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(None)), F.lit(missing))
+        columns, parts, width, nominal = [], [], self._width(), []
+        for k, c in enumerate(self._numbers()):
+            columns.append(number(c).alias(f"__f{k}"))
+            parts.append(f"__f{k}")
+        for k, c in enumerate(x for x in self.categorical if self._plan(x).encoding != "none"):
+            encoding = self._plan(c).encoding
+            if encoding == "one_hot":
+                if not self.hot[c]:
+                    continue
+                columns.append(F.col(f"{c}_index").cast("double").alias(f"__i{k}", metadata={"ml_attr": {"type": "nominal", "num_vals": len(self.hot[c])}}))
+                parts.append(f"__v{k}")
+            else:
+                if encoding == "native":
+                    nominal.append({"idx": width, "name": c, "num_vals": self.sizes[c] + 1})
+                columns.append(number(F.col(f"{c}_mean" if encoding == "target" else f"{c}_index")).alias(f"__f_{k}"))
+                parts.append(f"__f_{k}")
+            width += len(self.hot[c]) if encoding == "one_hot" else 1
+        ready = out.select(*keep, *columns)
+        if hot := [p for p in parts if p.startswith("__v")]:
+            # The index behind the last level is that of unknown ones: dropped, it leaves all zero.
+            encoder = OneHotEncoder(inputCols=[p.replace("__v", "__i") for p in hot], outputCols=hot, handleInvalid="keep", dropLast=True)
+            ready = encoder.fit(ready).transform(ready)
+        vectors = VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep").transform(ready)
+        attributes = {"ml_attr": {"num_attrs": width} | ({"attrs": {"nominal": nominal}} if nominal else {}), "filled": not math.isnan(missing)}
+        return vectors.select(*keep, F.col(output).alias(output, metadata=attributes))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Parquet tables: settings, levels and target means."""
-        settings = {k: v for k, v in self.__dict__.items() if k not in ("levels", "targets", "plans")} | {"plans": {c: p.__dict__ for c, p in self.plans.items()}}
+        settings = {k: v for k, v in self.__dict__.items() if k not in ("levels", "targets", "plans", "hot")} | {"plans": {c: p.__dict__ for c, p in self.plans.items()}}
         spark.createDataFrame([(json.dumps(settings),)], "settings string").write.mode("overwrite").parquet(f"{path}/settings")
         for c, table in self.levels.items():
             table.where(F.col("column") == c).write.mode("overwrite").parquet(f"{path}/levels-{self.categorical.index(c)}")
@@ -326,10 +392,11 @@ class Preprocessor:
         out = cls(**settings | {"plans": {c: ColumnPlan(**p) for c, p in settings["plans"].items()}})
         for k, c in enumerate(out.categorical):
             encoding = out._plan(c).encoding
-            if encoding in ("label", "native", "ordinal"):
+            if encoding in ("label", "native", "ordinal", "one_hot"):
                 out.levels[c] = spark.read.parquet(f"{path}/levels-{k}")
             elif encoding == "target":
                 out.targets[c] = spark.read.parquet(f"{path}/targets").where(F.col("column") == c).drop("column")
+        out._name_levels()
         return out
 
 

@@ -5,13 +5,14 @@ Doubles that depend on the order of a sum are rounded to six places in both.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import level
-from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, roles, sampling, threshold
+from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, ranker, roles, sampling, threshold
 from panelspark.plans.panel import KEYS, ORACLE_PANEL, TEST, TRAIN, VALID, scores, table, training
 from panelspark.plans.panel import panel as panel_of
 from panelspark.sources.scratch import scratch_path
@@ -336,7 +337,7 @@ _hard("quota", "margin", f"least(floor(n * 0.6), ceil(0.01 * {_NEG}))", q=0.01)
 select sid, y_rare from joined where y_rare = 1 or score >= (select quantile_disc(score, 0.8) from joined where y_rare = 0)""")
 def hard_neg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = mining.with_scores(training(spark, sf_dir), scores(spark, sf_dir), KEYS)
-    return mining.above_percentile(joined, "y_rare", 0.8, accuracy=1_000_000).select("sid", "y_rare")
+    return mining.above_percentile(joined, "y_rare", 0.8).select("sid", "y_rare")
 
 
 @query(f"{_hard_sql('top_prob', 'floor(n * 0.6)')} select origin, count(*) as n, round(avg(score), 6) as mean_score, min(score) as min_score, max(score) as max_score from mined group by origin")
@@ -476,6 +477,57 @@ def native_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.Preprocessor([], ["cat_segment"], encoding="native").fit(df).transform(df, keep=KEYS)
 
 
+_POLICIES = ("keep", "skip")
+
+
+def _policy_sql(encoding: str, policy: str) -> str:
+    seen = f"(select * from panel where {_KNOWN})"
+    tables = {
+        "label": f"(select v, (row_number() over (order by n desc, v) - 1)::double as code from (select cat_nation as v, count(*) as n from {seen} group by 1))",
+        "ordinal": f"(select v, (row_number() over (order by v) - 1)::double as code from (select distinct cat_nation as v from {seen}))",
+        "one_hot": f"(select v, (row_number() over (order by v))::double as code from (select distinct cat_nation as v from {seen}))",
+        "target": f"(select cat_nation as v, (sum(y)::double + 10.0 * (select avg(y::double) from {seen})) / (count(*) + 10.0) as code from {seen} group by 1)",
+    }
+    unknown = {"label": f"(select count(distinct cat_nation) from {seen})::double", "ordinal": "-1.0::double", "one_hot": "0.0::double", "target": f"(select avg(y::double) from {seen})"}
+    code = "m.code" if policy == "skip" else f"coalesce(m.code, {unknown[encoding]})"
+    return f"select '{encoding}' as encoding, '{policy}' as policy, sid, round({code}, 6) as code from panel {'' if policy == 'skip' else 'left '}join {tables[encoding]} m on m.v = cat_nation"
+
+
+@query(" union all ".join(_policy_sql(e, p) for e in ("label", "ordinal", "one_hot", "target") for p in _POLICIES))
+def encoding_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each encoding learned without some nations, and what each policy makes of them; the code of a
+    one-hot row is the place of its 1, from 1, or 0."""
+    df, parts = panel_of(spark, sf_dir), []
+    seen = df.where(_KNOWN)
+    for encoding in ("label", "ordinal", "one_hot", "target"):
+        fitted = prep.Preprocessor([], ["cat_nation"], "y", encoding=encoding).fit(seen)
+        for policy in _POLICIES:
+            fitted.unknown = policy
+            out = fitted.transform(df, keep=KEYS)
+            cells = [F.col(f"`{c}`").cast("double") * (k if encoding == "one_hot" else 1) for k, c in enumerate(out.columns[1:], 1)]
+            parts.append(out.select(F.lit(encoding).alias("encoding"), F.lit(policy).alias("policy"), "sid", r6(sum(cells, F.lit(0.0))).alias("code")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("select sid, low_card_int % 2 as label, low_card_int % 2 as predicted from panel")
+def native_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split of one tree parts nations whose numbers alternate, as it sees them as categories."""
+    df = panel_of(spark, sf_dir).withColumn("label", F.col("low_card_int") % 2)
+    one = {"numTrees": 1, "maxDepth": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "bootstrap": False}
+    pipeline = experiments.Pipeline(prep.Preprocessor([], ["cat_nation"], "label", encoding="native"), models.Classifier("rf", "label", params=one), KEYS)
+    return pipeline.fit(df).predict(df).select("sid", "label", "predicted")
+
+
+@query("select count(*) as n, count(distinct l_orderkey) as features, count(*) filter (l_orderkey % 2 = 1) as positives, true as good from lineitem")
+def wide_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature for each order, as many as there are, and a regression on these vectors."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_orderkey").cast("string").alias("order"), (F.col("l_orderkey") % 2).cast("int").alias("label"))
+    fitted = prep.Preprocessor([], ["order"], "label").fit(lines)
+    vectors = fitted.assemble(lines, keep=["label"])
+    model = models.Classifier("lr", "label", params={"maxIter": 10, "regParam": 1e-4}).fit(vectors)
+    return model.predict(vectors).agg(F.count("*").alias("n"), F.lit(len(fitted.names())).cast("long").alias("features"), F.sum("label").alias("positives"), (F.avg((F.col("predicted") == F.col("label")).cast("double")) > 0.99).alias("good"))
+
+
 def _standard_prep(df: DataFrame) -> prep.Preprocessor:
     return prep.Preprocessor(["price", "qty", "flag"], ["cat_priority"], "y", ["is_active"], imputation="mean", scaling="none").fit(df)
 
@@ -670,6 +722,16 @@ def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.LinearRanker("customer_id", "n_lines", KEYS, ["qty", "price"]).fit(df).predict(df).select("sid", "score")
 
 
+@query("select count(*) as n, true as better, true as good from panel")
+def ranker_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which price is relevant depends on the customer's balance: trees find out, a linear score can't."""
+    df = panel_of(spark, sf_dir).withColumn("wanted", ((F.col("price") > 150_000) == (F.col("balance") > 4_000)).cast("int")).withColumn("scaled", F.col("price") / 100_000)
+    linear = models.LinearRanker("customer_id", "wanted", KEYS, ["scaled", "balance"]).fit(df.withColumn("balance", F.col("balance") / 10_000))
+    boosted = ranker.BoostedRanker("customer_id", "wanted", ["price", "balance"], rounds=8, depth=3).fit(df)
+    found = [metrics.ndcg(m.predict(df), "customer_id", "wanted", "score", KEYS).agg(F.avg("ndcg")).first()[0] for m in (linear, boosted)]
+    return df.agg(F.count("*").alias("n"), F.lit(found[1] > found[0]).alias("better"), F.lit(found[1] > 0.95).alias("good"))
+
+
 @query()
 def mined_by_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = {"final": {"strategy": "hard_negative", "features": ["price", "balance"], "ratio": 0.5}}
@@ -734,6 +796,16 @@ def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.quick_train(_planted(spark, sf_dir), _NUMERIC, _CATEGORICAL, "label", "lr", KEYS).classifier.training_history(spark)
 
 
+@query("select part, true as falls, true as finite, true as as_long from (values ('train'), ('valid')) t(part)")
+def history_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss curves of the perceptron on training and validation rows, one point of each an epoch."""
+    train, valid, _ = panel.time_split(_planted(spark, sf_dir), TRAIN, TEST, VALID)
+    fitted = experiments.Pipeline(prep.Preprocessor(_NUMERIC, _CATEGORICAL, "label"), models.Classifier("mlp", "label", params={"hidden": [8], "maxIter": 12}), KEYS).fit(train, valid)
+    curves_of = fitted.classifier.training_history(spark)
+    ends = curves_of.groupBy("part").agg(F.min_by("loss", "iteration").alias("first"), F.max_by("loss", "iteration").alias("last"), F.count("*").alias("n"), F.min(F.abs("loss") < float("inf")).alias("finite"))
+    return ends.select("part", (F.col("last") < F.col("first")).alias("falls"), "finite", (F.col("n") == len(fitted.classifier.history["train"])).alias("as_long"))
+
+
 @query()
 def pipeline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, test = panel.time_split(_planted(spark, sf_dir), TRAIN, TEST, VALID)
@@ -743,12 +815,22 @@ def pipeline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.Pipeline.load(spark, path).predict(test).select("sid", "p1", "predicted")
 
 
-def _grid(spark: SparkSession, sf_dir: str, overrides: list[dict] | None = None) -> DataFrame:
+def _grid(spark: SparkSession, sf_dir: str, overrides: list[dict] | None = None, log: str | None = None) -> DataFrame:
     data = {"train": TRAIN, "valid": VALID, "test": TEST}
     sampled = {"tune": {"strategy": "undersample", "ratio": 0.5}}
     lists = {"numeric": _NUMERIC, "categorical": _CATEGORICAL}
     runs = [{"name": n, "data": data, "sampling": s, "prep": lists, "weight_cap": w, "model": {"kind": "lr", "params": {"maxIter": 30}}} for n, s, w in (("plain", {}, None), ("balanced", sampled, 50.0))]
-    return experiments.run_experiments(_planted(spark, sf_dir), "label", KEYS, runs, overrides)
+    return experiments.run_experiments(_planted(spark, sf_dir), "label", KEYS, runs, overrides, log=log)
+
+
+@query("select name || o as run_name, 1::bigint as records, true as complete from (values ('balanced'), ('plain')) r(name), (values ('|regParam=0.01'), ('|regParam=0.1')) v(o)")
+def rerun_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid that is run again, and logged once more, leaves one record of each run."""
+    path, some = scratch_path(spark, "runs"), [{"regParam": 0.01}, {"regParam": 0.1}]
+    experiments.log_runs(_grid(spark, sf_dir, some[:1], path), path)
+    table = _grid(spark, sf_dir, some, path)
+    one = table.groupBy("run_name", "kind", "key").count().groupBy("run_name").agg(F.max("count").alias("records"), F.count_if(F.col("key") == "test_auc_roc").alias("n"))
+    return one.select("run_name", "records", (F.col("n") == 1).alias("complete"))
 
 
 @query()
@@ -760,7 +842,7 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "runs")
     experiments.log_runs(_grid(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    return experiments.read_runs(spark, path)
 
 
 @query()
