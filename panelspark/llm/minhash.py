@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .ranges import sieved, spread_join
+from .ranges import sifted, spread_join
 from .storage import discard, stored
 from .text import LOWER, chunks, hash_spans, mix, utf8, word_spans
 
@@ -148,7 +148,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     pairs = stored(pairs.select("a", "b"), "minhash-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "minhash-needed")
-    own = stored(sieved(texts, "id", ids, "needed").join(ids, F.col("id") == F.col("needed"), "left_semi"), "minhash-texts")
+    some, _ = sifted(texts, "id", ids, "needed")
+    own = stored(some.join(ids.hint("merge"), F.col("id") == F.col("needed"), "left_semi"), "minhash-texts")
     of_a = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     of_b = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = spread_join(pairs.select("a", "b").join(of_b, "b"), of_a, "a", "b")
@@ -279,11 +280,13 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def deduplicated(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` of which one document of each group of near-duplicates is left.
 
-    Of rows that repeat an id one stays; rows with a null id all stay.
+    Of rows that repeat an id one stays; rows with a null id all stay.  Only rows whose id a bitmap of
+    the removed ones holds are shuffled, to be compared with these.
     """
-    kept = near_duplicates(df, id_col=id_col, **options).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept"))
+    gone = near_duplicates(df, id_col=id_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
     text_col = options.get("text_col", "text")
-    chosen = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    doubtful, safe = sifted(df.where(F.col(id_col).isNotNull()), id_col, gone, "__gone")
+    chosen = safe.unionByName(doubtful.join(gone.hint("merge"), F.col(id_col) == F.col("__gone"), "left_anti"))
     repeated = not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
     if repeated:
         rest = [c for c in df.columns if c != id_col]

@@ -23,15 +23,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def sieved(df: DataFrame, column: str, ids: DataFrame, needed: str) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be among ``needed`` of ``ids``: all that are, and as many of
-    the others as share a bit of a bitmap of fixed size with them."""
-    place = lambda c: (F.xxhash64(F.lit("sieve"), c))
-    word, bit = F.shiftrightunsigned("__h", 64 - SIEVE_BITS), F.expr("cast(__h & 63 as int)")
-    bits = ids.select(place(needed).alias("__h")).select(word.alias("__word"), F.expr("shiftleft(1L, cast(__h & 63 as int))").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    hashed = df.withColumn("__h", place(column)).select("*", word.alias("__at"), bit.alias("__bit"))
-    met = hashed.join(F.broadcast(stored(bits, "sieve")), F.col("__at") == F.col("__word"))
-    return met.where(F.expr("shiftrightunsigned(__bits, __bit) & 1 = 1")).select(*df.columns)
+def sifted(df: DataFrame, column: str, ids: DataFrame, needed: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` may be among ``needed`` of ``ids``, and those whose is not.
+
+    A bitmap of fixed size decides: the first part has all that are, and as many of the others as share
+    a bit with them.  Nothing is shuffled.
+    """
+    hashed = lambda c: F.xxhash64(F.lit("sieve"), c)
+    word = F.shiftrightunsigned("__h", 64 - SIEVE_BITS)
+    bits = ids.select(hashed(needed).alias("__h")).select(word.alias("__word"), F.expr("shiftleft(1L, cast(__h & 63 as int))").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__h", hashed(column)).withColumn("__at", word).join(F.broadcast(stored(bits, "sieve")), F.col("__at") == F.col("__word"), "left")
+    met = F.expr("coalesce(shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1, 0) = 1")
+    return marked.where(met).select(*df.columns), marked.where(~met).select(*df.columns)
 
 
 def sorted_rows(df: DataFrame, order: list[Column | str], rows: int, name: str) -> DataFrame:
