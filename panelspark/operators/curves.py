@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from panelspark.functions.ranking import running_sums, with_previous
 
 
+def rated(df: DataFrame, label: str, score: str) -> DataFrame:
+    """The rows that curves and metrics count: those with a label and a score that is a number."""
+    return df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``(threshold, n, pos)``: rows and positives at each distinct score."""
-    return df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    """``(threshold, n, pos)``: rows and positives at each distinct score; rows without a label or a score
+    (null, NaN) are left out."""
+    return rated(df, label, score).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
 
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:

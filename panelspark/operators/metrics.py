@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import log_loss
 from panelspark.functions.ranking import global_rank
-from panelspark.operators.curves import auc
+from panelspark.operators.curves import auc, rated
 
 
 # The names of the metric row.
 def confusion_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """One row: n, pos_rate, mean_pred_p1, pred_pos, pos, tp, precision, recall, f1, brier."""
+    """One row: n, pos_rate, mean_pred_p1, pred_pos, pos, tp, precision, recall, f1, brier.
+
+    Rows without a label or a score (null, NaN) are left out, as in all curves and losses.
+    """
     y, p = F.col(label).cast("int"), F.col(score)
     hit = p >= threshold
-    sums = df.agg(
+    sums = rated(df, label, score).agg(
         F.count("*").alias("n"),
         F.avg(y).alias("pos_rate"),
         F.avg(p).alias("mean_pred_p1"),
@@ -41,7 +44,7 @@ def losses(df: DataFrame, label: str, score: str, weight: str | None = None) ->
     out = [F.avg(v).alias(k) for k, v in each.items()]
     if weight:
         out += [(F.sum(v * F.col(weight)) / F.sum(weight)).alias(f"weighted_{k}") for k, v in each.items()]
-    return df.agg(*out)
+    return rated(df, label, score).agg(*out)
 
 
 def ndcg(df: DataFrame, group: str, relevance: str, score: str, ties: list[str], k: int | None = None) -> DataFrame:

@@ -93,7 +93,7 @@ def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by o_orderstatus")
 def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An existing frame passes through a source, is kept, read twice and released."""
+    """An existing frame passes through a source as it is."""
     source = Source("orders", "frame", frame=table(spark, sf_dir, "orders"))
     kept = source.load(spark)
     return kept.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -101,7 +101,8 @@ def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderpriority, count(*) as n, (select count(*) from orders)::int as total from orders group by o_orderpriority")
 def cached_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept frame serves both the count of all rows and the groups."""
+    """The kept frame serves both the count of all rows and the groups; it stays kept for the reader of the
+    result, until the source or the session's cache is cleared."""
     kept = Source("orders", "parquet", [f"{sf_dir}/orders.parquet"]).cache(spark)
     return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.lit(kept.count()).alias("total"))
 

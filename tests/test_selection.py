@@ -110,6 +110,14 @@ def test_youden_with_one_class_or_none(spark):
     assert threshold.tune_constrained(df.where("y = 0"), "y", "p", 0.1).first()["feasible"] is False
 
 
+def test_rows_without_a_score_or_label_are_left_out(spark):
+    whole = [(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.4)]
+    df = spark.createDataFrame(whole, "y int, p double")
+    more = df.unionByName(spark.createDataFrame([(1, None), (0, math.nan), (None, 0.5)], df.schema))
+    assert metrics.metric_row(more, "y", "p").first() == metrics.metric_row(df, "y", "p").first()
+    assert metrics.losses(more, "y", "p").first() == metrics.losses(df, "y", "p").first()
+
+
 def test_ndcg_of_groups_equals_the_definition(spark):
     rng = random.Random(4)
     rows = [(None if k % 9 == 0 else "hot" if k % 2 else f"g{k % 5}", rng.choice([None, 0, 1, 2, 3]), rng.choice([0.1, 0.5, 0.9]), k) for k in range(150)]
