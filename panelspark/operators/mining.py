@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import entropy, margin, min_max, positive_probability
 from panelspark.functions.hashing import unit_hash
-from panelspark.functions.ranking import global_rank, stored
+from panelspark.functions.ranking import discard, global_rank, stored
 from panelspark.functions.selection import numbers, smallest, values_at
 from panelspark.operators.sampling import class_counts, negatives_wanted, random_fraction, undersample
 
@@ -73,13 +73,14 @@ def hard_negatives(
     if q is not None:
         hard = min(hard, math.ceil(q * row["n_neg"]))
     facts = [F.round(hardness(method, F.col(score)), 12).alias("__hard"), unit_hash(keys, seed).alias("__u")]
-    narrow = stored(with_scores(df.where(F.col(label) == 0).select(*keys), scores, keys, score).select(*keys, *facts), "hardness")
+    table = stored(with_scores(df.where(F.col(label) == 0).select(*keys), scores, keys, score).select(*keys, *facts), "hardness")
     # No score comes last, as a score above all others in hardness would.
-    narrow = narrow.withColumn("__hard", F.coalesce(F.nanvl("__hard", F.lit(None)), F.lit(math.inf)))
+    narrow = table.withColumn("__hard", F.coalesce(F.nanvl("__hard", F.lit(None)), F.lit(math.inf)))
     nobody = F.lit(False)
     is_hard = smallest(narrow, ["__hard", "__u"], keys, hard)
     is_hard = nobody if is_hard is None else is_hard
     is_random = smallest(narrow.where(~is_hard), ["__u"], keys, target - hard)
+    discard(table)
     joined = with_scores(df.where(F.col(label).isin(0, 1)), scores, keys, score).select("*", *facts)
     joined = joined.withColumn("__hard", F.coalesce(F.nanvl("__hard", F.lit(None)), F.lit(math.inf)))
     origin = F.when(F.col(label) == 1, "positive").when(is_hard, "hard").when(nobody if is_random is None else is_random, "random")
@@ -102,6 +103,7 @@ def above_percentile(df: DataFrame, label: str, quantile: float = 0.8, score: st
         n = table.agg(F.count("score")).first()[0]
         place = max(0, math.ceil(quantile * n) - 1)
         cut = values_at(table, [("score", place)], {"score": n})["score", place][0] if n else None
+        discard(table)
     return df.where((F.col(label) == 1) | (F.col(score) >= F.lit(cut)))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import MISSING, level
-from panelspark.functions.ranking import global_rank, stored
+from panelspark.functions.ranking import discard, global_rank, stored
 from panelspark.functions.selection import numbers, quantiles
 
 #: Up to so many rows a lookup table is broadcast; they are counted first.
@@ -63,6 +63,7 @@ def numeric_stats(df: DataFrame, wanted: dict[str, set[str]], approximate: bool
         table = numbers(df, {c: clean[c] for c in exact})
         for c, found in quantiles(table, exact, {c: row[len(sums)] - out[c]["missing"] for c in exact}).items():
             out[c] |= found
+        discard(table)
     return out
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.ranking import stored
+from panelspark.functions.ranking import discard, stored
 
 #: Bins of scores, and rounds after which scores are written.
 BINS, WRITTEN = 128, 8
@@ -67,20 +67,26 @@ class BoostedRanker:
     def fit(self, df: DataFrame) -> BoostedRanker:
         keep = [F.col(self.group).alias("g"), F.coalesce(F.col(self.relevance).cast("double"), F.lit(0.0)).alias("r"), F.lit(0.0).alias("score")]
         rows, self.trees = stored(self._vectors(df, keep), "ranker-rows"), []
+        kept = rows
         for k in range(self.rounds):
             low, high = rows.agg(F.min("score"), F.max("score")).first()
             if low is None:
                 break
-            targets = self._targets(rows, low, high)
+            targets, gradients = self._targets(rows, low, high)
             tree = DecisionTreeRegressor(featuresCol="__features", labelCol="__target", weightCol="__h", predictionCol="__step", maxDepth=self.depth, seed=self.seed)
             self.trees.append(tree.fit(targets))
+            discard(gradients)
             rows = self.trees[-1].transform(rows).select("g", "r", (F.col("score") + self.rate * F.col("__step")).alias("score"), "__features")
             if (k + 1) % WRITTEN == 0:
-                rows = stored(rows, "ranker-rows")
+                before, kept = kept, stored(rows, "ranker-rows")
+                discard(before)
+                rows = kept
+        discard(kept)
         return self
 
-    def _targets(self, rows: DataFrame, low: float, high: float) -> DataFrame:
-        """``(__features, __target, __h)`` of the rows whose groups have another relevance."""
+    def _targets(self, rows: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+        """``(__features, __target, __h)`` of the rows whose groups have another relevance, and the stored
+        gradients that this reads."""
         width = (high - low) / BINS
         at = F.lit(0) if width <= 0 else F.least(F.floor((F.col("score") - low) / width), F.lit(BINS - 1)).cast("int")
         scores = low + width * (np.arange(BINS) + 0.5)
@@ -95,9 +101,10 @@ class BoostedRanker:
             yield from out.combine_chunks().to_batches()
 
         schema = T.StructType([rows.schema["g"], T.StructField("r", T.DoubleType()), T.StructField("bin", T.IntegerType()), T.StructField("d", T.DoubleType()), T.StructField("h", T.DoubleType())])
-        found = stored(levels.groupBy("g").applyInArrow(run, schema), "ranker-gradients").where("h > 0").select(F.col("g").alias("__g"), F.col("r").alias("__r"), F.col("bin").alias("__b"), "d", "h")
+        gradients = stored(levels.groupBy("g").applyInArrow(run, schema), "ranker-gradients")
+        found = gradients.where("h > 0").select(F.col("g").alias("__g"), F.col("r").alias("__r"), F.col("bin").alias("__b"), "d", "h")
         met = binned.join(found, F.col("g").eqNullSafe(F.col("__g")) & (F.col("r") == F.col("__r")) & (F.col("bin") == F.col("__b")))
-        return met.select("__features", (F.col("d") / F.col("h")).alias("__target"), F.col("h").alias("__h"))
+        return met.select("__features", (F.col("d") / F.col("h")).alias("__target"), F.col("h").alias("__h")), gradients
 
     def predict(self, df: DataFrame, score: str = "score") -> DataFrame:
         out = self._vectors(df, [F.struct(*df.columns).alias("__row")]).withColumn("__score", F.lit(0.0))

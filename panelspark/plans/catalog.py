@@ -523,7 +523,7 @@ def native_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feature for each order, as many as there are, and a regression on these vectors."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_orderkey").cast("string").alias("order"), (F.col("l_orderkey") % 2).cast("int").alias("label"))
-    fitted = prep.Preprocessor([], ["order"], "label").fit(lines)
+    fitted = prep.Preprocessor([], ["order"], "label", max_one_hot=20_000_000).fit(lines)
     vectors = fitted.assemble(lines, keep=["label"])
     model = models.Classifier("lr", "label", params={"maxIter": 10, "regParam": 1e-4}).fit(vectors)
     return model.predict(vectors).agg(F.count("*").alias("n"), F.lit(len(fitted.names())).cast("long").alias("features"), F.sum("label").alias("positives"), (F.avg((F.col("predicted") == F.col("label")).cast("double")) > 0.99).alias("good"))
