@@ -64,12 +64,12 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op4_kdtree", "op5_minhash", "op6_mixing", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op1_warc", "op4_kdtree", "op5_minhash", "op6_mixing", "op10_sharding", "op12_variants", "op13_lexical"])
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     got = __spark_entry__.queries()[name](spark, sf)
     with duckdb.connect() as c:
-        for t in ("documents", "embeddings", "pages"):
+        for t in ("documents", "embeddings", "pages", "benchmark"):
             c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         want = c.execute(f"select {', '.join(got.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     key = lambda r: tuple(str(x) for x in r)
