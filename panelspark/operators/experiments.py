@@ -29,14 +29,17 @@ class Pipeline:
     def fit(self, train: DataFrame, valid: DataFrame | None = None, threshold: str | None = None, **options) -> Pipeline:
         """Fit on ``train``; boosting stops on ``valid``, and a threshold strategy is tuned on it.
 
-        The used columns of ``train``, then its vectors, are kept for the passes of the fit.
+        The used columns of ``train``, then its vectors, are kept for the passes of the fit; the perceptron
+        keeps blocks of its own.
         """
         used = [c for c in dict.fromkeys([*self.keys, *self.prep.numeric, *self.prep.boolean, *self.prep.categorical, self.classifier.label, self.classifier.weight]) if c]
         train = train.select(*used).persist(StorageLevel.MEMORY_AND_DISK)
         self.prep.fit(train)
         self.classifier.names = self.prep.names()
         held = self._vectors(valid) if valid is not None else None
-        vectors = self._vectors(train).persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = self._vectors(train)
+        if self.classifier.kind != "mlp":
+            vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
         self.classifier.fit(vectors, held, self.keys or None)
         vectors.unpersist()
         train.unpersist()

@@ -1,8 +1,9 @@
 """A multilayer perceptron with weights, class balance, early stopping and two loss curves.
 
-Every epoch is one pass: tasks add up the gradient and the loss of their batches, and a partial
-aggregation sums them by parameter.  The driver holds the parameters, whose number the layers fix,
-and makes an Adam step with decoupled weight decay.
+Rows are packed once into blocks, the bytes of their matrices, which are dealt evenly to all cores and
+kept.  Every epoch is one pass over them: tasks add up the gradient and the loss of their blocks, and a
+sum by parameter joins those of the tasks.  The driver holds the parameters, whose number the layers
+fix, and makes an Adam step with decoupled weight decay.
 """
 
 from __future__ import annotations
@@ -19,6 +20,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions.ranking import discard, stored
+
+#: Numbers of a block, about, and partitions of the blocks for each core.
+BLOCK, SPREAD = 1 << 16, 2
+#: Up to so many numbers the sums of all tasks are added on the driver, which spares a shuffle in every epoch;
+#: beyond them tasks add them up, so many parameters in each.
+AT_ONCE, PARAMETERS = 1 << 20, 1 << 16
+
 
 def _shapes(layers: list[int]) -> list[tuple[int, int]]:
     """A matrix of each layer; its last row holds the constants."""
@@ -87,8 +96,9 @@ class Perceptron:
             return df.where(F.col(label).isNotNull()).select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), own.alias("w"), F.lit(held).alias("held"))
 
         rows = plain(train, False) if valid is None else plain(train, False).unionByName(plain(valid, True))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        sums = {(r["held"], r["y"] > 0.5): r["w"] for r in rows.groupBy("held", "y").agg(F.sum("w").alias("w")).collect()}
+        written = stored(_blocks(rows, width), "perceptron-blocks")  # an epoch then plans a scan, not all that made the rows
+        blocks = written.persist(StorageLevel.MEMORY_AND_DISK)
+        sums = {(r["held"], up): r["p" if up else "n"] for r in blocks.groupBy("held").agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n")).collect() for up in (False, True)}
         positive = sums.get((False, False), 0.0) / sums[False, True] if self.balance and sums.get((False, True)) else 1.0
         total = {held: sums.get((held, False), 0.0) + positive * sums.get((held, True), 0.0) for held in (False, True)}
         rng = np.random.default_rng(self.seed)
@@ -97,7 +107,7 @@ class Perceptron:
         best, since, watched = flat, 0, np.inf
         history: dict[str, list[float]] = {"train": []} | ({"valid": []} if valid is not None else {})
         for step in range(1, self.max_iter + 1):
-            loss, held_loss, gradient = _pass(rows, flat, layers, positive)
+            loss, held_loss, gradient = _pass(blocks, flat, layers, positive)
             history["train"].append(loss / max(total[False], 1e-12))
             if valid is not None:
                 history["valid"].append(held_loss / max(total[True], 1e-12))
@@ -113,34 +123,67 @@ class Perceptron:
             gradient = gradient / max(total[False], 1e-12)
             mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
             flat = flat * (1 - rate * self.decay) - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        rows.unpersist()
+        blocks.unpersist()
+        discard(written)
         return PerceptronModel(layers, best, features, history)
 
 
-def _pass(rows: DataFrame, flat: np.ndarray, layers: list[int], positive: float) -> tuple[float, float, np.ndarray]:
-    """Loss of the training and the held-out rows, and the training gradient; summed by parameter."""
+def _blocks(rows: DataFrame, width: int) -> DataFrame:
+    """``(held, positives, negatives, x, y, w)``: weights of both classes, and bytes of doubles.
+
+    The number of partitions does not follow the size of the rows as they are stored: few, small ones
+    would leave cores idle in every epoch.
+    """
+    most = max(1, BLOCK // max(width, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(flat) + 2)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
             if np.isnan(x).any():
                 raise ValueError("the perceptron takes no missing features: impute them")
-            y, held = batch.column("y").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            weight = batch.column("w").to_numpy() * np.where(y > 0.5, positive, 1.0)
-            loss, gradient = loss_and_gradient(flat, layers, x[~held], y[~held], weight[~held])
-            out[0] += loss
-            out[2:] += gradient
-            if held.any():
-                logit = forward(flat, layers, x[held])[-1][:, 0]
-                out[1] += float((weight[held] * (np.logaddexp(0.0, logit) - y[held] * logit)).sum())
+            y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy(zero_copy_only=False)
+            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            out: dict[str, list] = {c: [] for c in ("held", "positives", "negatives", "x", "y", "w")}
+            for part in (False, True):
+                at = np.flatnonzero(held == part)
+                for start in range(0, len(at), most):
+                    own = at[start : start + most]
+                    up = y[own] > 0.5
+                    values = (part, float(w[own][up].sum()), float(w[own][~up].sum()), x[own].tobytes(), y[own].tobytes(), w[own].tobytes())
+                    for c, v in zip(out, values, strict=True):
+                        out[c].append(v)
+            types = [pa.bool_(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+
+    packed = rows.mapInArrow(run, "held boolean, positives double, negatives double, x binary, y binary, w binary")
+    return packed.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _pass(blocks: DataFrame, flat: np.ndarray, layers: list[int], positive: float) -> tuple[float, float, np.ndarray]:
+    """Loss of the training and the held-out rows, and the training gradient; summed by parameter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(flat) + 2)
+        for batch in batches:
+            for held, *parts in zip(*(batch.column(c) for c in ("held", "x", "y", "w")), strict=True):
+                x, y, weight = (np.frombuffer(p.as_buffer(), dtype=float) for p in parts)
+                x, weight = x.reshape(len(y), -1), weight * np.where(y > 0.5, positive, 1.0)
+                if held.as_py():
+                    logit = forward(flat, layers, x)[-1][:, 0]
+                    out[1] += float((weight * (np.logaddexp(0.0, logit) - y * logit)).sum())
+                else:
+                    loss, gradient = loss_and_gradient(flat, layers, x, y, weight)
+                    out[0] += loss
+                    out[2:] += gradient
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["at", "value"])
 
-    summed = rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(len(flat) + 2)
-    out[summed["at"].to_numpy()] = summed["value"].to_numpy()
+    found, n = blocks.mapInArrow(run, "at int, value double"), len(flat) + 2
+    if n * SPREAD * blocks.sparkSession.sparkContext.defaultParallelism > AT_ONCE:
+        found = found.repartition(-(-n // PARAMETERS), "at").groupBy("at").agg(F.sum("value").alias("value"))
+    summed, out = found.toArrow(), np.zeros(n)
+    np.add.at(out, summed["at"].to_numpy(), summed["value"].to_numpy())
     return float(out[0]), float(out[1]), out[2:]
 
 

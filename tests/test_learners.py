@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from panelspark.operators import metrics, models
+from panelspark.operators import metrics, models, perceptron
 from panelspark.operators.perceptron import Perceptron, PerceptronModel, loss_and_gradient
 from panelspark.operators.ranker import BoostedRanker, pair_gradients
 from panelspark.sources.scratch import scratch_path
@@ -100,3 +100,17 @@ def test_trees_rank_what_a_line_cannot(spark):
     a, b = (m.predict(df).orderBy("id").select("score").collect() for m in (ranker, BoostedRanker.load(spark, path)))
     assert a == b and ranker.predict(df).columns == [*df.columns, "score"]
     assert BoostedRanker("g", "r", ["x"]).fit(df.limit(0)).trees == []
+
+
+def test_perceptron_blocks_use_all_cores_and_sum_alike(spark, monkeypatch):
+    """Epochs don't run on the few partitions that small stored rows have; both ways of adding up agree."""
+    rng = random.Random(6)
+    rows = [(rng.gauss(0, 1), rng.gauss(0, 1), int(rng.random() < 0.3), 1.0) for _ in range(3000)]
+    df, met, plain = _frame(spark, rows).coalesce(1), [], perceptron._blocks
+    monkeypatch.setattr(perceptron, "_blocks", lambda *args: met.append(plain(*args)) or met[-1])
+    monkeypatch.setattr(perceptron, "BLOCK", 200)
+    whole = Perceptron([3], max_iter=3).fit(df, "y", "features", valid=df)
+    assert met[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sum(len(r["y"]) // 8 for r in met[0].collect()) == 6000 and whole.history["train"] == pytest.approx(whole.history["valid"])
+    monkeypatch.setattr(perceptron, "AT_ONCE", 0)
+    assert Perceptron([3], max_iter=3).fit(df, "y", "features", valid=df).flat == pytest.approx(whole.flat)
