@@ -3,7 +3,7 @@
 The loss of a group is that of all its pairs of different relevance.  Rows of a group that share
 relevance and score have one gradient, so that it is computed between the counts of such levels:
 scores are put into equal bins over their whole range, and a group gives a row for each relevance and bin
-that it has, whatever its size.  A tree is fitted to gradient over curvature, weighted by curvature,
+that it has, whatever its size.  A batch of groups is computed at once: most groups have a few levels.  A tree is fitted to gradient over curvature, weighted by curvature,
 which makes its leaves Newton steps.
 """
 
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,10 @@ from panelspark.functions.ranking import discard, stored
 
 #: Bins of scores, and rounds after which scores are written.
 BINS, WRITTEN = 128, 8
+#: Groups of up to so many levels are computed side by side, about so many pairs of levels at once.
+SMALL, AT_ONCE = 64, 1 << 20
+#: Partitions of the groups for each core: levels are few bytes, and would be left to few tasks.
+SPREAD = 4
 
 
 def pair_gradients(grades: np.ndarray, bins: np.ndarray, counts: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +51,30 @@ def pair_gradients(grades: np.ndarray, bins: np.ndarray, counts: np.ndarray, sco
     return gradient, curvature
 
 
+def many_gradients(sizes: np.ndarray, grades: np.ndarray, bins: np.ndarray, counts: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pair_gradients`` of many groups, whose levels follow one another, ``sizes`` of them in each."""
+    ends = np.cumsum(sizes)
+    gradient, curvature = np.zeros(len(grades)), np.zeros(len(grades))
+    for k in np.flatnonzero(sizes > SMALL):
+        at = slice(ends[k] - sizes[k], ends[k])
+        gradient[at], curvature[at] = pair_gradients(grades[at], bins[at], counts[at], scores)
+    chance = 1 / (1 + np.exp(np.clip(scores[:, None] - scores[None, :], -500, 500)))
+    few = np.flatnonzero(sizes <= SMALL)
+    parts = np.cumsum(sizes[few].astype(np.int64) ** 2) // AT_ONCE
+    for own in np.split(few, np.flatnonzero(np.diff(parts)) + 1):
+        size, start = sizes[own], ends[own] - sizes[own]
+        width, first = np.repeat(size, size), np.repeat(start, size)
+        level = np.arange(len(width)) - np.repeat(np.cumsum(size) - size, size) + first
+        i = np.repeat(level, width)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
+        behind, ahead = chance[bins[i], bins[j]], chance[bins[j], bins[i]]
+        more, other = grades[i] > grades[j], grades[i] != grades[j]
+        slot = np.repeat(np.arange(len(level)), width)
+        gradient[level] = np.bincount(slot, counts[j] * other * np.where(more, behind, -ahead), len(level))
+        curvature[level] = np.bincount(slot, counts[j] * other * behind * ahead, len(level))
+    return gradient, curvature
+
+
 @dataclass
 class BoostedRanker:
     """Scores that order the rows of a group by relevance; null relevance counts as 0, missing values as
@@ -67,21 +96,34 @@ class BoostedRanker:
     def fit(self, df: DataFrame) -> BoostedRanker:
         keep = [F.col(self.group).alias("g"), F.coalesce(F.col(self.relevance).cast("double"), F.lit(0.0)).alias("r"), F.lit(0.0).alias("score")]
         rows, self.trees = stored(self._vectors(df, keep), "ranker-rows"), []
-        kept = rows
+        written = rows
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         for k in range(self.rounds):
             low, high = rows.agg(F.min("score"), F.max("score")).first()
             if low is None:
                 break
             targets, gradients = self._targets(rows, low, high)
+            targets = targets.persist(StorageLevel.MEMORY_AND_DISK)  # a fit reads them several times
             tree = DecisionTreeRegressor(featuresCol="__features", labelCol="__target", weightCol="__h", predictionCol="__step", maxDepth=self.depth, seed=self.seed)
             self.trees.append(tree.fit(targets))
+            targets.unpersist()
             discard(gradients)
+            before = rows
+            if k + 1 == self.rounds:
+                break
             rows = self.trees[-1].transform(rows).select("g", "r", (F.col("score") + self.rate * F.col("__step")).alias("score"), "__features")
             if (k + 1) % WRITTEN == 0:
-                before, kept = kept, stored(rows, "ranker-rows")
-                discard(before)
-                rows = kept
-        discard(kept)
+                old, rows = written, stored(rows, "ranker-rows")
+                written = rows
+                before.unpersist()
+                discard(old)
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            else:
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                rows.count()
+                before.unpersist()
+        rows.unpersist()
+        discard(written)
         return self
 
     def _targets(self, rows: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
@@ -93,15 +135,17 @@ class BoostedRanker:
         binned = rows.withColumn("bin", at)
         levels = binned.groupBy("g", "r", "bin").agg(F.count("*").alias("n"))
 
-        def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(list(batches))
-            r, b, n = (whole.column(c).to_numpy() for c in ("r", "bin", "n"))
-            gradient, curvature = pair_gradients(r, b, n, scores)
-            out = pa.Table.from_arrays([whole.column("g"), whole.column("r"), whole.column("bin"), pa.array(gradient), pa.array(curvature)], names=["g", "r", "bin", "d", "h"])
-            yield from out.combine_chunks().to_batches()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("levels")
+                sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
+                r, b, n = (flat.field(c).to_numpy() for c in ("r", "bin", "n"))
+                gradient, curvature = many_gradients(sizes, r, b, n, scores)
+                g = batch.column("g").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([g, flat.field("r"), flat.field("bin"), pa.array(gradient), pa.array(curvature)], names=["g", "r", "bin", "d", "h"])
 
         schema = T.StructType([rows.schema["g"], T.StructField("r", T.DoubleType()), T.StructField("bin", T.IntegerType()), T.StructField("d", T.DoubleType()), T.StructField("h", T.DoubleType())])
-        gradients = stored(levels.groupBy("g").applyInArrow(run, schema), "ranker-gradients")
+        gradients = stored(levels.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism, "g").groupBy("g").agg(F.collect_list(F.struct("r", "bin", "n")).alias("levels")).mapInArrow(run, schema), "ranker-gradients")
         found = gradients.where("h > 0").select(F.col("g").alias("__g"), F.col("r").alias("__r"), F.col("bin").alias("__b"), "d", "h")
         met = binned.join(found, F.col("g").eqNullSafe(F.col("__g")) & (F.col("r") == F.col("__r")) & (F.col("bin") == F.col("__b")))
         return met.select("__features", (F.col("d") / F.col("h")).alias("__target"), F.col("h").alias("__h")), gradients

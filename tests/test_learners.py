@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from panelspark.operators import metrics, models, perceptron
+from panelspark.operators import ranker as ranker_module
 from panelspark.operators.perceptron import Perceptron, PerceptronModel, loss_and_gradient
 from panelspark.operators.ranker import BoostedRanker, pair_gradients
 from panelspark.sources.scratch import scratch_path
@@ -114,3 +115,38 @@ def test_perceptron_blocks_use_all_cores_and_sum_alike(spark, monkeypatch):
     assert sum(len(r["y"]) // 8 for r in met[0].collect()) == 6000 and whole.history["train"] == pytest.approx(whole.history["valid"])
     monkeypatch.setattr(perceptron, "AT_ONCE", 0)
     assert Perceptron([3], max_iter=3).fit(df, "y", "features", valid=df).flat == pytest.approx(whole.flat)
+
+
+def test_gradients_of_many_groups_equal_those_of_each(monkeypatch):
+    """Groups of one level, a few and many, at once and in small parts."""
+    rng = np.random.default_rng(8)
+    scores = np.linspace(-3, 3, 128)
+    sizes = np.array([1, 5, 300, 2, 64, 65, 7, 1, 40], dtype=np.int32)
+    grades, bins, counts = [], [], []
+    for n in sizes:
+        at = rng.choice(3 * 128, n, replace=False)
+        grades, bins, counts = [*grades, *(at // 128).astype(float)], [*bins, *(at % 128)], [*counts, *rng.integers(1, 5, n)]
+    args = np.array(grades), np.array(bins, dtype=np.int32), np.array(counts)
+    ends = np.cumsum(sizes)
+    want = [pair_gradients(*(x[e - n : e] for x in args), scores) for n, e in zip(sizes, ends, strict=True)]
+    for at_once in (1 << 20, 30):
+        monkeypatch.setattr(ranker_module, "AT_ONCE", at_once)
+        for k, got in enumerate(ranker_module.many_gradients(sizes, *args, scores)):
+            assert got == pytest.approx(np.concatenate([w[k] for w in want]))
+
+
+def test_a_round_computes_its_groups_in_batches(spark, monkeypatch):
+    """No call for each group, and one join of rows and gradients for each tree."""
+    met, plain = [], BoostedRanker._targets
+    monkeypatch.setattr(BoostedRanker, "_targets", lambda self, *args: met.append(plain(self, *args)) or met[-1])
+    df = spark.range(400).selectExpr("id", "id div 4 as g", "cast(id % 2 as int) as r", "cast(id % 7 as double) as x")
+    read, fit = [], ranker_module.DecisionTreeRegressor.fit
+    monkeypatch.setattr(ranker_module.DecisionTreeRegressor, "fit", lambda self, t: read.append(t.is_cached) or fit(self, t))
+    assert len(BoostedRanker("g", "r", ["x"], rounds=2, depth=2).fit(df).trees) == 2 and read == [True, True] and len(met) == 2
+    pairs_of = models.LinearRanker("g", "r", ["id"], ["x"])
+    seen, fit_lr = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, t: seen.append(t) or fit_lr(self, t))
+    pairs_of.fit(df)
+    rows = [(r["label"], r["features"][0]) for r in seen[0].collect()]
+    assert sorted(x for y, x in rows if y == 1) == sorted(-x for y, x in rows if y == 0) and len(rows) == 2 * models.pairs(df, "g", "r", ["id"], ["x"]).count()
+    assert "Union" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
