@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from panelspark.functions.ranking import discard, stored
 from panelspark.operators.metrics import metric_row
 from panelspark.operators.models import BELOW, TREES, Classifier
 from panelspark.operators.panel import time_split
@@ -17,6 +18,8 @@ from panelspark.operators.prep import Preprocessor
 from panelspark.operators.sampling import add_weights, for_mode
 from panelspark.operators.threshold import tune
 
+#: Samplings that read the label, the keys and the columns that their settings name, and no others.
+NARROW = {"none", "random", "stratified", "undersample", "oversample", "neg_frac"}
 RUN_SCHEMA = "run_name string, kind string, key string, value string"
 
 
@@ -99,29 +102,57 @@ def run_experiments(
     model's params, and named by both.  The preprocessing of a run is fitted once, and its vectors serve
     all overrides, of which ``parallel`` are fitted side by side, each in a scheduler pool of its own.
     With ``log``, a path, each one is logged when it is done, and those that are logged already aren't
-    made again.  Without ``fit``, the prepared training frames are returned under one another.
+    made again.  The columns that the runs read are written once for all of them, so that what makes
+    ``df`` is not done again for each split of each run.  Without ``fit``, the prepared training frames are returned under one another.
     """
     spark, out, rows = df.sparkSession, None, []
     made = {r["run_name"] for r in read_runs(spark, log).select("run_name").distinct().collect()} if log and fit else set()
-    wanted = []
+    wanted, kept = [], None
     for run in runs:
-        splits = prepare(df, label, keys, run["data"], run.get("sampling", {}), mode, run.get("weight_cap"))
         if not fit:
+            splits = prepare(df, label, keys, run["data"], run.get("sampling", {}), mode, run.get("weight_cap"))
             part = splits[0].withColumn("run_name", F.lit(run["name"]))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
             continue
         named = {run["name"] + "".join(f"|{k}={v}" for k, v in sorted(extra.items())): extra for extra in overrides or [{}]}
         wanted += list(named)
         if todo := {name: extra for name, extra in named.items() if name not in made}:
+            kept = kept or stored(df.select(*_read(df, label, keys, runs, mode)), "experiment-rows")
+            splits = prepare(kept, label, keys, run["data"], run.get("sampling", {}), mode, run.get("weight_cap"))
             rows += _run(spark, label, keys, run, splits, todo, mode, threshold, parallel, log)
+    if kept:
+        discard(kept)
     if not fit:
         return out
     return read_runs(spark, log).where(F.col("run_name").isin(wanted)) if log else spark.createDataFrame(rows, RUN_SCHEMA)
 
 
+def _read(df: DataFrame, label: str, keys: list[str], runs: list[dict], mode: str) -> list[str]:
+    """The columns of ``df`` that the runs read; all, if a sampling may read any."""
+    named: set[str] = {label, *keys}
+
+    def add(x: object) -> None:
+        if isinstance(x, str):
+            named.add(x)
+        elif isinstance(x, dict):
+            add([*x, *x.values()])
+        elif isinstance(x, list | tuple | set):
+            for y in x:
+                add(y)
+
+    for run in runs:
+        sampling = run.get("sampling", {}).get(mode, {"strategy": "none"})
+        if sampling.get("strategy") not in NARROW:
+            return df.columns
+        named.add(run["data"].get("year", "year"))
+        add([run["prep"], sampling])
+    return [c for c in df.columns if c in named]
+
+
 def _run(spark: SparkSession, label: str, keys: list[str], run: dict, splits: tuple, todo: dict[str, dict], mode: str, threshold: str, parallel: int, log: str | None) -> list[tuple]:
     """Rows of the run table for one run under all overrides: one fit of its preprocessing."""
-    kept = [None if x is None else x.persist(StorageLevel.MEMORY_AND_DISK) for x in splits]
+    train = splits[0].persist(StorageLevel.MEMORY_AND_DISK)  # its sample and weights serve all statistics
+    kept = [train, *splits[1:]]  # the others are read once, for their vectors
     model = run.get("model", {"kind": "lr"})
     weight = "weight" if run.get("weight_cap") else None
     fitted = Preprocessor(label=label, **run["prep"]).fit(kept[0])
@@ -150,7 +181,7 @@ def _run(spark: SparkSession, label: str, keys: list[str], run: dict, splits: tu
 
     with ThreadPoolExecutor(max(1, min(parallel, len(todo)))) as pool:
         found = list(pool.map(inheritable_thread_target(spark)(one), todo.items()))
-    for frame in [*vectors, *kept]:
+    for frame in [*vectors, train]:
         if frame is not None:
             frame.unpersist()
     return [row for rows in found for row in rows]

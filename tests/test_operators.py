@@ -440,3 +440,17 @@ def test_scoring_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     score_stream(stream, pipeline, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+
+
+def test_a_grid_makes_its_rows_once_and_reads_only_its_columns(spark, monkeypatch):
+    """Two runs of three splits read one written copy, which is gone at the end; samplings that may read any column get all."""
+    df = people(spark, 200).withColumn("y", (F.col("z") > 6).cast("int")).withColumn("year", (F.col("id") % 3).cast("int")).withColumn("unused", F.lit("u"))
+    one = {"data": {"train": (0, 1), "valid": (1, 2), "test": (2, 3)}, "prep": {"numeric": ["x", "z"], "categorical": []}}
+    runs = [{"name": "a", **one}, {"name": "b", "sampling": {"tune": {"strategy": "random", "fraction": 0.9}}, **one}]
+    seen, gone, split, drop = [], [], experiments.time_split, experiments.discard
+    monkeypatch.setattr(experiments, "time_split", lambda x, *rest: seen.append((x.columns, {f.rsplit("/", 1)[0] for f in x.inputFiles()})) or split(x, *rest))
+    monkeypatch.setattr(experiments, "discard", lambda *x: gone.extend(x) or drop(*x))
+    table = experiments.run_experiments(df, "y", ["id"], runs)
+    assert len(seen) == 2 and seen[0] == seen[1] and sorted(seen[0][0]) == ["id", "x", "y", "year", "z"] and len(seen[0][1]) == len(gone) == 1
+    assert {(r["run_name"], r["key"]) for r in table.collect()} >= {(n, f"{p}_auc_roc") for n in "ab" for p in ("train", "valid", "test")}
+    assert experiments._read(df, "y", ["id"], [{"name": "c", "sampling": {"tune": {"strategy": "hard_negative"}}, **one}], "tune") == df.columns
