@@ -26,6 +26,8 @@ from panelspark.functions.selection import numbers, quantiles
 BROADCAST_LEVELS = 100_000
 #: Up to so many levels are found by an expression, more by a lookup.
 FEW_LEVELS = 64
+#: Without ``max_one_hot``, names of up to so many levels of a column are on the driver.
+MOST_NAMES = 200_000
 # Names of the strategies.
 IMPUTATIONS = ("mean", "median", "mode", "constant", "none")
 SCALINGS = ("standard", "minmax", "robust", "none")
@@ -176,7 +178,8 @@ class Preprocessor:
     One-hot encoding has a feature for every learned level.  ``assemble`` makes sparse vectors of them
     from the levels' numbers; ``transform``, which makes a column of each, raises an error beyond
     ``max_columns`` levels of a column, and ``fit`` beyond ``max_one_hot``, as names and coefficients
-    are on the driver.
+    are on the driver.  With ``max_one_hot=None`` there may be any number: beyond ``MOST_NAMES`` the names
+    stay in the table of levels, and ``places`` takes the place of ``assemble``.
 
     ``unknown`` says what becomes of levels that the fit didn't see, null included: ``keep`` (an own
     index of label and native encoding, -1 of ordinal encoding, no feature of one-hot encoding, the
@@ -194,7 +197,7 @@ class Preprocessor:
     categorical_imputation: str = "level"
     unknown: str = "keep"
     smoothing: float = 10.0
-    max_one_hot: int = 200_000
+    max_one_hot: int | None = 200_000
     max_columns: int = 1000
     approximate: bool = False
     plans: dict[str, ColumnPlan] = field(default_factory=dict)
@@ -261,8 +264,7 @@ class Preprocessor:
         if orders:
             counts = stored(level_counts(df, {c: self._filled(c) for c in orders}), "levels")
             self.sizes = dict.fromkeys(orders, 0) | {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
-            hot = [c for c in orders if plans[c].encoding == "one_hot"]
-            if beyond := {c: self.sizes[c] for c in hot if self.sizes[c] > self.max_one_hot}:
+            if self.max_one_hot is not None and (beyond := {c: self.sizes[c] for c in self._hot_columns() if self.sizes[c] > self.max_one_hot}):
                 raise ValueError(f"more than max_one_hot = {self.max_one_hot} levels: {beyond}; raise it or choose another encoding")
             for order in sorted(set(orders.values())):
                 own = [c for c in orders if orders[c] == order]
@@ -276,18 +278,27 @@ class Preprocessor:
             self.priors[c], self.sizes[c] = overall, self.targets[c].count()
 
     def _name_levels(self) -> None:
-        """Names of the features of one-hot columns, which their levels' tables have."""
-        hot = [c for c in self.categorical if self._plan(c).encoding == "one_hot"]
+        """Names of the features of one-hot columns, which their levels' tables have; not those of too many."""
+        most = MOST_NAMES if self.max_one_hot is None else self.max_one_hot
+        hot = [c for c in self._hot_columns() if self.sizes[c] <= most]
         self.hot = {c: [] for c in hot}
         for table in {id(self.levels[c]): self.levels[c] for c in hot}.values():
             for r in table.where(F.col("column").isin(hot)).select("column", "value").orderBy("column", "by_name").collect():
                 self.hot[r["column"]].append(r["value"])
 
+    def _hot_columns(self) -> list[str]:
+        return [c for c in self.categorical if self._plan(c).encoding == "one_hot"]
+
+    def _all_named(self) -> None:
+        if wide := {c: self.sizes[c] for c in self._hot_columns() if c not in self.hot}:
+            raise ValueError(f"too many levels for names on the driver: {wide}; n_features counts them and places numbers them")
+
     def _gapped(self) -> list[str]:
         return [c for c in self.numeric if self._plan(c).imputation == "none" and self.stats[c]["raw_missing"]]
 
     def names(self) -> list[str]:
         """Output columns in the order of the vector."""
+        self._all_named()
         out = [*self.numeric, *[f"{c}_missing" for c in self._gapped()], *self.boolean]
         for c in self.categorical:
             encoding = self._plan(c).encoding
@@ -297,8 +308,14 @@ class Preprocessor:
                 out.append(f"{c}_{'mean' if encoding == 'target' else 'index'}")
         return out
 
+    def n_features(self) -> int:
+        """The number of output columns, named or not."""
+        sizes = [self.sizes[c] if self._plan(c).encoding == "one_hot" else 1 for c in self.categorical if self._plan(c).encoding != "none"]
+        return self._width() + sum(sizes)
+
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """``keep`` and the output columns."""
+        self._all_named()
         if wide := {c: len(v) for c, v in self.hot.items() if len(v) > self.max_columns}:
             raise ValueError(f"more than max_columns = {self.max_columns} levels: {wide}; assemble makes vectors of them")
         out = self._encoded(df, keep)
@@ -324,7 +341,7 @@ class Preprocessor:
             elif encoding != "none":
                 policy = "minus" if encoding == "ordinal" and self.unknown == "keep" else "keep" if encoding == "one_hot" and self.unknown == "minus" else self.unknown
                 values = self.hot.get(c, [])
-                if encoding == "one_hot" and len(values) <= FEW_LEVELS:
+                if c in self.hot and len(values) <= FEW_LEVELS:
                     at = F.array_position(F.array(*map(F.lit, values)), F.col(c)) if values else F.lit(0)
                     out = out.withColumn(name, F.when(at > 0, at - 1).otherwise(unknown_value(c, policy, F.lit(len(values)))).cast("int"))
                 else:
@@ -349,6 +366,7 @@ class Preprocessor:
         which features are native categories and how many each has, the one for unknown levels
         included; the metadata says ``filled`` if no feature can be NaN.
         """
+        self._all_named()
         out = self._encoded(df, keep)
         number = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(None)), F.lit(missing))
         columns, parts, width, nominal = [], [], self._width(), []
@@ -377,6 +395,13 @@ class Preprocessor:
         attributes = {"ml_attr": {"num_attrs": width} | ({"attrs": {"nominal": nominal}} if nominal else {}), "filled": not math.isnan(missing)}
         return vectors.select(*keep, F.col(output).alias(output, metadata=attributes))
 
+    def places(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """``keep`` and ``<column>_place`` for each one-hot column: where its part of the vector has the 1,
+        null if nowhere.  This is that part's sparse vector without a width or names, for any number of levels."""
+        out = self._encoded(df, keep)
+        at = {c: F.col(f"{c}_index") for c in self._hot_columns()}
+        return out.select(*keep, *[F.when(i < self.sizes[c], i).alias(f"{c}_place") for c, i in at.items()])
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Parquet tables: settings, levels and target means."""
         settings = {k: v for k, v in self.__dict__.items() if k not in ("levels", "targets", "plans", "hot")} | {"plans": {c: p.__dict__ for c, p in self.plans.items()}}

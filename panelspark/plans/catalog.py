@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.expressions import level
+from panelspark.functions.ranking import stored
 from panelspark.operators import clean, curves, experiments, metrics, mining, models, panel, prep, ranker, roles, sampling, threshold
+from panelspark.operators.levels import LevelRegression
 from panelspark.plans.panel import KEYS, ORACLE_PANEL, TEST, TRAIN, VALID, scores, table, training
 from panelspark.plans.panel import panel as panel_of
 from panelspark.sources.scratch import scratch_path
@@ -521,12 +523,13 @@ def native_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as n, count(distinct l_orderkey) as features, count(*) filter (l_orderkey % 2 = 1) as positives, true as good from lineitem")
 def wide_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature for each order, as many as there are, and a regression on these vectors."""
+    """A feature for each order, as many as there are, and a regression on these vectors; each is kept as
+    the place of its 1, and names and coefficients in tables."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_orderkey").cast("string").alias("order"), (F.col("l_orderkey") % 2).cast("int").alias("label"))
-    fitted = prep.Preprocessor([], ["order"], "label", max_one_hot=20_000_000).fit(lines)
-    vectors = fitted.assemble(lines, keep=["label"])
-    model = models.Classifier("lr", "label", params={"maxIter": 10, "regParam": 1e-4}).fit(vectors)
-    return model.predict(vectors).agg(F.count("*").alias("n"), F.lit(len(fitted.names())).cast("long").alias("features"), F.sum("label").alias("positives"), (F.avg((F.col("predicted") == F.col("label")).cast("double")) > 0.99).alias("good"))
+    fitted = prep.Preprocessor([], ["order"], "label", max_one_hot=None).fit(lines)
+    vectors = stored(fitted.places(lines, keep=["label"]), "places")
+    model = LevelRegression("label", ["order_place"], params={"maxIter": 10, "regParam": 1e-4}).fit(vectors)
+    return model.predict(vectors).agg(F.count("*").alias("n"), F.lit(fitted.n_features()).cast("long").alias("features"), F.sum("label").alias("positives"), (F.avg((F.col("predicted") == F.col("label")).cast("double")) > 0.99).alias("good"))
 
 
 def _standard_prep(df: DataFrame) -> prep.Preprocessor:
